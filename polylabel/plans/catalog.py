@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as LF
+from ..functions import text as TF
 from ..operators import metrics as M
+from ..operators import sampling as S
+from ..operators import stats as ST
+from ..sources import readers as R
 from ..schema import DEFAULT_LABELS as L
 from ..sources import fixtures as FX
 
@@ -68,6 +72,112 @@ def unlabelled_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.unlabelled_check(FX.scored(spark, sf_dir), L.true_cols + L.prob_cols)
 
 
+# ------------------------------------------------------ sources and text
+
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1-B4 on the dirty-text fixture."""
+    df = FX.dirty_text(spark, sf_dir).withColumn("clean", TF.clean_text("text"))
+    return df.select("row_id", F.md5("clean").alias("text_md5"),
+                     F.length("clean").alias("n_chars"), (F.col("clean") == "").alias("is_empty"))
+
+
+def multihot_from_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: B1-B5 + B7 on the list-labelled fixture."""
+    df = R.map_list_corpus(FX.list_labelled(spark, sf_dir), labels=L)
+    return df.select("row_id", *L.names, F.md5("text").alias("text_md5"))
+
+
+def multihot_from_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: B1-B4 + B6 + B8 on the single-label fixture."""
+    df = R.map_single_corpus(FX.single_labelled(spark, sf_dir), labels=L)
+    return df.select("row_id", "label", *L.names)
+
+
+def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B9 + C1: three differently labelled corpora, cleaned, mapped, tagged
+    and unioned into one labelled table keyed by (source, row_id)."""
+    lab = FX.labelled(spark, sf_dir).withColumn("text", TF.clean_text("text"))
+    lst = R.map_list_corpus(FX.list_labelled(spark, sf_dir), labels=L)
+    one = R.map_single_corpus(FX.single_labelled(spark, sf_dir), labels=L)
+    return R.union_sources([R.tag_source(lab, "labelled", L), R.tag_source(lst, "list_corpus", L),
+                            R.tag_source(one, "single_corpus", L)])
+
+
+def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _combined(spark, sf_dir)
+    return df.select("source", "row_id", *L.names, F.md5("text").alias("text_md5"))
+
+
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1."""
+    return ST.label_counts(FX.labelled(spark, sf_dir), L)
+
+
+def label_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2."""
+    return ST.label_cooccurrence(FX.labelled(spark, sf_dir), L)
+
+
+def label_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3."""
+    return ST.label_combinations(FX.labelled(spark, sf_dir), L)
+
+
+def source_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4 over the combined corpus."""
+    return ST.source_distribution(_combined(spark, sf_dir), L)
+
+
+def sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 + E5."""
+    df = S.sample_weights(FX.labelled(spark, sf_dir), L)
+    return df.select("row_id", F.round("weight", 6).alias("weight"))
+
+
+def oversample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6 + F1 quotas."""
+    return S.oversample_plan(FX.labelled(spark, sf_dir), L)
+
+
+def oversample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1-F3 + C2: originals and augmented copies."""
+    df = S.oversample(FX.labelled(spark, sf_dir), L)
+    return df.select("origin_id", "copy_label", "copy_no", *L.names, "source",
+                     F.md5("text").alias("text_md5"))
+
+
+def balanced_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label counts after balancing."""
+    return ST.label_counts(S.oversample(FX.labelled(spark, sf_dir), L, augment=False), L)
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 + D22."""
+    df = S.stratified_split(FX.labelled(spark, sf_dir), L)
+    return df.select("row_id", "stratum", "split")
+
+
+def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 rows drawn with probability proportional to the F5 weight."""
+    w = S.sample_weights(FX.labelled(spark, sf_dir), L)
+    out = S.weighted_sample(w, "weight", 100)
+    return out.select("row_id", F.round("weight", 6).alias("weight"))
+
+
+def training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4 shards of shuffled 32-row batches, short last batch dropped."""
+    df = S.training_shards(FX.labelled(spark, sf_dir), n_shards=4)
+    return df.select("row_id", "shard", "position", "batch_in_shard")
+
+
+def augment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Augmented training view next to the original words."""
+    lab = FX.labelled(spark, sf_dir).withColumn("text", TF.clean_text("text"))
+    train, _ = S.training_views(lab, lab.limit(0), augment=True)
+    return train.select("row_id", F.size(TF.words("text")).alias("n_words"),
+                        F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
     "per_label_metrics": per_label_metrics,
     "macro_sample_metrics": macro_sample_metrics,
@@ -78,4 +188,20 @@ QUERIES = {
     "row_set_metrics": row_set_metrics,
     "quality_metrics": quality_metrics,
     "unlabelled_check": unlabelled_check,
+    "clean_text": clean_text,
+    "multihot_from_list": multihot_from_list,
+    "multihot_from_class": multihot_from_class,
+    "corpus_union": corpus_union,
+    "label_counts": label_counts,
+    "label_cooccurrence": label_cooccurrence,
+    "label_combinations": label_combinations,
+    "source_distribution": source_distribution,
+    "sample_weights": sample_weights,
+    "oversample_plan": oversample_plan,
+    "oversample_rows": oversample_rows,
+    "balanced_distribution": balanced_distribution,
+    "stratified_split": stratified_split,
+    "weighted_sample": weighted_sample,
+    "training_shards": training_shards,
+    "augment_words": augment_words,
 }

@@ -229,3 +229,260 @@ ORACLE = {
     "quality_metrics": QUALITY,
     "unlabelled_check": UNLABELLED,
 }
+
+
+# ------------------------------------------------------------- corpus build
+
+EMOJI = (r"(?:[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|(?:[\x{1F300}-\x{1FAFF}"
+         r"\x{2600}-\x{27BF}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{203C}"
+         r"\x{2049}\x{2122}\x{2139}\x{00A9}\x{00AE}\x{3030}\x{303D}\x{3297}\x{3299}\x{24C2}"
+         r"\x{25AA}-\x{25FE}\x{1F004}\x{1F0CF}\x{1F170}-\x{1F251}])[\x{FE0F}\x{200D}"
+         r"\x{1F3FB}-\x{1F3FF}]*)+")
+
+
+def _clean(x: str) -> str:
+    s = f"trim(regexp_replace(regexp_replace(coalesce({x}, ''), '{EMOJI}', '', 'g'), '\\s+', ' ', 'g'))"
+    for p in ("[NAME]", "[USER]", "[URL]"):
+        s = f"replace({s}, '{p}', '')"
+    return s
+
+
+def _ws(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def _words(x: str) -> str:
+    return (f"CASE WHEN {_ws(x)} = '' THEN []::VARCHAR[] "
+            f"ELSE string_split({_ws(x)}, ' ') END")
+
+
+def _draw(*parts: str) -> str:
+    inner = " || ':' || ".join(["'42'"] + [f"CAST({p} AS VARCHAR)" if not p.startswith("'") else p
+                                           for p in parts])
+    return f"('0x' || substr(md5({inner}), 1, 8))::BIGINT"
+
+
+def _key(x: str = "row_id") -> str:
+    return f"md5(CAST({x} AS VARCHAR) || ':42')"
+
+
+DIRTY = f"""WITH d AS (
+  SELECT doc_id AS row_id,
+    CASE WHEN doc_id % 5 = 0 THEN concat('[NAME] ', text)
+         WHEN doc_id % 5 = 1 THEN concat(text, '  [USER]')
+         WHEN doc_id % 5 = 2 THEN concat('\U0001F600 ', text, ' [URL]')
+         WHEN doc_id % 25 = 3 THEN '[NAME]'
+         WHEN doc_id % 25 = 8 THEN '   ' ELSE text END AS text
+  FROM documents),
+c AS (SELECT row_id, {_clean("text")} AS clean FROM d)
+SELECT row_id, md5(clean) AS text_md5, CAST(length(clean) AS INTEGER) AS n_chars, clean = '' AS is_empty FROM c"""
+
+LIST_CTE = f"""lst AS (
+  SELECT doc_id AS row_id, {_clean("text")} AS text, source,
+    list_distinct([doc_id % 28, (doc_id * 7) % 28, (doc_id * 11) % 28]) AS ids
+  FROM documents),
+lstm AS (
+  SELECT row_id, text, source,
+    CAST(list_has_any(ids, [2, 3]) AS INTEGER) AS anger,
+    CAST(list_has_any(ids, [14, 19]) AS INTEGER) AS fear,
+    CAST(list_has_any(ids, [13, 17, 18, 20]) AS INTEGER) AS joy,
+    CAST(list_has_any(ids, [9, 16, 24, 25]) AS INTEGER) AS sadness,
+    CAST(list_has_any(ids, [22, 26]) AS INTEGER) AS surprise
+  FROM lst),
+lstf AS (SELECT * FROM lstm WHERE anger + fear + joy + sadness + surprise > 0)"""
+
+SINGLE_CTE = f"""one AS (
+  SELECT doc_id AS row_id, {_clean("text")} AS text, source, CAST(doc_id % 6 AS INTEGER) AS label
+  FROM documents),
+onem AS (
+  SELECT row_id, text, source, label,
+    CAST(label = 3 AS INTEGER) AS anger, CAST(label = 4 AS INTEGER) AS fear,
+    CAST(label = 1 AS INTEGER) AS joy, CAST(label = 0 AS INTEGER) AS sadness,
+    CAST(label = 5 AS INTEGER) AS surprise
+  FROM one WHERE text <> '')"""
+
+LAB_CTE = f"""lab AS (
+  SELECT doc_id AS row_id, text, source, lang,
+  {_truth_cols("")}
+  FROM documents)"""
+
+LAB_CLEAN_CTE = f"""labc AS (
+  SELECT row_id, {_clean("text")} AS text, {", ".join(N)} FROM lab)"""
+
+COMBINED_CTE = f"""{LAB_CTE},
+{LAB_CLEAN_CTE},
+{LIST_CTE},
+{SINGLE_CTE},
+comb AS (
+  SELECT row_id, text, {", ".join(N)}, 'labelled' AS source FROM labc
+  UNION ALL SELECT row_id, text, {", ".join(N)}, 'list_corpus' FROM lstf
+  UNION ALL SELECT row_id, text, {", ".join(N)}, 'single_corpus' FROM onem)"""
+
+MULTIHOT_LIST = f"""WITH {LIST_CTE}
+SELECT row_id, {", ".join(N)}, md5(text) AS text_md5 FROM lstf"""
+
+MULTIHOT_CLASS = f"""WITH {SINGLE_CTE}
+SELECT row_id, label, {", ".join(N)} FROM onem"""
+
+CORPUS_UNION = f"""WITH {COMBINED_CTE}
+SELECT source, row_id, {", ".join(N)}, md5(text) AS text_md5 FROM comb"""
+
+
+def _label_counts_sql(src: str, group: str = "", p: str = "") -> str:
+    g = group + ", " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    sums = ", ".join(f"CAST(sum(CASE WHEN {n} = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c_{n}" for n in N)
+    rows = "\nUNION ALL\n".join(
+        f"SELECT {g}'{n}' AS label, {i} AS label_index, c_{n} AS count, n_rows FROM {p}w"
+        for i, n in enumerate(N))
+    return f"""{p}w AS (SELECT {g}count(*) AS n_rows, {sums} FROM {src}{gb}),
+{p}lc AS ({rows})"""
+
+
+LABEL_COUNTS = f"""WITH {LAB_CTE},
+{_label_counts_sql("lab")}
+SELECT label, label_index, count, n_rows, round({_div("count", "n_rows")}, 6) AS frequency FROM lc"""
+
+
+def _cooc() -> str:
+    rows = []
+    for i, a in enumerate(N):
+        for j, b in enumerate(N):
+            rows.append(f"SELECT '{a}' AS label_a, '{b}' AS label_b, {i} AS index_a, {j} AS index_b, "
+                        f"CAST(sum(CASE WHEN {a} = 1 AND {b} = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM lab")
+    return "\nUNION ALL\n".join(rows)
+
+
+LABEL_COOC = f"""WITH {LAB_CTE}
+{_cooc()}"""
+
+LABEL_COMBOS = f"""WITH {LAB_CTE},
+k AS (SELECT {", ".join(f"CASE WHEN {n} = 1 THEN 1 ELSE 0 END AS {n}" for n in N)} FROM lab)
+SELECT {", ".join(N)}, count(*) AS n,
+  CASE WHEN {_names_sql("{n} = 1")} = '' THEN 'none' ELSE {_names_sql("{n} = 1")} END AS labels
+FROM k GROUP BY {", ".join(N)}"""
+
+SOURCE_DIST = f"""WITH {COMBINED_CTE},
+{_label_counts_sql("comb", "source")}
+SELECT source, label, label_index, count, n_rows, round(count * 100.0e0 / n_rows, 6) AS pct FROM lc"""
+
+COUNTS_ONLY = f"""cnt AS (SELECT {", ".join(f"sum(CASE WHEN {n} = 1 THEN 1 ELSE 0 END) AS c_{n}" for n in N)} FROM lab)"""
+
+SAMPLE_WEIGHTS_CTE = f"""{LAB_CTE},
+{COUNTS_ONLY},
+wt AS (
+  SELECT lab.*, ({" + ".join(f"CASE WHEN {n} IS NULL OR {n} <> 0 THEN 1.0e0 / c_{n} ELSE 0.0e0 END" for n in N)}) AS w0
+  FROM lab, cnt),
+wts AS (SELECT *, CASE WHEN w0 > 0 THEN w0 ELSE 1.0e0 END AS weight FROM wt)"""
+
+SAMPLE_WEIGHTS = f"""WITH {SAMPLE_WEIGHTS_CTE}
+SELECT row_id, round(weight, 6) AS weight FROM wts"""
+
+PLAN_CTE = f"""{_label_counts_sql("lab")},
+pl0 AS (SELECT *, max(count) OVER () AS target FROM lc),
+plan AS (
+  SELECT label, label_index, count, target,
+    CAST(CASE WHEN count > 0 THEN target - count END AS BIGINT) AS quota,
+    CAST(CASE WHEN count > 0 THEN (target - count) // count END AS BIGINT) AS full_copies,
+    CAST(CASE WHEN count > 0 THEN (target - count) % count END AS BIGINT) AS remainder,
+    count = 0 AS skipped
+  FROM pl0)"""
+
+OVERSAMPLE_PLAN = f"""WITH {LAB_CTE},
+{PLAN_CTE}
+SELECT * FROM plan"""
+
+_PAIRS = "\n  UNION ALL ".join(
+    f"SELECT row_id, text, source, {', '.join(N)}, '{n}' AS copy_label FROM lab WHERE {n} = 1" for n in N)
+
+SYNTH_CTE = f"""{LAB_CTE},
+{PLAN_CTE},
+pairs AS ({_PAIRS}),
+ranked AS (
+  SELECT p.*, row_number() OVER (PARTITION BY copy_label ORDER BY {_key()}, row_id) AS rk FROM pairs p),
+cp AS (
+  SELECT r.*, pl.full_copies + CASE WHEN r.rk <= pl.remainder THEN 1 ELSE 0 END AS copies
+  FROM ranked r JOIN plan pl ON r.copy_label = pl.label WHERE pl.quota > 0),
+syn AS (
+  SELECT cp.*, CAST(unnest(generate_series(1, copies)) AS BIGINT) AS copy_no FROM cp WHERE copies > 0)"""
+
+AUG_CTE = f"""sw AS (
+  SELECT *, {_words("text")} AS w,
+    {_draw("row_id", "copy_label", "copy_no", "'kind'")} % 3 AS kind,
+    {_draw("row_id", "copy_label", "copy_no", "'a'")} AS d1,
+    {_draw("row_id", "copy_label", "copy_no", "'b'")} AS d2,
+    {_draw("row_id", "copy_label", "copy_no", "'d'")} AS d3
+  FROM syn),
+sp AS (
+  SELECT *, len(w) AS nw FROM sw),
+sq AS (
+  SELECT *, d1 % nw AS pa, d3 % nw AS pd FROM sp WHERE nw > 3
+  UNION ALL SELECT *, NULL, NULL FROM sp WHERE nw <= 3),
+sr AS (
+  SELECT *, CASE WHEN nw > 3 THEN (pa + 1 + d2 % (nw - 1)) % nw END AS pb FROM sq),
+ss AS (
+  SELECT *, CASE WHEN nw > 3 AND kind IN (0, 2) THEN
+      list_transform(w, lambda x, i: CASE WHEN i - 1 = pa THEN w[pb + 1] WHEN i - 1 = pb THEN w[pa + 1] ELSE x END)
+    ELSE w END AS w2 FROM sr),
+st AS (
+  SELECT *, CASE WHEN nw > 3 AND kind IN (1, 2) THEN list_filter(w2, lambda x, i: i - 1 <> pd) ELSE w2 END AS w3
+  FROM ss)"""
+
+OVERSAMPLE_ROWS = f"""WITH {SYNTH_CTE},
+{AUG_CTE}
+SELECT row_id AS origin_id, CAST(NULL AS VARCHAR) AS copy_label, CAST(0 AS BIGINT) AS copy_no,
+  {", ".join(N)}, source, md5(text) AS text_md5 FROM lab
+UNION ALL
+SELECT row_id, copy_label, copy_no, {", ".join(N)}, source, md5(array_to_string(w3, ' ')) FROM st"""
+
+BALANCED = f"""WITH {SYNTH_CTE},
+allr AS (SELECT {", ".join(N)} FROM lab UNION ALL SELECT {", ".join(N)} FROM syn),
+{_label_counts_sql("allr", p="b")}
+SELECT label, label_index, count, n_rows, round({_div("count", "n_rows")}, 6) AS frequency FROM blc"""
+
+_STRATUM = "concat(" + ", ".join(f"CASE WHEN {n} = 1 THEN '1' ELSE '0' END" for n in N) + ")"
+
+STRATIFIED = f"""WITH {LAB_CTE},
+ls AS (SELECT row_id, {_STRATUM} AS stratum FROM lab),
+st AS (SELECT stratum, count(*) AS n_s FROM ls GROUP BY stratum),
+s1 AS (SELECT *, sum(n_s) OVER () AS n FROM st),
+s2 AS (SELECT *, n - CAST(ceil(n * 0.1e0) AS BIGINT) AS n_train_total FROM s1),
+s3 AS (SELECT *, CAST(n_train_total * n_s AS DOUBLE) / n AS ex FROM s2),
+s4 AS (SELECT *, CAST(floor(ex) AS BIGINT) AS fl, ex - floor(ex) AS rem FROM s3),
+s5 AS (SELECT *, n_train_total - sum(fl) OVER () AS short,
+         row_number() OVER (ORDER BY rem DESC, n_s DESC, stratum) AS rk FROM s4),
+alloc AS (SELECT stratum, n_s - (fl + CASE WHEN rk <= short THEN 1 ELSE 0 END) AS k FROM s5),
+rk AS (SELECT ls.*, row_number() OVER (PARTITION BY ls.stratum ORDER BY {_key()}, row_id) AS r FROM ls)
+SELECT rk.row_id, rk.stratum, CASE WHEN rk.r <= alloc.k THEN 'val' ELSE 'train' END AS split
+FROM rk JOIN alloc ON rk.stratum = alloc.stratum"""
+
+WEIGHTED = f"""WITH {SAMPLE_WEIGHTS_CTE},
+ek AS (SELECT row_id, weight,
+  ln((CAST({_draw("row_id", "'u'")} AS DOUBLE) + 0.5e0) / 4294967296.0e0) / weight AS es_key FROM wts)
+SELECT row_id, round(weight, 6) AS weight FROM ek ORDER BY es_key DESC, row_id LIMIT 100"""
+
+SHARDS = f"""WITH {LAB_CTE},
+sh AS (SELECT row_id, {_draw("row_id", "'shard'")} % 4 AS shard, {_key()} AS k FROM lab),
+po AS (SELECT row_id, shard, row_number() OVER (PARTITION BY shard ORDER BY k, row_id) - 1 AS position,
+  count(*) OVER (PARTITION BY shard) AS n FROM sh)
+SELECT row_id, CAST(shard AS BIGINT) AS shard, CAST(position AS INTEGER) AS position,
+  CAST(position // 32 AS BIGINT) AS batch_in_shard
+FROM po WHERE position < (n // 32) * 32"""
+
+ORACLE.update({
+    "clean_text": DIRTY,
+    "multihot_from_list": MULTIHOT_LIST,
+    "multihot_from_class": MULTIHOT_CLASS,
+    "corpus_union": CORPUS_UNION,
+    "label_counts": LABEL_COUNTS,
+    "label_cooccurrence": LABEL_COOC,
+    "label_combinations": LABEL_COMBOS,
+    "source_distribution": SOURCE_DIST,
+    "sample_weights": SAMPLE_WEIGHTS,
+    "oversample_plan": OVERSAMPLE_PLAN,
+    "oversample_rows": OVERSAMPLE_ROWS,
+    "balanced_distribution": BALANCED,
+    "stratified_split": STRATIFIED,
+    "weighted_sample": WEIGHTED,
+    "training_shards": SHARDS,
+})
