@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as LF
 from ..functions import text as TF
+from ..operators import agreement as AG
+from ..operators import discrepancy as D
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import stats as ST
@@ -178,6 +180,85 @@ def augment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.md5("text").alias("text_md5"))
 
 
+# ------------------------------------------------------- error analysis
+
+def discrepancy_missing_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D14 + G1: missing / extra counters with most-common ranks."""
+    return D.missing_extra(FX.scored(spark, sf_dir), L)
+
+
+def confusion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D14 + G1: (true -> predicted) confusion pairs, ranked; human labels of
+    all annotators as truth against the model's predictions."""
+    return D.confusion_pairs(_joined(spark, sf_dir), L)
+
+
+def mismatch_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 10 mismatches by row id."""
+    df = D.mismatch_examples(FX.scored(spark, sf_dir), L, k=10)
+    return df.select("row_id", F.md5("text").alias("text_md5"), "true_labels", "pred_labels",
+                     "missing", "extra")
+
+
+def multilabel_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 5 multi-label rows."""
+    df = D.multilabel_examples(FX.scored(spark, sf_dir), L, k=5)
+    return df.select("row_id", F.md5("text").alias("text_md5"), "true_labels", "pred_labels",
+                     "perfect_match")
+
+
+def detailed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 + B11 + B14 + B15."""
+    df = D.detailed_predictions(FX.scored(spark, sf_dir), L)
+    return df.select("row_id", F.md5("text").alias("text_md5"), *L.pred_cols,
+                     *[F.round(c, 6).alias(c) for c in L.prob_cols], *L.true_cols,
+                     "predicted_labels", "true_labels", "correct",
+                     F.round("jaccard_similarity", 6).alias("jaccard_similarity"))
+
+
+# ------------------------------------------------------------ annotators
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AG.join_annotations(FX.scored(spark, sf_dir), FX.annotations(spark, sf_dir), L)
+
+
+def annotator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 + D17 + D18 for every annotator in one pass."""
+    return AG.agreement(_joined(spark, sf_dir), L)
+
+
+def annotator_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3 (+Q16): first 3 FP / FN texts per annotator and label."""
+    df = AG.disagreement_examples(_joined(spark, sf_dir), L, k=3)
+    return df.select("annotator_id", "label", "label_index", "kind", "n_total", "example_no",
+                     "text_id", F.md5("text").alias("text_md5"), "other_labels")
+
+
+def raw_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13."""
+    df = AG.raw_comparisons(_joined(spark, sf_dir), L)
+    return df.select("annotator_id", "text_id", F.md5("text").alias("text_md5"),
+                     "model_labels", "human_labels")
+
+
+def annotation_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 + E3: texts each annotator has not annotated yet."""
+    texts = FX.scored(spark, sf_dir).select("row_id", "text")
+    ids = [f"A{k}" for k in FX.ANNOTATORS]
+    wl = R.annotation_worklist(texts, FX.annotations(spark, sf_dir), ids)
+    return wl.select("annotator_id", "text_id")
+
+
+def error_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B19 + D15 + G4: top-3 words of each annotator's FP / FN texts."""
+    return D.error_words(_joined(spark, sf_dir), L, group_cols=("annotator_id",), top=3)
+
+
+def threshold_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D19 per annotator and label."""
+    return D.threshold_advice(_joined(spark, sf_dir), L, group_cols=("annotator_id",))
+
+
 QUERIES = {
     "per_label_metrics": per_label_metrics,
     "macro_sample_metrics": macro_sample_metrics,
@@ -204,4 +285,15 @@ QUERIES = {
     "weighted_sample": weighted_sample,
     "training_shards": training_shards,
     "augment_words": augment_words,
+    "discrepancy_missing_extra": discrepancy_missing_extra,
+    "confusion_pairs": confusion_pairs,
+    "mismatch_examples": mismatch_examples,
+    "multilabel_examples": multilabel_examples,
+    "detailed_predictions": detailed_predictions,
+    "annotator_agreement": annotator_agreement,
+    "annotator_examples": annotator_examples,
+    "raw_comparisons": raw_comparisons,
+    "annotation_worklist": annotation_worklist,
+    "error_words": error_words,
+    "threshold_advice": threshold_advice,
 }

@@ -486,3 +486,150 @@ ORACLE.update({
     "weighted_sample": WEIGHTED,
     "training_shards": SHARDS,
 })
+
+
+# ----------------------------------------------------------- error analysis
+
+def _miss(n: str) -> str:
+    return f"true_{n} * (1 - pred_{n})"
+
+
+def _extra(n: str) -> str:
+    return f"pred_{n} * (1 - true_{n})"
+
+
+MISSING_EXTRA = f"""WITH {ROWM_CTE},
+agg AS (SELECT count(*) AS n, sum(1 - exact) AS n_mismatch,
+  {", ".join(f"sum({_miss(n)}) AS m_{n}, sum({_extra(n)}) AS e_{n}" for n in N)}
+  FROM rowm),
+r AS ({" UNION ALL ".join(f"SELECT '{n}' AS label, {i} AS label_index, CAST(m_{n} AS BIGINT) AS n_missing, CAST(e_{n} AS BIGINT) AS n_extra, n, n_mismatch FROM agg" for i, n in enumerate(N))})
+SELECT label, label_index, n_missing, n_extra,
+  CAST(row_number() OVER (ORDER BY n_missing DESC, label_index) AS INTEGER) AS missing_rank,
+  CAST(row_number() OVER (ORDER BY n_extra DESC, label_index) AS INTEGER) AS extra_rank,
+  CAST(n_mismatch AS BIGINT) AS n_mismatch, round(n_mismatch / n, 6) AS mismatch_ratio
+FROM r"""
+
+_TRUE_NAMES = _names_sql("true_{n} = 1")
+_PRED_NAMES = _names_sql("pred_{n} = 1")
+
+MISMATCH_EXAMPLES = f"""WITH {ROWM_CTE}
+SELECT row_id, md5(text) AS text_md5, {_TRUE_NAMES} AS true_labels, {_PRED_NAMES} AS pred_labels,
+  {_names_sql("true_{n} = 1 AND pred_{n} = 0")} AS missing,
+  {_names_sql("pred_{n} = 1 AND true_{n} = 0")} AS extra
+FROM rowm WHERE exact = 0 ORDER BY row_id LIMIT 10"""
+
+MULTILABEL_EXAMPLES = f"""WITH {ROWM_CTE}
+SELECT row_id, md5(text) AS text_md5, {_TRUE_NAMES} AS true_labels, {_PRED_NAMES} AS pred_labels,
+  exact = 1 AS perfect_match
+FROM rowm WHERE n_true > 1 ORDER BY row_id LIMIT 5"""
+
+DETAILED = f"""WITH {ROWM_CTE}
+SELECT row_id, md5(text) AS text_md5, {", ".join(f"pred_{n}" for n in N)},
+  {", ".join(f"round(prob_{n}, 6) AS prob_{n}" for n in N)}, {", ".join(f"true_{n}" for n in N)},
+  {_PRED_NAMES} AS predicted_labels, {_TRUE_NAMES} AS true_labels,
+  {_PRED_NAMES} = {_TRUE_NAMES} AS correct,
+  round(CASE WHEN n_union = 0 THEN 1.0e0 ELSE n_inter / n_union END, 6) AS jaccard_similarity
+FROM rowm"""
+
+ANN_CTE = f"""{SCORED_CTE},
+ks AS (SELECT * FROM (VALUES (1), (2), (3)) t(k)),
+ann AS (
+  SELECT 'A' || CAST(k AS VARCHAR) AS annotator_id, doc_id AS text_id, text,
+  {", ".join(f"CASE WHEN (doc_id * 13 + {i} + k) % 23 = 0 THEN 1 - true_{n} ELSE true_{n} END AS true_{n}" for i, n in enumerate(N))}
+  FROM truth, ks WHERE doc_id % k = 0),
+j AS (
+  SELECT ann.*, {", ".join(f"s.pred_{n}" for n in N)}
+  FROM ann JOIN scored s ON ann.text_id = s.row_id)"""
+
+_PAIR_ROWS = " UNION ALL ".join(
+    f"SELECT '{m}' AS true_label, '{e}' AS pred_label, {i} AS true_index, {j} AS pred_index, "
+    f"CAST(sum(({_miss(m)}) * ({_extra(e)})) AS BIGINT) AS n FROM j"
+    for i, m in enumerate(N) for j, e in enumerate(N) if i != j)
+
+CONFUSION_PAIRS = f"""WITH {ANN_CTE},
+p AS ({_PAIR_ROWS})
+SELECT *, CAST(row_number() OVER (ORDER BY n DESC, true_index, pred_index) AS INTEGER) AS rank
+FROM p WHERE n > 0"""
+
+AGREEMENT = f"""WITH {ANN_CTE},
+g AS (SELECT annotator_id, count(*) AS n,
+  {", ".join(f"CAST(sum(CASE WHEN true_{n}=1 AND pred_{n}=1 THEN 1 ELSE 0 END) AS BIGINT) AS tp_{n}, CAST(sum(CASE WHEN true_{n}=0 AND pred_{n}=1 THEN 1 ELSE 0 END) AS BIGINT) AS fp_{n}, CAST(sum(CASE WHEN true_{n}=1 AND pred_{n}=0 THEN 1 ELSE 0 END) AS BIGINT) AS fn_{n}, CAST(sum(CASE WHEN true_{n}=0 AND pred_{n}=0 THEN 1 ELSE 0 END) AS BIGINT) AS tn_{n}" for n in N)},
+  sum(CASE WHEN {_sum("true_{n} = pred_{n}", " AND ")} THEN 1 ELSE 0 END) AS n_exact
+  FROM j GROUP BY annotator_id),
+r AS ({" UNION ALL ".join(f"SELECT annotator_id, '{n}' AS label, {i} AS label_index, tp_{n} AS tp, fp_{n} AS fp, fn_{n} AS fn, tn_{n} AS tn, n, n_exact, ({_sum('fp_{n} + fn_{n}')}) AS errs FROM g" for i, n in enumerate(N))})
+SELECT annotator_id, label, label_index, tp, fp, fn, tn,
+  round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) END, 6) AS agreement,
+  round(CASE WHEN tp + fp + fn + tn > 0 THEN (fp + fn) / (tp + fp + fn + tn) END, 6) AS disagreement_rate,
+  round({_div("fp", "fp + tn")}, 6) AS false_positive_rate,
+  round({_div("fn", "fn + tp")}, 6) AS false_negative_rate,
+  n, round(n_exact / n, 6) AS exact_match_ratio, round(n_exact / n, 6) AS subset_accuracy,
+  round(errs / (n * {len(N)}), 6) AS hamming_loss
+FROM r"""
+
+_ERR_ROWS = " UNION ALL ".join(
+    f"SELECT annotator_id, text_id, text, human_labels, model_labels, '{n}' AS label, {i} AS label_index, "
+    f"CASE WHEN pred_{n} > true_{n} THEN 'fp' ELSE 'fn' END AS kind FROM jn WHERE pred_{n} <> true_{n}"
+    for i, n in enumerate(N))
+
+EXAMPLES = f"""WITH {ANN_CTE},
+jn AS (SELECT j.*, {_TRUE_NAMES} AS human_labels, {_PRED_NAMES} AS model_labels FROM j),
+e AS ({_ERR_ROWS}),
+t AS (SELECT annotator_id, label, kind, count(*) AS n_total FROM e GROUP BY ALL),
+x AS (SELECT e.*, row_number() OVER (PARTITION BY annotator_id, label, kind ORDER BY text_id) AS example_no FROM e)
+SELECT x.annotator_id, x.label, x.label_index, x.kind, t.n_total, CAST(x.example_no AS INTEGER) AS example_no,
+  x.text_id, md5(x.text) AS text_md5,
+  CASE WHEN x.kind = 'fp' THEN x.human_labels ELSE x.model_labels END AS other_labels
+FROM x JOIN t ON x.annotator_id = t.annotator_id AND x.label = t.label AND x.kind = t.kind
+WHERE x.example_no <= 3"""
+
+RAW = f"""WITH {ANN_CTE}
+SELECT annotator_id, text_id, md5(text) AS text_md5,
+  CASE WHEN {_PRED_NAMES} = '' THEN 'none' ELSE {_PRED_NAMES} END AS model_labels,
+  CASE WHEN {_TRUE_NAMES} = '' THEN 'none' ELSE {_TRUE_NAMES} END AS human_labels
+FROM j"""
+
+WORKLIST = f"""WITH {ANN_CTE},
+todo AS (SELECT 'A' || CAST(k AS VARCHAR) AS annotator_id, s.row_id AS text_id FROM scored s, ks)
+SELECT annotator_id, text_id FROM todo
+WHERE NOT EXISTS (SELECT 1 FROM ann WHERE ann.annotator_id = todo.annotator_id AND ann.text_id = todo.text_id)"""
+
+_WORDS_CTE = f"""{ANN_CTE},
+jn AS (SELECT j.*, '' AS human_labels, '' AS model_labels FROM j),
+e AS ({_ERR_ROWS}),
+wd AS (SELECT annotator_id, label, label_index, kind,
+         unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) >= 3)) AS word FROM e),
+wc AS (SELECT annotator_id, label, label_index, kind, word, count(*) AS n FROM wd GROUP BY ALL),
+wr AS (SELECT *, row_number() OVER (PARTITION BY annotator_id, label, kind ORDER BY n DESC, word) AS rank FROM wc),
+top AS (SELECT * FROM wr WHERE rank <= 3)"""
+
+ERROR_WORDS = f"""WITH {_WORDS_CTE}
+SELECT annotator_id, label, label_index, kind, word, n, CAST(rank AS INTEGER) AS rank FROM top"""
+
+ADVICE = f"""WITH {_WORDS_CTE},
+g AS (SELECT annotator_id, {", ".join(f"CAST(sum({_extra(n)}) AS BIGINT) AS fp_{n}, CAST(sum({_miss(n)}) AS BIGINT) AS fn_{n}" for n in N)}
+  FROM j GROUP BY annotator_id),
+b AS ({" UNION ALL ".join(f"SELECT annotator_id, '{n}' AS label, {i} AS label_index, fp_{n} AS fp, fn_{n} AS fn FROM g" for i, n in enumerate(N))}),
+tw AS (SELECT annotator_id, label,
+  string_agg(CASE WHEN kind = 'fp' THEN word END, ', ' ORDER BY rank) AS fp_words,
+  string_agg(CASE WHEN kind = 'fn' THEN word END, ', ' ORDER BY rank) AS fn_words
+  FROM top GROUP BY annotator_id, label)
+SELECT b.annotator_id, b.label, b.label_index, b.fp, b.fn,
+  round({_div("b.fp", "b.fp + b.fn")}, 6) AS fp_ratio,
+  CASE WHEN {_div("b.fp", "b.fp + b.fn")} > 0.7e0 THEN 'raise threshold'
+       WHEN {_div("b.fp", "b.fp + b.fn")} < 0.3e0 THEN 'lower threshold' ELSE 'keep threshold' END AS advice,
+  coalesce(tw.fp_words, '') AS fp_words, coalesce(tw.fn_words, '') AS fn_words
+FROM b LEFT JOIN tw ON b.annotator_id = tw.annotator_id AND b.label = tw.label"""
+
+ORACLE.update({
+    "discrepancy_missing_extra": MISSING_EXTRA,
+    "confusion_pairs": CONFUSION_PAIRS,
+    "mismatch_examples": MISMATCH_EXAMPLES,
+    "multilabel_examples": MULTILABEL_EXAMPLES,
+    "detailed_predictions": DETAILED,
+    "annotator_agreement": AGREEMENT,
+    "annotator_examples": EXAMPLES,
+    "raw_comparisons": RAW,
+    "annotation_worklist": WORKLIST,
+    "error_words": ERROR_WORDS,
+    "threshold_advice": ADVICE,
+})
