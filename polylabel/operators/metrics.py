@@ -126,6 +126,7 @@ def summary_from_sums(sums: DataFrame, labels: LabelSet = DEFAULT_LABELS,
         _r(_mean(p)).alias("macro_precision"),
         _r(_mean(r)).alias("macro_recall"),
         _r(_mean(f)).alias("macro_f1"),
+        _r(_mean([(F.col(f"tp_{nm}") + F.col(f"tn_{nm}")) / n for nm in labels.names])).alias("macro_accuracy"),
         _r(F.col("sum_sample_precision") / n).alias("sample_precision"),
         _r(F.col("sum_sample_recall") / n).alias("sample_recall"),
         _r(F.col("sum_sample_f1") / n).alias("sample_f1"),

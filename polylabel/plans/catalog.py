@@ -11,6 +11,9 @@ from ..functions import labels as LF
 from ..functions import text as TF
 from ..operators import agreement as AG
 from ..operators import discrepancy as D
+from ..operators import explain as X
+from ..operators import features as FE
+from ..operators import model as MD
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import stats as ST
@@ -259,6 +262,96 @@ def threshold_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.threshold_advice(_joined(spark, sf_dir), L, group_cols=("annotator_id",))
 
 
+# ------------------------------------------------- features, model, explain
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D15-style corpus vocabulary (the B20 id table)."""
+    return FE.build_vocabulary(FX.labelled(spark, sf_dir), vocab_size=5000)
+
+
+def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-length 128-id encodings with a corpus vocabulary."""
+    lab = FX.labelled(spark, sf_dir)
+    enc = FE.encode(lab, FE.build_vocabulary(lab, vocab_size=5000), max_length=128)
+    return enc.select("row_id", F.md5(F.array_join("input_ids", " ")).alias("ids_md5"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
+                      "n_tokens", "truncated")
+
+
+_MODELS: dict = {}
+
+
+def _split_and_model(spark: SparkSession, sf_dir: str):
+    """Labelled fixture split 90/10 (F4) and a binary-relevance model
+    trained on the train part; memoised per session and folder."""
+    key = (id(spark), sf_dir)
+    if key not in _MODELS:
+        split = S.stratified_split(FX.labelled(spark, sf_dir), L).persist()
+        train = split.filter(F.col("split") == "train")
+        model = MD.train(train, L, max_iter=10)
+        _MODELS[key] = (split, model)
+    return _MODELS[key]
+
+
+def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 + J1 + B12: train on the train split, score the validation split."""
+    split, model = _split_and_model(spark, sf_dir)
+    val = split.filter(F.col("split") == "val").select("row_id", "text")
+    out = MD.score(model, val)
+    return out.select("row_id", *[F.round(c, 6).alias(c) for c in L.prob_cols], *L.pred_cols)
+
+
+def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 on the trained model: per-label metrics of the validation split."""
+    split, model = _split_and_model(spark, sf_dir)
+    val = split.filter(F.col("split") == "val")
+    scored = MD.score(model, val.select("row_id", "text")).join(
+        val.select("row_id", *[F.col(n).alias(L.true(n)) for n in L.names]), "row_id")
+    return M.per_label_metrics(scored, L)
+
+
+def run_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D21 + G5 + G6: validation history over optimiser passes, the top-3 +
+    last epochs, and the early-stopping decision."""
+    split, _ = _split_and_model(spark, sf_dir)
+    train = split.filter(F.col("split") == "train")
+    val = split.filter(F.col("split") == "val")
+    hist = MD.epoch_history(train, val, L, epochs=(1, 2, 3, 5, 8))
+    hist = hist.persist()
+    top = MD.top_epochs(hist, "val_f1", 3)
+    stop = MD.early_stop(hist, "val_f1", patience=3, min_delta=0.001)
+    return top.join(stop, "run").select("run", "epoch", "val_f1", "val_precision", "val_recall",
+                                        "val_accuracy", "rank", "is_last", "best_epoch", "stop_epoch",
+                                        "stopped_early")
+
+
+def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split, model = _split_and_model(spark, sf_dir)
+    return X.token_contributions(model, split.select("row_id", "text"))
+
+
+def token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + B24 + B26: top-5 tokens per document and label by |attribution|."""
+    top = X.top_tokens(_contributions(spark, sf_dir), "attribution", 5)
+    return top.select("row_id", "label", "rank", "token", "tf", F.round("attribution", 6).alias("attribution"),
+                      F.round("weight", 6).alias("weight"))
+
+
+def token_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-5 tokens per document and label by |occlusion delta|."""
+    top = X.top_tokens(_contributions(spark, sf_dir), "occlusion", 5)
+    return top.select("row_id", "label", "rank", "token", F.round("occlusion", 6).alias("occlusion"),
+                      F.round("prob", 6).alias("prob"))
+
+
+def example_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributions attached to the first-3 FP/FN annotator examples."""
+    ex = AG.disagreement_examples(_joined(spark, sf_dir), L, k=3)
+    out = X.example_attributions(ex, _contributions(spark, sf_dir), k=5)
+    return out.select("annotator_id", "label", "kind", "example_no", "row_id", "rank", "token",
+                      F.round("attribution", 6).alias("attribution"))
+
+
 QUERIES = {
     "per_label_metrics": per_label_metrics,
     "macro_sample_metrics": macro_sample_metrics,
@@ -296,4 +389,12 @@ QUERIES = {
     "annotation_worklist": annotation_worklist,
     "error_words": error_words,
     "threshold_advice": threshold_advice,
+    "vocabulary": vocabulary,
+    "encode_tokens": encode_tokens,
+    "train_and_score": train_and_score,
+    "validation_metrics": validation_metrics,
+    "run_selection": run_selection,
+    "token_attribution": token_attribution,
+    "token_occlusion": token_occlusion,
+    "example_attributions": example_attributions,
 }

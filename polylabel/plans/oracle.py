@@ -123,6 +123,7 @@ SELECT n,
   round({_mean("(" + _div("tp_{n}", "tp_{n} + fp_{n}") + ")")}, 6) AS macro_precision,
   round({_mean("(" + _div("tp_{n}", "tp_{n} + fn_{n}") + ")")}, 6) AS macro_recall,
   round({_mean("(" + _div("2 * tp_{n}", "2 * tp_{n} + fp_{n} + fn_{n}") + ")")}, 6) AS macro_f1,
+  round({_mean("((tp_{n} + tn_{n}) / n)")}, 6) AS macro_accuracy,
   round(s_sp / n, 6) AS sample_precision,
   round(s_sr / n, 6) AS sample_recall,
   round(s_sf / n, 6) AS sample_f1,
@@ -633,3 +634,33 @@ ORACLE.update({
     "error_words": ERROR_WORDS,
     "threshold_advice": ADVICE,
 })
+
+
+# ------------------------------------------------------------------ features
+
+_TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: length(x) > 0)"
+
+VOCAB_CTE = f"""tok AS (SELECT doc_id AS row_id, {_TOK} AS t FROM documents),
+cnt AS (SELECT tk AS token, count(*) AS n FROM (SELECT unnest(t) AS tk FROM tok) GROUP BY tk),
+voc AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS token_id, n
+        FROM cnt QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 4996)"""
+
+VOCABULARY = f"""WITH {VOCAB_CTE}
+SELECT token, token_id, n FROM voc"""
+
+ENCODE = f"""WITH {VOCAB_CTE},
+pos AS (SELECT row_id, unnest(t[1:126]) AS token,
+          unnest(generate_series(0, least(len(t), 126) - 1)) AS pos FROM tok),
+ids AS (SELECT p.row_id, list(coalesce(v.token_id, 3) ORDER BY p.pos) AS ids
+        FROM pos p LEFT JOIN voc v ON p.token = v.token GROUP BY p.row_id),
+enc AS (SELECT tok.row_id, len(tok.t) AS n_tokens, [0] || coalesce(ids.ids, []) || [2] AS r
+        FROM tok LEFT JOIN ids ON tok.row_id = ids.row_id)
+SELECT row_id,
+  md5(array_to_string(r || list_transform(range(128 - len(r)), lambda x: 1), ' ')) AS ids_md5,
+  CAST(len(r) AS INTEGER) AS mask_sum, CAST(n_tokens AS INTEGER) AS n_tokens, n_tokens > 126 AS truncated
+FROM enc"""
+
+ORACLE.update({
+    "vocabulary": VOCABULARY,
+    "encode_tokens": ENCODE,
+})
