@@ -18,6 +18,7 @@ from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import stats as ST
 from ..sources import readers as R
+from ..streaming import metrics as SM
 from ..schema import DEFAULT_LABELS as L
 from ..sources import fixtures as FX
 
@@ -352,6 +353,30 @@ def example_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.round("attribution", 6).alias("attribution"))
 
 
+# -------------------------------------------------------------- streaming
+
+def _doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = FX.table(spark, sf_dir, "documents").schema
+    return SM.read_parquet_stream(spark, sf_dir, schema, glob="documents.parquet", files_per_trigger=1)
+
+
+def streaming_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1: per-label metrics from streaming count accumulators (equals the
+    batch ``per_label_metrics``)."""
+    scored = FX.scored_from_docs(_doc_stream(spark, sf_dir), L)
+    return SM.streaming_per_label_metrics(scored, L)
+
+
+def streaming_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2: cleaning of arriving dirty text in append mode (equals the batch
+    ``clean_text``)."""
+    dirty = FX.dirty_from_docs(_doc_stream(spark, sf_dir))
+    out = dirty.withColumn("clean", TF.clean_text("text")).select(
+        "row_id", F.md5("clean").alias("text_md5"), F.length("clean").alias("n_chars"),
+        (F.col("clean") == "").alias("is_empty"))
+    return SM.run_to_table(out, "clean_stream", "append")
+
+
 QUERIES = {
     "per_label_metrics": per_label_metrics,
     "macro_sample_metrics": macro_sample_metrics,
@@ -397,4 +422,6 @@ QUERIES = {
     "token_attribution": token_attribution,
     "token_occlusion": token_occlusion,
     "example_attributions": example_attributions,
+    "streaming_metrics": streaming_metrics,
+    "streaming_clean": streaming_clean,
 }

@@ -664,3 +664,8 @@ ORACLE.update({
     "vocabulary": VOCABULARY,
     "encode_tokens": ENCODE,
 })
+
+ORACLE.update({
+    "streaming_metrics": PER_LABEL,
+    "streaming_clean": DIRTY,
+})

@@ -68,7 +68,11 @@ def with_scores(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, id_col: str =
 
 def scored(spark: SparkSession, sf_dir: str, labels: LabelSet = DEFAULT_LABELS) -> DataFrame:
     """Scored table: row_id, text, source, lang, true_/prob_/pred_ x L."""
-    docs = table(spark, sf_dir, "documents")
+    return scored_from_docs(table(spark, sf_dir, "documents"), labels)
+
+
+def scored_from_docs(docs: DataFrame, labels: LabelSet = DEFAULT_LABELS) -> DataFrame:
+    """Same as ``scored`` on any documents DataFrame (also a streaming one)."""
     df = with_scores(with_truth(docs, labels), labels)
     return df.select(F.col("doc_id").alias("row_id"), "text", "source", "lang",
                      *labels.true_cols, *labels.prob_cols, *labels.pred_cols)
@@ -76,7 +80,10 @@ def scored(spark: SparkSession, sf_dir: str, labels: LabelSet = DEFAULT_LABELS)
 
 def dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with placeholders, an emoji and blank rows injected."""
-    docs = table(spark, sf_dir, "documents")
+    return dirty_from_docs(table(spark, sf_dir, "documents"))
+
+
+def dirty_from_docs(docs: DataFrame) -> DataFrame:
     d, t = F.col("doc_id"), F.col("text")
     dirty = (F.when(d % 5 == 0, F.concat(F.lit("[NAME] "), t))
              .when(d % 5 == 1, F.concat(t, F.lit("  [USER]")))
