@@ -33,9 +33,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Every character that can start or complete an emoji match above (a
+# superset): texts without one skip the replacement scan entirely.
+EMOJI_CANDIDATE = r"[\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F000}-\x{1FAFF}]"
+
+
 def strip_emoji(text) -> Column:
-    """B1."""
-    return F.regexp_replace(_c(text), EMOJI_PATTERN, "")
+    """B1. A single-class ``rlike`` guard runs first; the alternation-heavy
+    replacement only runs on texts that contain a candidate character."""
+    t = _c(text)
+    return F.when(t.rlike(EMOJI_CANDIDATE), F.regexp_replace(t, EMOJI_PATTERN, "")).otherwise(t)
 
 
 def collapse_whitespace(text) -> Column:
@@ -90,10 +97,11 @@ def swap_delete_positions(words_col, d1, d2, d3) -> dict[str, Column]:
     """Positions for B23 from three non-negative draws: two distinct swap
     positions ``_pa``/``_pb`` and a delete position ``_pd`` (0-based)."""
     n = F.size(_c(words_col))
+    ok = n > 3  # positions are only used for texts of more than 3 words
     a = F.pmod(_c(d1), n)
-    return {"_pa": a,
-            "_pb": F.pmod(a + 1 + F.pmod(_c(d2), n - 1), n),
-            "_pd": F.pmod(_c(d3), n)}
+    return {"_pa": F.when(ok, a),
+            "_pb": F.when(ok, F.pmod(a + 1 + F.pmod(_c(d2), n - 1), n)),
+            "_pd": F.when(ok, F.pmod(_c(d3), n))}
 
 
 def swap_delete(words_col, kind, pa, pb, pd) -> Column:

@@ -269,8 +269,8 @@ def augment_train_text(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "r
         "_fd": TF.draw(seed, rid, epoch, "pdrop").cast("double") / scale < F.lit(p_drop),
         "_fs": TF.draw(seed, rid, epoch, "pswap").cast("double") / scale < F.lit(p_swap),
         "_di": F.when(n_drop > 0, drop_idx).otherwise(F.array().cast("array<bigint>")),
-        "_s1": F.pmod(TF.draw(seed, rid, epoch, "s1"), n),
-        "_s2": F.pmod(TF.draw(seed, rid, epoch, "s2"), n),
+        "_s1": F.when(n > 0, F.pmod(TF.draw(seed, rid, epoch, "s1"), n)),
+        "_s2": F.when(n > 0, F.pmod(TF.draw(seed, rid, epoch, "s2"), n)),
     })
     aug = TF.dropout_and_swap("_w", "_fd", "_fs", "_di", "_s1", "_s2")
     out = F.when(F.size("_w") > 4, F.array_join(aug, " ")).otherwise(F.col("text"))

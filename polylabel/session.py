@@ -58,3 +58,17 @@ def cut_lineage(df):
     executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, key: str, min_partitions: int | None = None):
+    """Hash-repartition ``df`` by ``key`` only when its scan yields fewer
+    partitions than the cluster can run at once (a single large row group,
+    a handful of files). On a big input this is a no-op, so no shuffle is
+    added at scale; on small inputs the CPU-heavy text work is spread over
+    all cores. Hash partitioning (not round-robin) keeps the placement
+    deterministic under task retries."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df

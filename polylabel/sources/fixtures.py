@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import threshold
 from ..schema import DEFAULT_LABELS, LabelSet
+from ..session import spread
 
 # Truth rule per label, true when doc_id % modulus < cutoff.
 TRUTH_RULES = {
@@ -33,8 +34,15 @@ N_SINGLE_CLASSES = 6
 ANNOTATORS = (1, 2, 3)
 
 
+# Text-heavy tables and the key used to spread them when the scan is narrow.
+SPREAD_KEYS = {"documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in SPREAD_KEYS:
+        df = spread(df, SPREAD_KEYS[name])
+    return df
 
 
 def with_truth(docs: DataFrame, labels: LabelSet = DEFAULT_LABELS, prefix: str = "true_") -> DataFrame:
