@@ -32,8 +32,15 @@ def selection_key(row_id, seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat(rid.cast("string"), F.lit(f":{seed}")))
 
 
+def bucket_histogram(df: DataFrame, group_cols, key_col: str, bucket_digits: int = 3) -> DataFrame:
+    """Row counts per (group, leading ``bucket_digits`` hex digits of the
+    key): at most groups x 16^digits rows, built with a partial aggregation."""
+    b = F.substring(F.col(key_col), 1, bucket_digits)
+    return df.groupBy(*group_cols, b.alias("_bucket")).agg(F.count(F.lit(1)).alias("_cnt"))
+
+
 def flag_lowest_k(df: DataFrame, group_cols, k_table: DataFrame, key_col: str, tie_col: str,
-                  out_col: str = "selected", bucket_digits: int = 3) -> DataFrame:
+                  out_col: str = "selected", bucket_digits: int = 3, hist: DataFrame | None = None) -> DataFrame:
     """Flags, per group, the ``k`` rows with the lowest (key, tie) — exact.
 
     ``k_table`` has the group columns and ``k`` (one row per group; at most a
@@ -42,9 +49,9 @@ def flag_lowest_k(df: DataFrame, group_cols, k_table: DataFrame, key_col: str, t
     size-bounded. Only rows of a boundary bucket go through a window, and
     that window is partitioned by (group, bucket)."""
     group_cols = list(group_cols)
-    b = F.substring(F.col(key_col), 1, bucket_digits)
-    df = df.withColumn("_bucket", b)
-    hist = df.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    if hist is None:
+        hist = bucket_histogram(df, group_cols, key_col, bucket_digits)
+    df = df.withColumn("_bucket", F.substring(F.col(key_col), 1, bucket_digits))
     w = Window.partitionBy(*group_cols).orderBy("_bucket") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dec = (hist.join(F.broadcast(k_table.select(*group_cols, F.col("k").alias("_k"))), group_cols, "left")
@@ -161,13 +168,14 @@ def stratum_col(labels: LabelSet = DEFAULT_LABELS) -> Column:
 
 
 def split_allocation(df: DataFrame, labels: LabelSet = DEFAULT_LABELS,
-                     test_size: float = 0.1) -> DataFrame:
+                     test_size: float = 0.1, strata: DataFrame | None = None) -> DataFrame:
     """F4 quotas: n_val = ceil(test_size * n); the train share is allocated
     per stratum by largest remainder (ties: larger stratum, then stratum key),
     the rest of each stratum goes to validation. The strata table has at most
     min(2^L, n) rows, so its single-partition window is bounded."""
-    strata = df.select(stratum_col(labels).alias("stratum")).groupBy("stratum") \
-        .agg(F.count(F.lit(1)).alias("n_s"))
+    if strata is None:
+        strata = df.select(stratum_col(labels).alias("stratum")).groupBy("stratum") \
+            .agg(F.count(F.lit(1)).alias("n_s"))
     allw = Window.partitionBy(F.lit(0))
     s = strata.withColumn("n", F.sum("n_s").over(allw))
     s = s.withColumn("n_val_total", F.ceil(F.col("n") * F.lit(float(test_size))).cast("long"))
@@ -186,9 +194,13 @@ def stratified_split(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, test_size
                      seed: int = DEFAULT_SEED, id_col: str = "row_id") -> DataFrame:
     """adds ``split`` in {train, val}; within each stratum the rows with
     the lowest seeded hash go to validation."""
-    alloc = split_allocation(df, labels, test_size)
     keyed = df.withColumn("stratum", stratum_col(labels)).withColumn("_key", selection_key(id_col, seed))
-    flagged = flag_lowest_k(keyed, ["stratum"], alloc.select("stratum", "k"), "_key", id_col, "_val")
+    # one pass builds the (stratum, bucket) histogram; stratum sizes are its sums
+    hist = bucket_histogram(keyed, ["stratum"], "_key")
+    strata = hist.groupBy("stratum").agg(F.sum("_cnt").alias("n_s"))
+    alloc = split_allocation(df, labels, test_size, strata=strata)
+    flagged = flag_lowest_k(keyed, ["stratum"], alloc.select("stratum", "k"), "_key", id_col, "_val",
+                            hist=hist)
     return flagged.withColumn("split", F.when(F.col("_val"), F.lit("val")).otherwise(F.lit("train"))) \
         .drop("_val", "_key")
 

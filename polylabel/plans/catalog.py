@@ -19,6 +19,7 @@ from ..operators import sampling as S
 from ..operators import stats as ST
 from ..sources import readers as R
 from ..streaming import metrics as SM
+from . import corpus as K
 from ..schema import DEFAULT_LABELS as L
 from ..sources import fixtures as FX
 
@@ -377,6 +378,17 @@ def streaming_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SM.run_to_table(out, "clean_stream", "append")
 
 
+# ------------------------------------------------------ composite entries
+
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: three corpora cleaned, mapped, tagged and unioned, oversampled
+    with augmentation, then split 90/10 by label combination."""
+    tagged = _combined(spark, sf_dir).withColumn(
+        "row_id", F.concat_ws("-", F.col("source"), F.col("row_id").cast("string")))
+    built = K.build_corpus([tagged], L)
+    return built.corpus.select("row_key", "split", "source", *L.names, F.md5("text").alias("text_md5"))
+
+
 QUERIES = {
     "per_label_metrics": per_label_metrics,
     "macro_sample_metrics": macro_sample_metrics,
@@ -424,4 +436,5 @@ QUERIES = {
     "example_attributions": example_attributions,
     "streaming_metrics": streaming_metrics,
     "streaming_clean": streaming_clean,
+    "corpus_build": corpus_build,
 }

@@ -669,3 +669,56 @@ ORACLE.update({
     "streaming_metrics": PER_LABEL,
     "streaming_clean": DIRTY,
 })
+
+
+# ------------------------------------------------------------ corpus build
+
+
+def _synth_cte(src: str, p: str) -> str:
+    """Oversampling plan, exact remainder selection and copies of ``src``
+    (row_id, text, source, labels), with CTE names prefixed by ``p``."""
+    pairs = "\n  UNION ALL ".join(
+        f"SELECT row_id, text, source, {', '.join(N)}, '{n}' AS copy_label FROM {src} WHERE {n} = 1" for n in N)
+    return f"""{_label_counts_sql(src, p=p)},
+{p}pl0 AS (SELECT *, max(count) OVER () AS target FROM {p}lc),
+{p}plan AS (
+  SELECT label, count, target, target - count AS quota, (target - count) // count AS full_copies,
+    (target - count) % count AS remainder FROM {p}pl0 WHERE count > 0),
+{p}pairs AS ({pairs}),
+{p}ranked AS (
+  SELECT x.*, row_number() OVER (PARTITION BY copy_label ORDER BY {_key()}, row_id) AS rk FROM {p}pairs x),
+{p}cp AS (
+  SELECT r.*, pl.full_copies + CASE WHEN r.rk <= pl.remainder THEN 1 ELSE 0 END AS copies
+  FROM {p}ranked r JOIN {p}plan pl ON r.copy_label = pl.label WHERE pl.quota > 0),
+syn AS (
+  SELECT {p}cp.*, CAST(unnest(generate_series(1, copies)) AS BIGINT) AS copy_no FROM {p}cp WHERE copies > 0)"""
+
+
+def _split_cte(src: str, key: str, p: str) -> str:
+    return f"""{p}ls AS (SELECT *, {_STRATUM} AS stratum FROM {src}),
+{p}st AS (SELECT stratum, count(*) AS n_s FROM {p}ls GROUP BY stratum),
+{p}s1 AS (SELECT *, sum(n_s) OVER () AS n FROM {p}st),
+{p}s2 AS (SELECT *, n - CAST(ceil(n * 0.1e0) AS BIGINT) AS n_train_total FROM {p}s1),
+{p}s3 AS (SELECT *, CAST(n_train_total * n_s AS DOUBLE) / n AS ex FROM {p}s2),
+{p}s4 AS (SELECT *, CAST(floor(ex) AS BIGINT) AS fl, ex - floor(ex) AS rem FROM {p}s3),
+{p}s5 AS (SELECT *, n_train_total - sum(fl) OVER () AS short,
+         row_number() OVER (ORDER BY rem DESC, n_s DESC, stratum) AS rk FROM {p}s4),
+{p}alloc AS (SELECT stratum, n_s - (fl + CASE WHEN rk <= short THEN 1 ELSE 0 END) AS k FROM {p}s5),
+{p}rk AS (SELECT x.*, row_number() OVER (PARTITION BY x.stratum ORDER BY {_key(key)}, {key}) AS r FROM {p}ls x),
+{p}out AS (SELECT x.*, CASE WHEN x.r <= a.k THEN 'val' ELSE 'train' END AS split
+           FROM {p}rk x JOIN {p}alloc a ON x.stratum = a.stratum)"""
+
+
+CORPUS_BUILD = f"""WITH {COMBINED_CTE},
+lab2 AS (SELECT source || '-' || CAST(row_id AS VARCHAR) AS row_id, text, source, {", ".join(N)} FROM comb),
+{_synth_cte("lab2", "k")},
+{AUG_CTE},
+allrows AS (
+  SELECT row_id || '##0' AS row_key, source, {", ".join(N)}, md5(text) AS text_md5 FROM lab2
+  UNION ALL
+  SELECT row_id || '#' || copy_label || '#' || CAST(copy_no AS VARCHAR), source, {", ".join(N)},
+    md5(array_to_string(w3, ' ')) FROM st),
+{_split_cte("allrows", "row_key", "z")}
+SELECT row_key, split, source, {", ".join(N)}, text_md5 FROM zout"""
+
+ORACLE["corpus_build"] = CORPUS_BUILD

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,22 +54,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the session's checkpoint folder (survives
-    executor loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "stage"):
+    """Materialise ``df`` as a Parquet table in the session's shared
+    checkpoint folder and continue from it: lineage is cut, the data survives
+    executor loss (unlike a local checkpoint), it is written once by the
+    executors in a columnar, compressed form, and later scans get column
+    pruning and statistics."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df, key: str, min_partitions: int | None = None):
-    """Hash-repartition ``df`` by ``key`` only when its scan yields fewer
-    partitions than the cluster can run at once (a single large row group,
-    a handful of files). On a big input this is a no-op, so no shuffle is
-    added at scale; on small inputs the CPU-heavy text work is spread over
-    all cores. Hash partitioning (not round-robin) keeps the placement
-    deterministic under task retries."""
+    """Hash-repartition a file-backed ``df`` by ``key`` only when it comes
+    from fewer files than the cluster can run tasks at once (one file often
+    holds a single row group, i.e. one busy task). On a big input of many
+    files this is a no-op, so no shuffle is added at scale; on small inputs
+    the CPU-heavy text work is spread over all cores. The file count comes
+    from the file index (no job). Hash partitioning (not round-robin) keeps
+    row placement deterministic under task retries."""
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if len(df.inputFiles()) < target:
         return df.repartition(target, key)
     return df
