@@ -389,6 +389,33 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.corpus.select("row_key", "split", "source", *L.names, F.md5("text").alias("text_md5"))
 
 
+# ------------------------------------------------------------ reporting
+
+def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation report as a long Metric table."""
+    df = M.metric_table(FX.scored(spark, sf_dir), L)
+    return df.select("section", "label", "metric", F.round("value", 6).alias("value"))
+
+
+def debug_row_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debug-form row P/R/F1 (empty side counts as 1) of the first 5
+    rows by id (a first-k report)."""
+    df = M.with_row_metrics(FX.scored(spark, sf_dir), L, empty="one").orderBy("row_id").limit(5)
+    return df.select("row_id", F.round("sample_precision", 6).alias("precision"),
+                     F.round("sample_recall", 6).alias("recall"), F.round("sample_f1", 6).alias("f1"))
+
+
+def decode_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class names of the first 5 list-corpus rows."""
+    df = R.decode_examples(FX.list_labelled(spark, sf_dir), k=5)
+    return df.select("row_id", F.array_join("class_names", ", ").alias("class_names"))
+
+
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D22 after the F4 split."""
+    return R.split_counts(S.stratified_split(FX.labelled(spark, sf_dir), L))
+
+
 QUERIES = {
     "per_label_metrics": per_label_metrics,
     "macro_sample_metrics": macro_sample_metrics,
@@ -437,4 +464,8 @@ QUERIES = {
     "streaming_metrics": streaming_metrics,
     "streaming_clean": streaming_clean,
     "corpus_build": corpus_build,
+    "metrics_report": metrics_report,
+    "debug_row_metrics": debug_row_metrics,
+    "decode_examples": decode_examples,
+    "split_counts": split_counts,
 }

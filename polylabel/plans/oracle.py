@@ -722,3 +722,46 @@ allrows AS (
 SELECT row_key, split, source, {", ".join(N)}, text_md5 FROM zout"""
 
 ORACLE["corpus_build"] = CORPUS_BUILD
+
+
+# ---------------------------------------------------------------- reporting
+
+_PER = ["precision", "recall", "f1", "support", "accuracy"]
+_OVR = ["macro_precision", "macro_recall", "macro_f1", "sample_precision", "sample_recall", "sample_f1",
+        "jaccard", "exact_match_ratio", "hamming_loss", "n", "n_exact", "n_mismatch"]
+
+METRICS_REPORT = f"""WITH pl AS ({PER_LABEL}),
+ov AS ({MACRO})
+{" UNION ALL ".join(f"SELECT 'per_label' AS section, label, '{m}' AS metric, round(CAST({m} AS DOUBLE), 6) AS value FROM pl" for m in _PER)}
+UNION ALL
+{" UNION ALL ".join(f"SELECT 'overall', CAST(NULL AS VARCHAR), '{m}', round(CAST({m} AS DOUBLE), 6) FROM ov" for m in _OVR)}"""
+
+DEBUG_ROWS = f"""WITH {ROWM_CTE},
+d AS (SELECT row_id,
+  CASE WHEN n_pred > 0 THEN n_inter / n_pred ELSE 1.0e0 END AS p,
+  CASE WHEN n_true > 0 THEN n_inter / n_true ELSE 1.0e0 END AS r FROM rowm)
+SELECT row_id, round(p, 6) AS precision, round(r, 6) AS recall,
+  round(CASE WHEN p + r > 0 THEN 2.0e0 * p * r / (p + r) ELSE 0.0e0 END, 6) AS f1
+FROM d ORDER BY row_id LIMIT 5"""
+
+_NAMES28 = ["admiration", "amusement", "anger", "annoyance", "approval", "caring", "confusion", "curiosity",
+            "desire", "disappointment", "disapproval", "disgust", "embarrassment", "excitement", "fear",
+            "gratitude", "grief", "joy", "love", "nervousness", "optimism", "pride", "realization", "relief",
+            "remorse", "sadness", "surprise", "neutral"]
+
+DECODE = f"""WITH l0 AS (
+  SELECT doc_id AS row_id, [doc_id % 28, (doc_id * 7) % 28, (doc_id * 11) % 28] AS raw FROM documents),
+l AS (SELECT row_id, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS ids FROM l0)
+SELECT row_id, array_to_string(list_transform(ids, lambda x: ({_NAMES28!r})[x + 1]), ', ') AS class_names
+FROM l ORDER BY row_id LIMIT 5"""
+
+SPLIT_COUNTS = f"""WITH {LAB_CTE},
+{_split_cte("lab", "row_id", "q")}
+SELECT split, count(*) AS n_rows FROM qout GROUP BY split"""
+
+ORACLE.update({
+    "metrics_report": METRICS_REPORT,
+    "debug_row_metrics": DEBUG_ROWS,
+    "decode_examples": DECODE,
+    "split_counts": SPLIT_COUNTS,
+})
