@@ -765,3 +765,33 @@ ORACLE.update({
     "decode_examples": DECODE,
     "split_counts": SPLIT_COUNTS,
 })
+
+
+# ------------------------------------------------------ train-time augmentation
+
+_U = "4294967296.0e0"
+
+AUGMENT = f"""WITH a0 AS (SELECT doc_id AS row_id, {_clean("text")} AS text FROM documents),
+a1 AS (SELECT row_id, text, {_words("text")} AS w FROM a0),
+a2 AS (SELECT *, len(w) AS n, len(w) // 10 AS n_drop,
+  CAST({_draw("row_id", "'0'", "'pdrop'")} AS DOUBLE) / {_U} < 0.3e0 AS fd,
+  CAST({_draw("row_id", "'0'", "'pswap'")} AS DOUBLE) / {_U} < 0.3e0 AS fs
+  FROM a1),
+a3 AS (SELECT *,
+  CASE WHEN n_drop > 0 THEN list_transform(generate_series(1, n_drop),
+       lambda k: {_draw("row_id", "'0'", "'drop'", "k")} % n) ELSE [] END AS di,
+  CASE WHEN n > 0 THEN {_draw("row_id", "'0'", "'s1'")} % n END AS s1,
+  CASE WHEN n > 0 THEN {_draw("row_id", "'0'", "'s2'")} % n END AS s2
+  FROM a2),
+a4 AS (SELECT *,
+  CASE WHEN n <= 4 THEN text
+       WHEN fs THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN i - 1 = s1 THEN w[s2 + 1]
+                                                   WHEN i - 1 = s2 THEN w[s1 + 1] ELSE x END), ' ')
+       WHEN fd THEN array_to_string(list_filter(w, lambda x, i: NOT list_contains(di, i - 1)), ' ')
+       ELSE array_to_string(w, ' ') END AS out
+  FROM a3)
+SELECT row_id, CAST(CASE WHEN {_ws("out")} = '' THEN 0 ELSE len(string_split({_ws("out")}, ' ')) END AS INTEGER) AS n_words,
+  md5(out) AS text_md5
+FROM a4"""
+
+ORACLE["augment_words"] = AUGMENT
