@@ -14,7 +14,8 @@ from polylabel.schema import DEFAULT_LABELS as L
 from polylabel.schema import labelled_schema
 from polylabel.sources import readers as R
 
-pytestmark = pytest.mark.skipif(not os.path.exists(CSV), reason="CSV fixture not present")
+pytestmark = pytest.mark.skipif(not CSV or not os.path.exists(CSV),
+                                reason="set POLYLABEL_DEV_CSV to the labelled CSV fixture")
 
 
 @pytest.fixture(scope="module")
