@@ -28,18 +28,24 @@ from .model import MultiLabelModel
 
 def coefficient_table(model: MultiLabelModel) -> DataFrame:
     """(token, label, label_index, beta, idf, intercept) of the fitted model.
-    Its size is bounded by vocabulary size x number of labels."""
-    vocab = model.features.stages[1].vocabulary
-    idf = model.features.stages[2].idf.toArray().tolist()
-    rows = []
-    for li, name in enumerate(model.labels.names):
-        lr = model.per_label[name]
-        beta = lr.coefficients.toArray().tolist()
-        b0 = float(lr.intercept)
-        rows.extend((tok, name, li, float(beta[j]), float(idf[j]), b0) for j, tok in enumerate(vocab))
+    Its size is bounded by vocabulary size x number of labels. The model
+    parameters already live on the driver; they are shipped once as an
+    Arrow batch (one row per token) and unpivoted by Spark."""
+    import pandas as pd
+
+    names = model.labels.names
+    pdf = pd.DataFrame({"token": model.features.stages[1].vocabulary,
+                        "idf": model.features.stages[2].idf.toArray()})
+    for n in names:
+        pdf[f"b_{n}"] = model.per_label[n].coefficients.toArray()
     spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "token string, label string, label_index int, beta double, "
-                                       "idf double, intercept double")
+    wide = spark.createDataFrame(pdf)
+    rows = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(i).alias("label_index"),
+                              F.col(f"b_{n}").alias("beta"),
+                              F.lit(float(model.per_label[n].intercept)).alias("intercept"))
+                     for i, n in enumerate(names)])
+    return wide.select("token", "idf", F.inline(rows)).select(
+        "token", "label", "label_index", "beta", "idf", "intercept")
 
 
 def token_contributions(model: MultiLabelModel, df: DataFrame, id_col: str = "row_id",

@@ -12,6 +12,7 @@ the cluster. The explicit vocabulary keeps features interpretable per token
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -48,25 +49,30 @@ def feature_pipeline(text_col: str = "text", num_features: int = NUM_FEATURES) -
 
 def train(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, text_col: str = "text",
           weight_col: str | None = None, reg_param: float = 0.01, max_iter: int = 20,
-          num_features: int = NUM_FEATURES, features_model: PipelineModel | None = None) -> MultiLabelModel:
+          num_features: int = NUM_FEATURES, features_model: PipelineModel | None = None,
+          parallel_fits: int = 8) -> MultiLabelModel:
     """Binary relevance training. The feature matrix is computed once and
     persisted for the L fits."""
     fm = features_model or feature_pipeline(text_col, num_features).fit(df)
     feats = fm.transform(df).select("features", *labels.names,
                                     *([weight_col] if weight_col else [])).persist()
-    models = {}
+    def fit_one(n):
+        lr = LogisticRegression(featuresCol="features", labelCol=n, regParam=reg_param,
+                                elasticNetParam=0.0, maxIter=max_iter, standardization=False,
+                                predictionCol=f"_p_{n}", probabilityCol=f"_pr_{n}",
+                                rawPredictionCol=f"_raw_{n}")
+        if weight_col:
+            lr = lr.setWeightCol(weight_col)
+        return n, lr.fit(feats.withColumn(n, F.col(n).cast("double")))
+
+    # The L fits are independent jobs over the same cached features; they are
+    # submitted concurrently so small per-iteration stages share the cores.
     try:
-        for n in labels.names:
-            lr = LogisticRegression(featuresCol="features", labelCol=n, regParam=reg_param,
-                                    elasticNetParam=0.0, maxIter=max_iter, standardization=False,
-                                    predictionCol=f"_p_{n}", probabilityCol=f"_pr_{n}",
-                                    rawPredictionCol=f"_raw_{n}")
-            if weight_col:
-                lr = lr.setWeightCol(weight_col)
-            models[n] = lr.fit(feats.withColumn(n, F.col(n).cast("double")))
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(labels)))) as pool:
+            models = dict(pool.map(fit_one, labels.names))
     finally:
         feats.unpersist()
-    return MultiLabelModel(fm, models, labels)
+    return MultiLabelModel(fm, {n: models[n] for n in labels.names}, labels)
 
 
 def score(model: MultiLabelModel, df: DataFrame, keep=("row_id",)) -> DataFrame:
