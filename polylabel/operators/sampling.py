@@ -96,7 +96,7 @@ def _plan_literals(plan_rows):
 
 def oversample(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEFAULT_SEED,
                id_col: str = "row_id", augment: bool = True, copy_chunk: int = 4096,
-               plan_rows=None, include_original: bool = True) -> DataFrame:
+               plan_rows=None, include_original: bool = True, mode: str = "exact") -> DataFrame:
     """F1 + F2 + F3 + C2: oversample every label up to the largest label
     count. Quotas come from the original table; the source rows of label l
     are the rows having l; copies keep all labels and ``source`` (so other
@@ -115,6 +115,10 @@ def oversample(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEF
     require_columns(df, [id_col, "text"] + list(labels.names), "labelled table")
     if plan_rows is None:
         plan_rows = oversample_plan(df, labels).collect()  # L rows
+    if mode == "bootstrap":
+        return oversample_bootstrap(df, labels, seed, id_col, augment, plan_rows, include_original)
+    if mode != "exact":
+        raise ValueError(f"unknown oversampling mode {mode!r}")
     plan = _plan_literals(plan_rows)
     active = [n for n in labels.names if plan.get(n, (0, 0, 0))[2] > 0]
     base = df.withColumn("_key", selection_key(id_col, seed))
@@ -160,6 +164,74 @@ def oversample(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEF
     return originals.unionByName(synth) if include_original else synth
 
 
+def oversample_bootstrap(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEFAULT_SEED,
+                         id_col: str = "row_id", augment: bool = True, plan_rows=None,
+                         include_original: bool = True) -> DataFrame:
+    """each of the q_l synthetic rows of label l copies a row drawn
+    uniformly with replacement from the n_l rows having l (draw j picks the
+    row of rank pmod(md5(seed:label:j), n_l)).
+
+    Ranks inside a label come from the bucket histogram: rank = rows in lower
+    buckets + position inside the bucket, so no window spans a whole label.
+    The draws (q rows, generated from the plan counts) are equi-joined to the
+    ranked rows on (label, rank)."""
+    if plan_rows is None:
+        plan_rows = oversample_plan(df, labels).collect()
+    plan = {r["label"]: (int(r["count"]), int(r["quota"] or 0)) for r in plan_rows}
+    active = [n for n in labels.names if plan.get(n, (0, 0))[1] > 0]
+    extra_cols = [c for c in ("source",) if c in df.columns]
+    originals = df.select(F.col(id_col).alias("origin_id"), F.lit(None).cast("string").alias("copy_label"),
+                          F.lit(0).cast("long").alias("copy_no"), "text", *labels.names, *extra_cols)
+    if not active:
+        return originals
+    spark = df.sparkSession
+    pairs = (df.withColumn("_key", selection_key(id_col, seed))
+             .select("*", F.explode(F.filter(F.array(*[F.when(F.col(n) == 1, F.lit(n)) for n in active]),
+                                             lambda x: x.isNotNull())).alias("copy_label")))
+    hist = bucket_histogram(pairs, ["copy_label"], "_key")
+    w = Window.partitionBy("copy_label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding,
+                                                                        Window.currentRow)
+    offsets = hist.withColumn("_before", F.sum("_cnt").over(w) - F.col("_cnt")).select(
+        "copy_label", "_bucket", "_before")
+    in_bucket = Window.partitionBy("copy_label", "_bucket").orderBy("_key", id_col)
+    ranked = (pairs.withColumn("_bucket", F.substring("_key", 1, 3))
+              .join(F.broadcast(offsets), ["copy_label", "_bucket"])
+              .withColumn("_rank", F.col("_before") + F.row_number().over(in_bucket) - 1))
+    # q_l draws per label from one range: label boundaries are literals
+    total, bounds = 0, []
+    for n in active:
+        bounds.append((n, total, plan[n][0]))
+        total += plan[n][1]
+    j = F.col("id")
+    label_of = None
+    start_of = None
+    n_of = None
+    for n, start, cnt in reversed(bounds):  # highest start first: first true branch wins
+        cond = j >= start
+        label_of = F.when(cond, F.lit(n)) if label_of is None else label_of.when(cond, F.lit(n))
+        start_of = F.when(cond, F.lit(start)) if start_of is None else start_of.when(cond, F.lit(start))
+        n_of = F.when(cond, F.lit(cnt)) if n_of is None else n_of.when(cond, F.lit(cnt))
+    draws = (spark.range(total).select(label_of.alias("copy_label"), (j - start_of).alias("_j"), n_of.alias("_n"))
+             .withColumn("_rank", F.pmod(TF.draw(seed, F.col("copy_label"), F.col("_j"), "boot"), F.col("_n")))
+             .withColumn("copy_no", F.col("_j") + 1))
+    synth = draws.join(ranked, ["copy_label", "_rank"])
+    text = F.col("text")
+    if augment:
+        rid, lab, cno = F.col(id_col), F.col("copy_label"), F.col("copy_no")
+        synth = synth.withColumns({
+            "_w": TF.words(text),
+            "_kind": F.pmod(TF.draw(seed, rid, lab, cno, "kind"), 3),
+            "_d1": TF.draw(seed, rid, lab, cno, "a"),
+            "_d2": TF.draw(seed, rid, lab, cno, "b"),
+            "_d3": TF.draw(seed, rid, lab, cno, "d"),
+        })
+        synth = synth.withColumns(TF.swap_delete_positions("_w", "_d1", "_d2", "_d3"))
+        text = F.array_join(TF.swap_delete("_w", "_kind", "_pa", "_pb", "_pd"), " ")
+    synth = synth.select(F.col(id_col).alias("origin_id"), "copy_label", F.col("copy_no").cast("long"),
+                         text.alias("text"), *labels.names, *extra_cols)
+    return originals.unionByName(synth) if include_original else synth
+
+
 # ---------------------------------------------------------------- splitting
 
 def stratum_col(labels: LabelSet = DEFAULT_LABELS) -> Column:

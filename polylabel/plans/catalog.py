@@ -153,6 +153,13 @@ def oversample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.md5("text").alias("text_md5"))
 
 
+def oversample_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uniform draws with replacement per synthetic row (bootstrap mode)."""
+    df = S.oversample(FX.labelled(spark, sf_dir), L, mode="bootstrap")
+    return df.select("origin_id", "copy_label", "copy_no", *L.names, "source",
+                     F.md5("text").alias("text_md5"))
+
+
 def balanced_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label counts after balancing."""
     return ST.label_counts(S.oversample(FX.labelled(spark, sf_dir), L, augment=False), L)
@@ -437,6 +444,7 @@ QUERIES = {
     "sample_weights": sample_weights,
     "oversample_plan": oversample_plan,
     "oversample_rows": oversample_rows,
+    "oversample_bootstrap": oversample_bootstrap,
     "balanced_distribution": balanced_distribution,
     "stratified_split": stratified_split,
     "weighted_sample": weighted_sample,

@@ -795,3 +795,24 @@ SELECT row_id, CAST(CASE WHEN {_ws("out")} = '' THEN 0 ELSE len(string_split({_w
 FROM a4"""
 
 ORACLE["augment_words"] = AUGMENT
+
+
+BOOT_CTE = f"""{LAB_CTE},
+{PLAN_CTE},
+pairs AS ({_PAIRS}),
+ranked AS (
+  SELECT x.*, row_number() OVER (PARTITION BY copy_label ORDER BY {_key()}, row_id) - 1 AS rk FROM pairs x),
+dr AS (SELECT label AS copy_label, count AS n, unnest(generate_series(0, quota - 1)) AS j FROM plan WHERE quota > 0),
+drk AS (SELECT copy_label, j, {_draw("copy_label", "j", "'boot'")} % n AS rk FROM dr),
+syn AS (SELECT r.row_id, r.text, r.source, {", ".join("r." + n for n in N)}, r.copy_label,
+          CAST(d.j + 1 AS BIGINT) AS copy_no
+        FROM drk d JOIN ranked r ON d.copy_label = r.copy_label AND d.rk = r.rk)"""
+
+OVERSAMPLE_BOOT = f"""WITH {BOOT_CTE},
+{AUG_CTE}
+SELECT row_id AS origin_id, CAST(NULL AS VARCHAR) AS copy_label, CAST(0 AS BIGINT) AS copy_no,
+  {", ".join(N)}, source, md5(text) AS text_md5 FROM lab
+UNION ALL
+SELECT row_id, copy_label, copy_no, {", ".join(N)}, source, md5(array_to_string(w3, ' ')) FROM st"""
+
+ORACLE["oversample_bootstrap"] = OVERSAMPLE_BOOT

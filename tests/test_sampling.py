@@ -110,3 +110,11 @@ def test_augmentation_rules(spark):
             words = r["text"].split()
             assert sorted(words) == sorted(r["orig"].split()) or len(words) >= n - n // 10
     assert LabelSet(("x",))
+
+
+def test_bootstrap_mode_quotas(spark, lab):
+    out = S.oversample(lab, mode="bootstrap").filter("copy_no > 0")
+    per = {r["copy_label"]: r["count"] for r in out.groupBy("copy_label").count().collect()}
+    assert per == {"anger": 129, "joy": 156, "sadness": 121, "surprise": 134}
+    # every copy comes from a row that carries its trigger label
+    assert out.filter(" OR ".join(f"(copy_label = '{n}' AND {n} <> 1)" for n in L.names)).count() == 0
