@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from ..functions import labels as LF
 from ..functions import text as TF
 from ..schema import DEFAULT_LABELS, LabelSet, require_columns
+from ..session import bounded_broadcast
 from .stats import label_counts
 
 DEFAULT_SEED = 42
@@ -43,18 +44,18 @@ def flag_lowest_k(df: DataFrame, group_cols, k_table: DataFrame, key_col: str, t
                   out_col: str = "selected", bucket_digits: int = 3, hist: DataFrame | None = None) -> DataFrame:
     """Flags, per group, the ``k`` rows with the lowest (key, tie) — exact.
 
-    ``k_table`` has the group columns and ``k`` (one row per group; at most a
-    few thousand groups). The (group, bucket) histogram has at most
-    groups x 16^bucket_digits rows, so broadcasting the bucket decisions is
-    size-bounded. Only rows of a boundary bucket go through a window, and
-    that window is partitioned by (group, bucket)."""
+    ``k_table`` has the group columns and ``k`` (one row per group). The
+    (group, bucket) decision table has at most groups x 16^bucket_digits
+    rows; it is counted and broadcast only below ``BROADCAST_MAX_ROWS``
+    (many strata fall back to a shuffle join). Only rows of a boundary bucket
+    go through a window, and that window is partitioned by (group, bucket)."""
     group_cols = list(group_cols)
     if hist is None:
         hist = bucket_histogram(df, group_cols, key_col, bucket_digits)
     df = df.withColumn("_bucket", F.substring(F.col(key_col), 1, bucket_digits))
     w = Window.partitionBy(*group_cols).orderBy("_bucket") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dec = (hist.join(F.broadcast(k_table.select(*group_cols, F.col("k").alias("_k"))), group_cols, "left")
+    dec = (hist.join(k_table.select(*group_cols, F.col("k").alias("_k")), group_cols, "left")
            .withColumn("_cum", F.sum("_cnt").over(w))
            .withColumn("_before", F.col("_cum") - F.col("_cnt"))
            .withColumn("_k", F.coalesce("_k", F.lit(0)))
@@ -62,7 +63,7 @@ def flag_lowest_k(df: DataFrame, group_cols, k_table: DataFrame, key_col: str, t
                        .when(F.col("_before") >= F.col("_k"), F.lit(0)).otherwise(F.lit(1)))
            .withColumn("_need", F.col("_k") - F.col("_before"))
            .select(*group_cols, "_bucket", "_mode", "_need"))
-    j = df.join(F.broadcast(dec), group_cols + ["_bucket"], "left")
+    j = df.join(bounded_broadcast(dec), group_cols + ["_bucket"], "left")
     whole = j.filter(F.col("_mode") != 1).withColumn(out_col, F.col("_mode") == 2)
     edge_w = Window.partitionBy(*group_cols, "_bucket").orderBy(key_col, tie_col)
     edge = (j.filter(F.col("_mode") == 1)

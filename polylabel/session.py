@@ -79,3 +79,19 @@ def spread(df, key: str, min_partitions: int | None = None):
     if len(df.inputFiles()) < target:
         return df.repartition(target, key)
     return df
+
+
+# Largest table (in rows) a library operator broadcasts after counting it.
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def bounded_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only when a count proves it small; otherwise return
+    it unchanged so the planner picks a shuffle join. ``df`` should be a
+    small aggregate: it is persisted so the count and the join share one
+    computation."""
+    from pyspark.sql import functions as F
+
+    df = df.persist()
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
