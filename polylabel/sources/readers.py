@@ -51,15 +51,11 @@ def read_labelled_csv(spark: SparkSession, path: str, labels: LabelSet = DEFAULT
     return df
 
 
-def validate_labelled(df: DataFrame, labels: LabelSet = DEFAULT_LABELS,
-                      allow_unlabelled: bool = True) -> DataFrame:
-    """A1 check: ``text`` always; label columns unless the set is unlabelled."""
-    require_columns(df, ["text"], "labelled table")
-    missing = [n for n in labels.names if n not in df.columns]
-    if missing and not allow_unlabelled:
-        require_columns(df, labels.names, "labelled table")
-    if missing:
-        require_columns(df, ["text"] + list(labels.names), "labelled table")
+def validate_labelled(df: DataFrame, labels: LabelSet = DEFAULT_LABELS) -> DataFrame:
+    """A1 check: ``text`` and every label column must exist (one error naming
+    all missing columns); label columns are cast to int. A set whose label
+    columns are all null is an unlabelled set (see ``metrics.unlabelled_check``)."""
+    require_columns(df, ["text"] + list(labels.names), "labelled table")
     return df.withColumns({n: F.col(n).cast("int") for n in labels.names})
 
 
