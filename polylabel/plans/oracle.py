@@ -73,15 +73,15 @@ def _sums_cte(source: str = "rowf", group: str = "") -> str:
     parts = ["count(*) AS n"]
     for n in N:
         parts += [
-            f"sum(CASE WHEN true_{n}=1 AND pred_{n}=1 THEN 1 ELSE 0 END) AS tp_{n}",
-            f"sum(CASE WHEN true_{n}=0 AND pred_{n}=1 THEN 1 ELSE 0 END) AS fp_{n}",
-            f"sum(CASE WHEN true_{n}=1 AND pred_{n}=0 THEN 1 ELSE 0 END) AS fn_{n}",
-            f"sum(CASE WHEN true_{n}=0 AND pred_{n}=0 THEN 1 ELSE 0 END) AS tn_{n}",
+            f"CAST(sum(CASE WHEN true_{n}=1 AND pred_{n}=1 THEN 1 ELSE 0 END) AS BIGINT) AS tp_{n}",
+            f"CAST(sum(CASE WHEN true_{n}=0 AND pred_{n}=1 THEN 1 ELSE 0 END) AS BIGINT) AS fp_{n}",
+            f"CAST(sum(CASE WHEN true_{n}=1 AND pred_{n}=0 THEN 1 ELSE 0 END) AS BIGINT) AS fn_{n}",
+            f"CAST(sum(CASE WHEN true_{n}=0 AND pred_{n}=0 THEN 1 ELSE 0 END) AS BIGINT) AS tn_{n}",
         ]
-    parts += ["sum(exact) AS n_exact", "sum(n_true) AS n_label_total",
-              "sum(CASE WHEN n_true > 1 THEN 1 ELSE 0 END) AS n_multi",
-              "sum(CASE WHEN n_true > 1 THEN exact ELSE 0 END) AS n_multi_exact",
-              "sum(1 - exact) AS n_mismatch",
+    parts += ["CAST(sum(exact) AS BIGINT) AS n_exact", "CAST(sum(n_true) AS BIGINT) AS n_label_total",
+              "CAST(sum(CASE WHEN n_true > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_multi",
+              "CAST(sum(CASE WHEN n_true > 1 THEN exact ELSE 0 END) AS BIGINT) AS n_multi_exact",
+              "CAST(sum(1 - exact) AS BIGINT) AS n_mismatch",
               "sum(sp) AS s_sp", "sum(sr) AS s_sr", "sum(sf) AS s_sf", "sum(jaccard) AS s_j"]
     sel = (group + ", " if group else "") + ",\n    ".join(parts)
     gb = f" GROUP BY {group}" if group else ""
@@ -139,7 +139,7 @@ k AS (SELECT {_sum("true_{n}")} AS n_labels FROM scored),
 c AS (SELECT n_labels, count(*) AS n_texts FROM k GROUP BY n_labels),
 b AS (SELECT max(n_labels) AS mx, sum(n_texts) AS n FROM c),
 spine AS (SELECT unnest(generate_series(1, greatest(mx, 1))) AS n_labels, n, mx FROM b)
-SELECT s.n_labels, CAST(coalesce(c.n_texts, 0) AS BIGINT) AS n_texts,
+SELECT CAST(s.n_labels AS INTEGER) AS n_labels, CAST(coalesce(c.n_texts, 0) AS BIGINT) AS n_texts,
   round(coalesce(c.n_texts, 0) * 100.0e0 / s.n, 6) AS pct
 FROM spine s LEFT JOIN c ON s.n_labels = c.n_labels WHERE s.n_labels <= s.mx"""
 
@@ -194,10 +194,10 @@ QUALITY = f"""WITH q AS (
     CASE WHEN d.n_chars % 7 = 0 THEN 1 ELSE 0 END AS pred_toxic
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 sums AS (SELECT count(*) AS n,
-  {", ".join(f"sum(CASE WHEN true_{n}=1 AND pred_{n}=1 THEN 1 ELSE 0 END) AS tp_{n}, "
-             f"sum(CASE WHEN true_{n}=0 AND pred_{n}=1 THEN 1 ELSE 0 END) AS fp_{n}, "
-             f"sum(CASE WHEN true_{n}=1 AND pred_{n}=0 THEN 1 ELSE 0 END) AS fn_{n}, "
-             f"sum(CASE WHEN true_{n}=0 AND pred_{n}=0 THEN 1 ELSE 0 END) AS tn_{n}"
+  {", ".join(f"CAST(sum(CASE WHEN true_{n}=1 AND pred_{n}=1 THEN 1 ELSE 0 END) AS BIGINT) AS tp_{n}, "
+             f"CAST(sum(CASE WHEN true_{n}=0 AND pred_{n}=1 THEN 1 ELSE 0 END) AS BIGINT) AS fp_{n}, "
+             f"CAST(sum(CASE WHEN true_{n}=1 AND pred_{n}=0 THEN 1 ELSE 0 END) AS BIGINT) AS fn_{n}, "
+             f"CAST(sum(CASE WHEN true_{n}=0 AND pred_{n}=0 THEN 1 ELSE 0 END) AS BIGINT) AS tn_{n}"
              for n in ("quality", "toxic"))}
   FROM q),
 lab AS (
