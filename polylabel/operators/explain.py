@@ -6,14 +6,14 @@ exact answers are cheap and need no sampling, so every document is explained
 in one pass:
 
 * J3 linear SHAP on the log-odds: phi_j = beta_j * (x_j - E[x_j]) with
-  x_j = tf_j * idf_j and E[x_j] the corpus mean;
+  x_j = tf_j * idf_j and E[x_j] the mean over the explained corpus;
 * J4 occlusion: the change in probability when every occurrence of a token
   is removed, p - sigmoid(z - beta_j * x_j), exact for a linear model.
 
 Work is one explode of each whole text into (doc, token) counts, a
-broadcast join with the coefficient table (bounded by vocabulary size x L),
-and windows partitioned by (doc, label) over that document's distinct
-tokens only.
+broadcast join with the coefficient table (one row per vocabulary entry),
+and windows over one document's distinct tokens; all of it clustered on the
+document key, so one shuffle in total.
 """
 
 from __future__ import annotations
@@ -26,55 +26,66 @@ from .features import tokens
 from .model import MultiLabelModel
 
 
-def coefficient_table(model: MultiLabelModel) -> DataFrame:
-    """(token, label, label_index, beta, idf, intercept) of the fitted model.
-    Its size is bounded by vocabulary size x number of labels. The model
-    parameters already live on the driver; they are shipped once as an
-    Arrow batch (one row per token) and unpivoted by Spark."""
+def coefficient_table(model: MultiLabelModel, mean_x=None) -> DataFrame:
+    """Wide per-token parameters of the fitted model: token, idf, mean_x
+    (background E[x_j]) and one ``b_<label>`` coefficient column per label.
+    One row per vocabulary entry, so its size is bounded by the vocabulary
+    size; the parameters already live on the driver and are shipped once as
+    an Arrow batch."""
     import pandas as pd
 
-    names = model.labels.names
     pdf = pd.DataFrame({"token": model.features.stages[1].vocabulary,
                         "idf": model.features.stages[2].idf.toArray()})
-    for n in names:
+    pdf["mean_x"] = 0.0 if mean_x is None else mean_x
+    for n in model.labels.names:
         pdf[f"b_{n}"] = model.per_label[n].coefficients.toArray()
-    spark = SparkSession.getActiveSession()
-    wide = spark.createDataFrame(pdf)
-    rows = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(i).alias("label_index"),
-                              F.col(f"b_{n}").alias("beta"),
-                              F.lit(float(model.per_label[n].intercept)).alias("intercept"))
-                     for i, n in enumerate(names)])
-    return wide.select("token", "idf", F.inline(rows)).select(
-        "token", "label", "label_index", "beta", "idf", "intercept")
+    return SparkSession.getActiveSession().createDataFrame(pdf)
+
+
+def background_mean(model: MultiLabelModel, df: DataFrame, text_col: str = "text"):
+    """E[x_j] over ``df``: the mean TF-IDF vector, one distributed
+    tree-aggregation (no shuffle) returning a vocabulary-sized vector."""
+    from pyspark.ml.stat import Summarizer
+
+    feats = model.features.transform(df.select(text_col))
+    return feats.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
 
 
 def token_contributions(model: MultiLabelModel, df: DataFrame, id_col: str = "row_id",
-                        text_col: str = "text", drop_tokens=()) -> DataFrame:
+                        text_col: str = "text", drop_tokens=(), mean_x=None) -> DataFrame:
     """Per (doc, label, token): tf, x = tf*idf, attribution (J3), occlusion
     delta (J4), the doc's probability, and the signed weight scaled by the
-    largest absolute attribution of that doc and label (B26)."""
-    tf = (df.select(id_col, F.explode(tokens(text_col)).alias("token"))
+    largest absolute attribution of that doc and label (B26).
+
+    Plan: documents are hash-partitioned by their key once; every later
+    step (token counts per (doc, token), the per-document margins, the
+    per-(doc, label) scaling and ranking) is clustered on the document key,
+    so the whole computation costs one shuffle. Labels stay wide until the
+    final unpivot."""
+    labels = model.labels
+    if mean_x is None:
+        mean_x = background_mean(model, df, text_col)
+    coef = F.broadcast(coefficient_table(model, mean_x))
+    docs = df.select(id_col, text_col).repartition(id_col)
+    tf = (docs.select(id_col, F.explode(tokens(text_col)).alias("token"))
           .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
     if drop_tokens:  # B25
         tf = tf.filter(~F.col("token").isin(list(drop_tokens)))
-    coef = F.broadcast(coefficient_table(model))
-    # corpus mean of each feature: sum of tf over docs / n docs (a token-keyed
-    # partial aggregation) times idf
-    n_docs = df.count()  # one scalar to the driver
-    tf_sum = tf.groupBy("token").agg(F.sum("tf").alias("_tf_sum"))
-    j = tf.join(coef, "token").join(tf_sum, "token")
-    x = F.col("tf") * F.col("idf")
-    mean_x = F.col("_tf_sum") / F.lit(float(max(n_docs, 1))) * F.col("idf")
-    j = j.withColumns({"x": x, "attribution": F.nanvl(F.col("beta") * (x - mean_x), F.lit(0.0))})  # B24
-    w = Window.partitionBy(id_col, "label")
-    z = F.sum(F.col("beta") * F.col("x")).over(w) + F.col("intercept")
-    j = j.withColumn("_z", z)
+    j = tf.join(coef, "token").withColumn("x", F.col("tf") * F.col("idf"))
+    per_doc = Window.partitionBy(id_col)
+    j = j.withColumns({f"_z_{n}": F.sum(F.col(f"b_{n}") * F.col("x")).over(per_doc)
+                       + F.lit(float(model.per_label[n].intercept)) for n in labels.names})
+    rows = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(i).alias("label_index"),
+                              F.col(f"b_{n}").alias("beta"), F.col(f"_z_{n}").alias("_z"))
+                     for i, n in enumerate(labels.names)])
+    j = j.select(id_col, "token", "tf", "x", "mean_x", F.inline(rows))
     sig = lambda c: F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
     j = j.withColumns({
+        "attribution": F.nanvl(F.col("beta") * (F.col("x") - F.col("mean_x")), F.lit(0.0)),  # B24
         "prob": sig(F.col("_z")),
         "occlusion": sig(F.col("_z")) - sig(F.col("_z") - F.col("beta") * F.col("x")),
     })
-    mx = F.max(F.abs("attribution")).over(w)
+    mx = F.max(F.abs("attribution")).over(Window.partitionBy(id_col, "label"))
     scaled = F.when(mx > 0, F.least(F.abs("attribution") / mx, F.lit(1.0))).otherwise(F.lit(0.0))
     j = j.withColumn("weight", F.signum("attribution") * scaled)
     return j.select(id_col, "label", "label_index", "token", "tf", "x", "attribution", "occlusion",

@@ -141,7 +141,10 @@ def oversample(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEF
     chunked = with_n.withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
                                        F.floor((F.col("_copies") - 1) / copy_chunk).cast("long"))))
-    chunked = chunked.repartition(id_col, "copy_label", "_chunk")
+    max_copies = max(plan[n][0] + (1 if plan[n][1] else 0) for n in active)
+    if max_copies > copy_chunk:
+        # some row needs more copies than one chunk: spread its chunks over tasks
+        chunked = chunked.repartition(id_col, "copy_label", "_chunk")
     lo = F.col("_chunk") * copy_chunk + 1
     hi = F.least(F.col("_copies"), (F.col("_chunk") + 1) * copy_chunk)
     synth = chunked.withColumn("copy_no", F.explode(F.sequence(lo, hi)))
