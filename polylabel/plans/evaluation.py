@@ -19,6 +19,9 @@ def evaluate(scored: DataFrame, labels: LabelSet = DEFAULT_LABELS, examples: int
     section as a DataFrame. The per-label, summary and metric-table sections
     share one aggregation pass."""
     scored = scored.persist()
+    if M.unlabelled_check(scored, labels.true_cols).first()["is_unlabelled"]:
+        # Q21: an unlabelled set is not evaluated against all-zero truth
+        raise ValueError("cannot evaluate an unlabelled table: every truth column is null")
     sums = M.metric_sums(scored, labels).persist()
     return {
         "per_label": M.per_label_from_sums(sums, labels),

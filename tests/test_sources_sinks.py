@@ -78,3 +78,35 @@ def test_evaluate_and_compare(spark):
     cmp = EV.compare_annotators(scored, FX.annotations(spark, SF001), L)
     assert cmp["agreement"].select("annotator_id").distinct().count() == 3
     assert cmp["unmatched"].count() == 0
+
+
+def test_evaluate_refuses_unlabelled(spark):
+    from polylabel.schema import LabelSet
+    ls = LabelSet(("a",))
+    df = spark.createDataFrame([(1, None, 1), (2, None, 0)], "row_id long, true_a int, pred_a int")
+    with pytest.raises(ValueError, match="unlabelled"):
+        EV.evaluate(df, ls)
+
+
+def test_score_with_map_in_pandas(spark):
+    from polylabel.operators import model as MD
+
+    def scorer(batches):
+        for pdf in batches:  # a stand-in external model: longer texts score higher
+            p = (pdf["text"].str.len() / 10.0).clip(0, 1)
+            yield pdf[["row_id"]].assign(prob_x=p, pred_x=(p > 0.5).astype("int32"))
+
+    df = spark.createDataFrame([(1, "abc"), (2, "abcdefghij")], "row_id long, text string")
+    out = {r["row_id"]: (r["prob_x"], r["pred_x"])
+           for r in MD.score_with(df, scorer, "row_id long, prob_x double, pred_x int").collect()}
+    assert out == {1: (0.3, 0), 2: (1.0, 1)}
+
+
+def test_weights_truthiness(spark):
+    from polylabel.operators import sampling as S
+    from polylabel.schema import LabelSet
+    ls = LabelSet(("a", "b"))
+    df = spark.createDataFrame([(1, 1, 0), (2, None, 1), (3, 0, 0), (4, 1, 1)], "row_id long, a int, b int")
+    w = {r["row_id"]: r["weight"] for r in S.sample_weights(df, ls).collect()}
+    # counts a = 2, b = 2; a null value counts as present (Q8); no label weighs 1.0 (Q6)
+    assert w == {1: 0.5, 2: 1.0, 3: 1.0, 4: 1.0}
