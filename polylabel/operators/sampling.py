@@ -95,6 +95,25 @@ def _plan_literals(plan_rows):
             for r in plan_rows}
 
 
+def _copy_text(synth: DataFrame, seed: int, id_col: str, augment: bool):
+    """Text of synthetic copies: B23 swap/delete with per-copy draws seeded
+    by (seed, row, label, copy number). The word array and the draws are
+    materialised as columns first; inside the array lambdas they would be
+    re-evaluated for every element."""
+    if not augment:
+        return synth, F.col("text")
+    rid, lab, cno = F.col(id_col), F.col("copy_label"), F.col("copy_no")
+    synth = synth.withColumns({
+        "_w": TF.words(F.col("text")),
+        "_kind": F.pmod(TF.draw(seed, rid, lab, cno, "kind"), 3),
+        "_d1": TF.draw(seed, rid, lab, cno, "a"),
+        "_d2": TF.draw(seed, rid, lab, cno, "b"),
+        "_d3": TF.draw(seed, rid, lab, cno, "d"),
+    })
+    synth = synth.withColumns(TF.swap_delete_positions("_w", "_d1", "_d2", "_d3"))
+    return synth, F.array_join(TF.swap_delete("_w", "_kind", "_pa", "_pb", "_pd"), " ")
+
+
 def oversample(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEFAULT_SEED,
                id_col: str = "row_id", augment: bool = True, copy_chunk: int = 4096,
                plan_rows=None, include_original: bool = True, mode: str = "exact") -> DataFrame:
@@ -148,21 +167,7 @@ def oversample(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEF
     lo = F.col("_chunk") * copy_chunk + 1
     hi = F.least(F.col("_copies"), (F.col("_chunk") + 1) * copy_chunk)
     synth = chunked.withColumn("copy_no", F.explode(F.sequence(lo, hi)))
-    text = F.col("text")
-    if augment:
-        # Materialise the word array and the per-copy draws as columns first:
-        # inside the array lambdas they would be re-evaluated per element.
-        rid, lab, cno = F.col(id_col), F.col("copy_label"), F.col("copy_no")
-        synth = synth.withColumns({
-            "_w": TF.words(text),
-            "_kind": F.pmod(TF.draw(seed, rid, lab, cno, "kind"), 3),
-            "_d1": TF.draw(seed, rid, lab, cno, "a"),
-            "_d2": TF.draw(seed, rid, lab, cno, "b"),
-            "_d3": TF.draw(seed, rid, lab, cno, "d"),
-        })
-        synth = synth.withColumns(TF.swap_delete_positions("_w", "_d1", "_d2", "_d3"))
-        aug = TF.swap_delete("_w", "_kind", "_pa", "_pb", "_pd")
-        text = F.array_join(aug, " ")
+    synth, text = _copy_text(synth, seed, id_col, augment)
     synth = synth.select(F.col(id_col).alias("origin_id"), "copy_label", "copy_no",
                          text.alias("text"), *labels.names, *extra_cols)
     return originals.unionByName(synth) if include_original else synth
@@ -219,18 +224,7 @@ def oversample_bootstrap(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed:
              .withColumn("_rank", F.pmod(TF.draw(seed, F.col("copy_label"), F.col("_j"), "boot"), F.col("_n")))
              .withColumn("copy_no", F.col("_j") + 1))
     synth = draws.join(ranked, ["copy_label", "_rank"])
-    text = F.col("text")
-    if augment:
-        rid, lab, cno = F.col(id_col), F.col("copy_label"), F.col("copy_no")
-        synth = synth.withColumns({
-            "_w": TF.words(text),
-            "_kind": F.pmod(TF.draw(seed, rid, lab, cno, "kind"), 3),
-            "_d1": TF.draw(seed, rid, lab, cno, "a"),
-            "_d2": TF.draw(seed, rid, lab, cno, "b"),
-            "_d3": TF.draw(seed, rid, lab, cno, "d"),
-        })
-        synth = synth.withColumns(TF.swap_delete_positions("_w", "_d1", "_d2", "_d3"))
-        text = F.array_join(TF.swap_delete("_w", "_kind", "_pa", "_pb", "_pd"), " ")
+    synth, text = _copy_text(synth, seed, id_col, augment)
     synth = synth.select(F.col(id_col).alias("origin_id"), "copy_label", F.col("copy_no").cast("long"),
                          text.alias("text"), *labels.names, *extra_cols)
     return originals.unionByName(synth) if include_original else synth
