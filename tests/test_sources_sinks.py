@@ -110,3 +110,22 @@ def test_weights_truthiness(spark):
     w = {r["row_id"]: r["weight"] for r in S.sample_weights(df, ls).collect()}
     # counts a = 2, b = 2; a null value counts as present (Q8); no label weighs 1.0 (Q6)
     assert w == {1: 0.5, 2: 1.0, 3: 1.0, 4: 1.0}
+
+
+def test_read_labelled_csv_quoting(spark):
+    from polylabel.schema import labelled_schema
+    d = tempfile.mkdtemp(prefix="polylabel-csv-")
+    path = os.path.join(d, "dev.csv")
+    with open(path, "w") as f:
+        f.write("id,text,anger,fear,joy,sadness,surprise\n")
+        f.write('a1,"He said ""no"", then left",1,0,0,0,0\n')
+        f.write('a2,"""  I\'m like ""sure.",0,0,1,0,0\n')
+        f.write('a3,"two\nlines",,,,,\n')
+    df = R.validate_labelled(R.read_labelled_csv(spark, path, schema=labelled_schema()))
+    rows = {r["id"]: r for r in df.collect()}
+    assert rows["a1"]["text"] == 'He said "no", then left'
+    assert rows["a2"]["text"] == '"  I\'m like "sure.'
+    assert rows["a3"]["text"] == "two\nlines" and rows["a3"]["anger"] is None
+    from polylabel.schema import MissingColumnsError
+    with pytest.raises(MissingColumnsError):
+        R.validate_labelled(df.drop("joy", "fear"))
