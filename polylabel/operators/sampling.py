@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import labels as LF
 from ..functions import text as TF
 from ..schema import DEFAULT_LABELS, LabelSet, require_columns
 from ..session import bounded_broadcast
