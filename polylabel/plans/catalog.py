@@ -253,6 +253,22 @@ def raw_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "model_labels", "human_labels")
 
 
+def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 end to end: the annotation fixture is written as one CSV per
+    annotator into the shared checkpoint folder, read back with one glob scan
+    (annotator id from the file name), joined to the predictions and
+    evaluated (equals ``annotator_agreement``)."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    folder = os.path.join(ensure_checkpoint_dir(spark), "annotations", uuid.uuid4().hex)
+    ids = [f"A{k}" for k in FX.ANNOTATORS]
+    R.write_annotations(FX.annotations(spark, sf_dir), folder, ids)
+    ann = R.read_annotations(spark, folder, L)
+    return AG.agreement(AG.join_annotations(FX.scored(spark, sf_dir), ann, L), L)
+
+
 def annotation_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 + E3: texts each annotator has not annotated yet."""
     texts = FX.scored(spark, sf_dir).select("row_id", "text")
@@ -459,6 +475,7 @@ QUERIES = {
     "annotator_examples": annotator_examples,
     "raw_comparisons": raw_comparisons,
     "annotation_worklist": annotation_worklist,
+    "annotation_files": annotation_files,
     "error_words": error_words,
     "threshold_advice": threshold_advice,
     "vocabulary": vocabulary,

@@ -816,3 +816,5 @@ UNION ALL
 SELECT row_id, copy_label, copy_no, {", ".join(N)}, source, md5(array_to_string(w3, ' ')) FROM st"""
 
 ORACLE["oversample_bootstrap"] = OVERSAMPLE_BOOT
+
+ORACLE["annotation_files"] = AGREEMENT

@@ -126,7 +126,9 @@ def union_sources(frames, allow_missing: bool = False) -> DataFrame:
 
 # ---------------------------------------------------------- annotations
 
-ANNOTATOR_FROM_FILE = r"_([^_/]+)\.csv$"
+# annotator id = last "_" part of the file name; the name may also be a folder
+# of part files written by Spark (``human_annotations_A1.csv/part-...``)
+ANNOTATOR_FROM_PATH = r"_([^_/]+)\.csv(/[^/]*)?$"
 
 
 def read_annotations(spark: SparkSession, folder_or_glob: str, labels: LabelSet = DEFAULT_LABELS,
@@ -138,12 +140,23 @@ def read_annotations(spark: SparkSession, folder_or_glob: str, labels: LabelSet
     df = (spark.read.schema(annotation_schema(labels)).option("header", True)
           .option("multiLine", True).option("escape", '"').csv(path))
     df = df.withColumn("annotator_id",
-                       F.regexp_extract(F.col("_metadata.file_name"), ANNOTATOR_FROM_FILE, 1))
+                       F.regexp_extract(F.col("_metadata.file_path"), ANNOTATOR_FROM_PATH, 1))
     if annotators is not None:
         df = df.filter(F.col("annotator_id").isin(list(annotators)))
     return df.select("annotator_id", "text_id", "text", *labels.names)
 
 
+def write_annotations(annotations: DataFrame, folder: str, annotator_ids, labels: LabelSet = DEFAULT_LABELS,
+                      mode: str = "overwrite") -> None:
+    """One ``human_annotations_<id>.csv`` (a folder of part files) per
+    annotator, in the column order ``text, text_id, <labels>`` that
+    ``read_annotations`` expects."""
+    for a in annotator_ids:
+        (annotations.filter(F.col("annotator_id") == a).select("text", "text_id", *labels.names)
+         .write.mode(mode).option("header", True).option("escape", '"')
+         .csv(f"{folder.rstrip('/')}/human_annotations_{a}.csv"))
+
+
 def annotation_worklist(texts: DataFrame, annotations: DataFrame, annotator_ids,
                         id_col: str = "row_id") -> DataFrame:
     """Per annotator, the texts not yet annotated (the resume
