@@ -36,15 +36,22 @@ def main():
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")),
                           app_name="polylabel-bench")
     catalog.QUERIES["label_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, failed = {}, {}
     for name in names:
         t0 = time.perf_counter()
-        df = catalog.QUERIES[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            df = catalog.QUERIES[name](spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as e:  # noqa: BLE001 - report and keep measuring the rest
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"bench: {name} failed: {failed[name]}", file=sys.stderr)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf}))
+    out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": sf}
+    if failed:
+        out["failed"] = sorted(failed)
+    print(json.dumps(out))
     spark.stop()
 
 
