@@ -24,7 +24,7 @@ HEADLINE = [
     "label_combinations", "sample_weights", "oversample_rows", "stratified_split",
     "training_shards", "augment_words", "confusion_pairs", "mismatch_examples",
     "detailed_predictions", "annotator_agreement", "annotator_examples", "error_words",
-    "threshold_advice", "encode_tokens", "streaming_metrics", "train_and_score",
+    "threshold_advice", "encode_tokens", "streaming_metrics", "corpus_build", "train_and_score",
     "token_attribution",
 ]
 
