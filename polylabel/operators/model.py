@@ -50,12 +50,14 @@ def feature_pipeline(text_col: str = "text", num_features: int = NUM_FEATURES) -
 def train(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, text_col: str = "text",
           weight_col: str | None = None, reg_param: float = 0.01, max_iter: int = 20,
           num_features: int = NUM_FEATURES, features_model: PipelineModel | None = None,
-          parallel_fits: int = 8) -> MultiLabelModel:
+          parallel_fits: int = 8, features_df: DataFrame | None = None) -> MultiLabelModel:
     """Binary relevance training. The feature matrix is computed once and
-    persisted for the L fits."""
+    persisted for the L fits (or passed in, already persisted, as
+    ``features_df``)."""
     fm = features_model or feature_pipeline(text_col, num_features).fit(df)
-    feats = fm.transform(df).select("features", *labels.names,
-                                    *([weight_col] if weight_col else [])).persist()
+    own = features_df is None
+    feats = features_df if not own else fm.transform(df).select(
+        "features", *labels.names, *([weight_col] if weight_col else [])).persist()
     def fit_one(n):
         lr = LogisticRegression(featuresCol="features", labelCol=n, regParam=reg_param,
                                 elasticNetParam=0.0, maxIter=max_iter, standardization=False,
@@ -71,7 +73,8 @@ def train(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, text_col: str = "tex
         with ThreadPoolExecutor(max_workers=max(1, min(parallel_fits, len(labels)))) as pool:
             models = dict(pool.map(fit_one, labels.names))
     finally:
-        feats.unpersist()
+        if own:
+            feats.unpersist()
     return MultiLabelModel(fm, {n: models[n] for n in labels.names}, labels)
 
 
@@ -106,20 +109,31 @@ def epoch_history(train_df: DataFrame, val_df: DataFrame, labels: LabelSet = DEF
     macro metrics (accuracy, F1, precision, recall at threshold 0.5).
     The feature pipeline is fitted once and shared."""
     fm = feature_pipeline().fit(train_df)
-    rows = None
-    for i, e in enumerate(epochs):
-        model = train(train_df, labels, max_iter=e, reg_param=reg_param, features_model=fm)
-        scored = score(model, val_df.select("row_id", "text", *labels.names)) \
-            .join(val_df.select("row_id", *[F.col(n).alias(labels.true(n)) for n in labels.names]), "row_id")
-        sums = M.metric_sums(scored, labels)
-        summ = M.summary_from_sums(sums, labels)
-        one = summ.select(F.lit(run).alias("run"), F.lit(i).alias("epoch"),
-                          F.col("macro_f1").alias("val_f1"),
-                          F.col("macro_precision").alias("val_precision"),
-                          F.col("macro_recall").alias("val_recall"),
-                          F.col("macro_accuracy").alias("val_accuracy"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    feats = fm.transform(train_df).select("features", *labels.names).persist()
+    truth = val_df.select("row_id", *[F.col(n).alias(labels.true(n)) for n in labels.names])
+
+    def one(item):
+        i, e = item
+        model = train(train_df, labels, max_iter=e, reg_param=reg_param, features_model=fm,
+                      features_df=feats)
+        scored = score(model, val_df.select("row_id", "text")).join(truth, "row_id")
+        summ = M.summary_from_sums(M.metric_sums(scored, labels), labels)
+        return summ.select(F.lit(run).alias("run"), F.lit(i).alias("epoch"),
+                           F.col("macro_f1").alias("val_f1"),
+                           F.col("macro_precision").alias("val_precision"),
+                           F.col("macro_recall").alias("val_recall"),
+                           F.col("macro_accuracy").alias("val_accuracy")).collect()[0]
+
+    # epochs are independent fits over the same cached features: run them
+    # concurrently; each returns one metrics row
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(4, len(epochs)))) as pool:
+            rows = list(pool.map(one, enumerate(epochs)))
+    finally:
+        feats.unpersist()
+    spark = train_df.sparkSession
+    return spark.createDataFrame(rows, "run string, epoch int, val_f1 double, val_precision double, "
+                                       "val_recall double, val_accuracy double")
 
 
 def top_epochs(history: DataFrame, metric: str = "val_f1", k: int = 3) -> DataFrame:
