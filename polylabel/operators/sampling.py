@@ -298,14 +298,32 @@ def sample_weights(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, no_label_we
 
 
 def weighted_sample(df: DataFrame, weight_col: str, k: int, seed: int = DEFAULT_SEED,
-                    id_col: str = "row_id") -> DataFrame:
+                    id_col: str = "row_id", top_k_limit: int = 100_000,
+                    accuracy: int = 1_000_000) -> DataFrame:
     """k rows without replacement, probability proportional to weight
-    (Efraimidis-Spirakis: the k largest ln(u)/w). The top-k is a
-    TakeOrderedAndProject: each task keeps k candidates, so only k rows per
-    task reach the final merge."""
+    (Efraimidis-Spirakis: the k largest ln(u)/w, ties by id).
+
+    Small k: a top-k (TakeOrderedAndProject keeps k rows per task). Large k
+    (above ``top_k_limit``), where one task must not hold k rows: an
+    approximate quantile gives a threshold that provably keeps at least k
+    candidates (rank error <= n/accuracy), and only the few surplus
+    candidates (about n/accuracy rows) are found by a small top-k and removed
+    with an anti join, so the exact sample stays distributed."""
     u = (TF.draw(seed, F.col(id_col), "u").cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
     keyed = df.withColumn("es_key", F.log(u) / F.col(weight_col))
-    return keyed.orderBy(F.col("es_key").desc(), F.col(id_col)).limit(int(k))
+    if k <= top_k_limit:
+        return keyed.orderBy(F.col("es_key").desc(), F.col(id_col)).limit(int(k))
+    n = keyed.count()
+    if k >= n:
+        return keyed
+    q = max(0.0, 1.0 - k / n - 2.0 / accuracy)
+    t_low = keyed.agg(F.percentile_approx("es_key", q, accuracy).alias("t")).first()["t"]
+    cand = keyed.filter(F.col("es_key") >= F.lit(t_low))
+    surplus = cand.count() - k
+    if surplus <= 0:
+        return cand
+    drop = cand.orderBy(F.col("es_key").asc(), F.col(id_col).desc()).limit(int(surplus)).select(id_col)
+    return cand.join(drop, id_col, "left_anti")
 
 
 # ------------------------------------------------------------------ shards

@@ -118,3 +118,10 @@ def test_bootstrap_mode_quotas(spark, lab):
     assert per == {"anger": 129, "joy": 156, "sadness": 121, "surprise": 134}
     # every copy comes from a row that carries its trigger label
     assert out.filter(" OR ".join(f"(copy_label = '{n}' AND {n} <> 1)" for n in L.names)).count() == 0
+
+
+def test_weighted_sample_large_k_path_is_exact(spark, lab):
+    w = S.sample_weights(lab)
+    small = {r["row_id"] for r in S.weighted_sample(w, "weight", 300).collect()}
+    large = {r["row_id"] for r in S.weighted_sample(w, "weight", 300, top_k_limit=10, accuracy=1000).collect()}
+    assert small == large and len(large) == 300
