@@ -341,13 +341,15 @@ def run_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     split, _ = _split_and_model(spark, sf_dir)
     train = split.filter(F.col("split") == "train")
     val = split.filter(F.col("split") == "val")
-    hist = MD.epoch_history(train, val, L, epochs=(1, 2, 3, 5, 8))
+    hist = MD.epoch_history(train, val, L, epochs=(1, 2, 3, 4, 6))
     hist = hist.persist()
-    top = MD.top_epochs(hist, "val_f1", 3)
+    top = MD.top_epochs(hist, "val_f1", 3).select("run", "epoch", "rank", F.lit(True).alias("kept"))
     stop = MD.early_stop(hist, "val_f1", patience=3, min_delta=0.001)
-    return top.join(stop, "run").select("run", "epoch", "val_f1", "val_precision", "val_recall",
-                                        "val_accuracy", "rank", "is_last", "best_epoch", "stop_epoch",
-                                        "stopped_early")
+    # every epoch of the history, flagged with the top-3 + last selection
+    out = hist.join(top, ["run", "epoch"], "left").join(stop, "run")
+    return out.select("run", "epoch", "val_f1", "val_precision", "val_recall", "val_accuracy", "rank",
+                      F.coalesce("kept", F.lit(False)).alias("kept"), "best_epoch", "stop_epoch",
+                      "stopped_early")
 
 
 def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
