@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import labels as LF
 from ..functions import text as TF
@@ -343,10 +344,12 @@ def run_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     val = split.filter(F.col("split") == "val")
     hist = MD.epoch_history(train, val, L, epochs=(1, 2, 3, 4, 6))
     hist = hist.persist()
-    top = MD.top_epochs(hist, "val_f1", 3).select("run", "epoch", "rank", F.lit(True).alias("kept"))
+    kept = MD.top_epochs(hist, "val_f1", 3).select("run", "epoch", F.lit(True).alias("kept"))
     stop = MD.early_stop(hist, "val_f1", patience=3, min_delta=0.001)
+    ranked = hist.withColumn("rank", F.row_number().over(
+        Window.partitionBy("run").orderBy(F.col("val_f1").desc(), "epoch")))  # one row per epoch
     # every epoch of the history, flagged with the top-3 + last selection
-    out = hist.join(top, ["run", "epoch"], "left").join(stop, "run")
+    out = ranked.join(kept, ["run", "epoch"], "left").join(stop, "run")
     return out.select("run", "epoch", "val_f1", "val_precision", "val_recall", "val_accuracy", "rank",
                       F.coalesce("kept", F.lit(False)).alias("kept"), "best_epoch", "stop_epoch",
                       "stopped_early")
