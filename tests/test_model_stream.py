@@ -65,3 +65,15 @@ def test_stream_equals_batch(spark):
     got = SM.streaming_per_label_metrics(FX.scored_from_docs(stream, L), L)
     batch = M.per_label_metrics(FX.scored(spark, SF001), L)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_grouped_stream_equals_batch(spark):
+    """H1 keyed accumulators: per-group (here per language) counts in state."""
+    tmp = tempfile.mkdtemp(prefix="polylabel-stream-g-")
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    docs.repartition(3, "doc_id").write.parquet(os.path.join(tmp, "docs"))
+    stream = SM.read_parquet_stream(spark, os.path.join(tmp, "docs"), docs.schema, files_per_trigger=1)
+    got = SM.streaming_per_label_metrics(FX.scored_from_docs(stream, L), L, group_cols=("lang",))
+    batch = M.per_label_metrics(FX.scored(spark, SF001), L, group_cols=("lang",))
+    cols = ["lang", "label", "tp", "fp", "fn", "tn"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
