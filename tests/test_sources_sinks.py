@@ -129,3 +129,12 @@ def test_read_labelled_csv_quoting(spark):
     from polylabel.schema import MissingColumnsError
     with pytest.raises(MissingColumnsError):
         R.validate_labelled(df.drop("joy", "fear"))
+
+
+def test_multi_split_ingest(spark):
+    """A3 + A6 + D22: per-split frames tagged (validation -> val) and counted."""
+    mk = lambda n: spark.createDataFrame([(f"t{i}", [2]) for i in range(n)], "text string, labels array<int>")
+    frames = {"train": mk(5), "validation": mk(2), "test": mk(3)}
+    tagged = R.tag_split({k: R.map_list_corpus(v) for k, v in frames.items()})
+    counts = {r["split"]: r["n_rows"] for r in R.split_counts(tagged).collect()}
+    assert counts == {"train": 5, "val": 2, "test": 3}
