@@ -138,3 +138,13 @@ def test_multi_split_ingest(spark):
     tagged = R.tag_split({k: R.map_list_corpus(v) for k, v in frames.items()})
     counts = {r["split"]: r["n_rows"] for r in R.split_counts(tagged).collect()}
     assert counts == {"train": 5, "val": 2, "test": 3}
+
+
+def test_label_info(spark):
+    """K2: counts, co-occurrence (symmetric, diagonal = counts) and combinations."""
+    info = K.label_info(FX.labelled(spark, SF001), L)
+    counts = {r["label"]: r["count"] for r in info["counts"].collect()}
+    co = {(r["label_a"], r["label_b"]): r["n"] for r in info["cooccurrence"].collect()}
+    assert all(co[(a, a)] == counts[a] for a in L.names)
+    assert all(co[(a, b)] == co[(b, a)] for a in L.names for b in L.names)
+    assert sum(r["n"] for r in info["combinations"].collect()) == FX.labelled(spark, SF001).count()
