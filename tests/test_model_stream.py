@@ -77,3 +77,17 @@ def test_grouped_stream_equals_batch(spark):
     batch = M.per_label_metrics(FX.scored(spark, SF001), L, group_cols=("lang",))
     cols = ["lang", "label", "tp", "fp", "fn", "tn"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
+
+
+def test_train_and_select_and_explain_corpus(spark):
+    """K5 + K6 on a small separable corpus."""
+    from polylabel.plans import evaluation as EV
+    ls = LabelSet(("pos",))
+    rows = [(i, ("good great fine " if i % 2 else "bad awful poor ") + "the a", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, text string, pos int")
+    model, hist, top, stop = EV.train_and_select(df, df, ls, epochs=(1, 2, 3, 4))
+    assert hist.count() == 4 and stop.count() == 1
+    assert 1 <= top.count() <= 4
+    out = EV.explain_corpus(model, df.select("row_id", "text"), k=2)
+    assert out["top_attribution"].filter("row_id = 1").count() == 2
+    assert out["scores"].count() == 40
