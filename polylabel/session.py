@@ -9,6 +9,7 @@ UI off, UTC, Arrow on).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,9 +38,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only when
-    none is configured (tests, local runs). On a cluster the operator sets
-    ``spark.checkpoint.dir`` to a shared folder and that value is used as is."""
+    """Return the session's checkpoint folder. On a cluster the operator sets
+    ``spark.checkpoint.dir`` to a shared folder and that value is used as is;
+    without it a cluster session is an error. Only a single-process local
+    session (tests, bench) gets a scratch folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -48,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="polylabel-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
