@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polylabel.llm import bpe, decontam
+from polylabel.llm import bpe, common, decontam, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -34,3 +34,9 @@ def op2_byte_bpe(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_warc(spark, sf_dir):
+    archives = warc.write(_table(spark, sf_dir, "pages"), common.Scratch(spark, "op6").root)
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
