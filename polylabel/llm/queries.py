@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polylabel.llm import bpe, common, decontam, warc
+from polylabel.llm import bpe, common, decontam, maxscore, secrets, token_counts, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -40,3 +40,45 @@ def op2_byte_bpe(spark, sf_dir):
 def op6_warc(spark, sf_dir):
     archives = warc.write(_table(spark, sf_dir, "pages"), common.Scratch(spark, "op6").root)
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query
+def op5_maxscore(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return maxscore.top_k(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+
+
+ORACLE["op5_maxscore"] = """
+WITH v AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@query
+def op8_token_counts(spark, sf_dir):
+    pieces = token_counts.zipf_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), pieces)
+
+
+def secret_digest(spans, id_col="doc_id"):
+    """Counts and digests of ``secrets.secret_spans``."""
+    join = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return spans.select(id_col, *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+                        F.sha2(join(base), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"), count("literal").alias("n_literal"))
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    return secret_digest(secrets.secret_spans(_table(spark, sf_dir, "documents")))
