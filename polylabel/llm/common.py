@@ -184,9 +184,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.made = 0
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.made += 1
+        path = f"{self.root}/{self.made:03d}-{name}"
         df.write.mode("errorifexists").parquet(path)
         self.paths[name] = path
         # Shuffle files go when the driver's JVM collects the finished plan.

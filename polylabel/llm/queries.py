@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polylabel.llm import bpe, common, decontam, maxscore, secrets, token_counts, warc
+from polylabel.llm import bpe, common, decontam, maxscore, ngram_join, secrets, token_counts, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -82,3 +82,8 @@ def secret_digest(spans, id_col="doc_id"):
 @query
 def op4_secret_scan(spark, sf_dir):
     return secret_digest(secrets.secret_spans(_table(spark, sf_dir, "documents")))
+
+
+@query
+def op1_ngram_jaccard(spark, sf_dir):
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
