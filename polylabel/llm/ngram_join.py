@@ -225,10 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         close.join(of.select("node", "rep", "n"), ["node", "n"]).select("key", F.col("rep").alias("node"), "n").distinct(), "members")
     scratch.drop("close")
 
-    def texts_of(nodes, name):
-        return scratch.stage(src.join(nodes, "node", "left_semi"), name)
-
-    comps = pairs.resolve(members, texts_of, sets, scratch)
+    comps = pairs.resolve(members, lambda nodes: src.join(nodes, "node", "left_semi"), sets, scratch)
     # an id with several texts ties their classes together
     ids = of.select("node", F.col("rep").alias("a"))
     ties = ids.filter("node <> a").select(F.col("a"), F.col("node").alias("b"))

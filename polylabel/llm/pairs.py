@@ -93,17 +93,16 @@ def _unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
     return of.join(split, "key")
 
 
-def resolve(members: DataFrame, texts_of: Callable[[DataFrame, str], DataFrame], sets: Callable, scratch: C.Scratch) -> DataFrame:
+def resolve(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable, scratch: C.Scratch) -> DataFrame:
     """(node, component) for every node that is linked to another one.
-    ``texts_of(nodes, name)`` stages (node, text) of a table of nodes."""
+    ``texts_of(nodes)`` gives (node, text) of a table of nodes."""
+    texts = scratch.stage(texts_of(members.select("node").distinct()), "texts")
     first = scratch.stage(_star(members, F.min), "pairs1")
-    nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    seen = scratch.stage(compare(first, texts_of(nodes(first), "texts1"), sets), "seen1")
+    seen = scratch.stage(compare(first, texts, sets), "seen1")
     comps = C.components(linked(seen), scratch)
     open_ = scratch.stage(_unresolved(members, comps), "open1")
     second = scratch.stage(_star(open_, F.max).join(seen, ["a", "b"], "left_anti"), "pairs2")
-    more = scratch.stage(compare(second, texts_of(nodes(second), "texts2"), sets), "seen2")
-    seen = seen.unionByName(more)
+    seen = seen.unionByName(scratch.stage(compare(second, texts, sets), "seen2"))
     comps = C.components(linked(seen), scratch)
     open_ = scratch.stage(_unresolved(open_.drop("component"), comps), "open2")
     pivot = open_.groupBy("key").agg(F.min("node").alias("p"))
@@ -117,7 +116,7 @@ def resolve(members: DataFrame, texts_of: Callable[[DataFrame, str], DataFrame],
              .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
              .join(seen, ["a", "b"], "left_anti"))
     third = scratch.stage(third, "pairs3")
-    seen = seen.unionByName(scratch.stage(compare(third, texts_of(nodes(third), "texts3"), sets), "seen3"))
+    seen = seen.unionByName(scratch.stage(compare(third, texts, sets), "seen3"))
     out = C.components(linked(seen), scratch)
-    scratch.drop("pairs1", "pairs2", "pairs3", "open1", "open2", "texts1", "texts2", "texts3")
+    scratch.drop("texts", "pairs1", "pairs2", "pairs3", "open1", "open2")
     return out

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polylabel.llm import bpe, common, decontam, maxscore, ngram_join, secrets, token_counts, warc
+from polylabel.llm import bpe, common, decontam, line_dedup, maxscore, ngram_join, secrets, token_counts, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -87,3 +87,11 @@ def op4_secret_scan(spark, sf_dir):
 @query
 def op1_ngram_jaccard(spark, sf_dir):
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_line_dedup(spark, sf_dir):
+    out = line_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"),
+                      F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"),
+                      F.sha2("text", 256).alias("text_sha256"))
