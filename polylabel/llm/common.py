@@ -154,6 +154,15 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix(s + U64(k))
 
 
+def inside(ptr: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Which of the first ``n`` positions start ``k`` words of one text."""
+    ok = np.ones(max(n, 0), bool)
+    for t in range(1, k):
+        at = ptr[1:-1] - t
+        ok[at[(at >= 0) & (at < n)]] = False
+    return ok
+
+
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Concatenated ``arange(start, start + count)``."""
     counts = np.asarray(counts, np.int64)
@@ -164,6 +173,27 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out + np.repeat(np.asarray(starts, np.int64) - (np.cumsum(counts) - counts), counts)
 
 
+class Lookup:
+    """Sorted keys behind a bitmap of their low bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.mask = U64((1 << max(12, min(24, int(len(keys) * 16).bit_length()))) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[(keys & self.mask).astype(np.int64)] = True
+
+    def find(self, s: np.ndarray):
+        """(positions in ``s``, index of the key) of the values that are keys."""
+        if not len(self.keys):
+            z = np.zeros(0, np.int64)
+            return z, z
+        at = np.flatnonzero(self.bits[(s & self.mask).astype(np.int64)])
+        k = np.searchsorted(self.keys, s[at])
+        k[k == len(self.keys)] = 0
+        hit = self.keys[k] == s[at]
+        return at[hit], k[hit]
+
+
 def lists(values: np.ndarray, counts, kind) -> pa.Array:
     """A list column from flat values and per-row counts."""
     offsets = np.zeros(len(counts) + 1, np.int32)

@@ -41,15 +41,6 @@ def _doc_words(batch, table=C.ALNUM_WIDE):
     return C.span_hash(C.prefix_hash(buf, C.FOLDED), starts, ends), ptr
 
 
-def _inside(ptr: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Which of the first ``n`` positions start ``k`` words of one text."""
-    ok = np.ones(max(n, 0), bool)
-    for t in range(1, k):
-        at = ptr[1:-1] - t
-        ok[at[(at >= 0) & (at < n)]] = False
-    return ok
-
-
 def _windows(window: int):
     def run(batches):
         for batch in C.chunks(batches):
@@ -104,27 +95,6 @@ def _shingles(words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(offs), np.concatenate(keys)
 
 
-class _Lookup:
-    """Sorted keys behind a bitmap of their low bits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.sort(keys)
-        self.mask = C.U64((1 << max(12, min(24, int(len(keys) * 16).bit_length()))) - 1)
-        self.bits = np.zeros(int(self.mask) + 1, bool)
-        self.bits[(keys & self.mask).astype(np.int64)] = True
-
-    def find(self, s: np.ndarray):
-        """(positions in ``s``, index of the key) of the values that are keys."""
-        if not len(self.keys):
-            z = np.zeros(0, np.int64)
-            return z, z
-        at = np.flatnonzero(self.bits[(s & self.mask).astype(np.int64)])
-        k = np.searchsorted(self.keys, s[at])
-        k[k == len(self.keys)] = 0
-        hit = self.keys[k] == s[at]
-        return at[hit], k[hit]
-
-
 def _matrix(lists_) -> tuple[np.ndarray, np.ndarray]:
     lens = np.array([len(x) for x in lists_], np.int64)
     m = np.zeros((len(lens), max(1, int(lens.max(initial=1)))), np.int64)
@@ -136,14 +106,14 @@ def _matrix(lists_) -> tuple[np.ndarray, np.ndarray]:
 def _count(shared):
     def run(batches):
         sizes, keys = shared.value
-        look = _Lookup(keys)
+        look = C.Lookup(keys)
         total = np.zeros(len(look.keys), np.int64)
         for batch in C.chunks(batches):
             h, ptr = _doc_words(batch)
             for size in sizes:
                 s = C.rolling(h, size)
                 at, k = look.find(s)
-                ok = _inside(ptr, size, len(s))[at]
+                ok = C.inside(ptr, size, len(s))[at]
                 total += np.bincount(k[ok], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(look.keys[some].view(np.int64)), pa.array(total[some])], ["key", "n"])
@@ -268,7 +238,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             key = key.view(C.U64)
         order = np.argsort(key, kind="stable")
         uniq, head = np.unique(key[order], return_index=True)
-        shared = sc.broadcast((words_, lens, wid, _Lookup(uniq), np.append(head, len(key)), order, off.astype(np.int64)[order],
+        shared = sc.broadcast((words_, lens, wid, C.Lookup(uniq), np.append(head, len(key)), order, off.astype(np.int64)[order],
                                sorted({int(x) for x in np.unique(np.minimum(lens, SHINGLE))})))
         part = src.select("doc_id", "text", "text_key").mapInArrow(
             _match(shared), f"doc_id {id_type}, text_key bigint, n_words bigint, lo array<bigint>, hi array<bigint>, wids array<bigint>")

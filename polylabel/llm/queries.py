@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polylabel.llm import bpe, common, decontam, line_dedup, maxscore, ngram_join, secrets, token_counts, warc
+from polylabel.llm import bpe, common, decontam, line_dedup, maxscore, ngram_join, secrets, token_counts, toxicity, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -95,3 +95,10 @@ def op9_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"),
                       F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"),
                       F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op7_toxicity_kneser_ney(spark, sf_dir):
+    out = toxicity.standard(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"), "size", "llr_per_char")
