@@ -19,8 +19,10 @@ tokens, combined per block, to hash ranges that add them up. The frequent class
 is the tokens with more than ``FREQUENT`` documents, at most ``MAX_FREQUENT``
 of them, the most frequent first; as the result does not depend on the class,
 that bound (which makes the class small enough to send to every task) only
-affects speed. Candidates are verified exactly and joined into components in
-``pairs``. Documents with equal sets are one node, so copies cost no pairs.
+affects speed. Documents with equal sets are one node, so copies cost no
+pairs. Rare prefix tokens that no other node's prefix holds are missing from
+every partner, which bounds what a node can share (``room``). Candidates that
+pass are verified exactly and joined into components in ``pairs``.
 """
 
 from __future__ import annotations
@@ -82,23 +84,38 @@ def _first_of_each(t: np.ndarray, n: np.ndarray):
             yield i, own
 
 
-def _count_blocks(k: int, parts: int):
-    shift = C.U64(64 - (parts.bit_length() - 1)) if parts > 1 else None
+def _blocks(t: np.ndarray, parts: int):
+    """Sorted distinct hashes of a chunk and how often each occurs, dealt by
+    their leading bits; of the rest 32 bits are kept."""
+    bits = C.U64(parts.bit_length() - 1)
+    t, n = np.unique(t, return_counts=True)
+    low = ((t << bits) >> C.U64(32)).astype(np.uint32)
+    cut = np.searchsorted(t >> (C.U64(64) - bits), np.arange(parts + 1, dtype=C.U64))
+    rows = [(i, low[a:b], n[a:b]) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1][r[2] == 1].tobytes() for r in rows], pa.binary()),
+         pa.array([r[1][r[2] > 1].tobytes() for r in rows], pa.binary()),
+         pa.array([r[2][r[2] > 1].astype(np.uint32).tobytes() for r in rows], pa.binary())], ["p", "ones", "many", "counts"])
 
+
+BLOCK_SCHEMA = "p int, ones binary, many binary, counts binary"
+
+
+def _token_blocks(k: int, parts: int):
     def run(batches):
         for batch in C.chunks(batches):
             own = [x for _, x in _first_of_each(*shingle_sets(batch.column(1), k))]
-            if not own:
-                continue
-            t, n = np.unique(np.concatenate(own), return_counts=True)
-            p = (t >> shift).astype(np.int64) if shift is not None else np.zeros(len(t), np.int64)
-            low = ((t << C.U64(parts.bit_length() - 1)) >> C.U64(32)).astype(np.uint32)
-            cut = np.searchsorted(p, np.arange(parts + 1))
-            rows = [(i, low[a:b], n[a:b]) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1][r[2] == 1].tobytes() for r in rows], pa.binary()),
-                 pa.array([r[1][r[2] > 1].tobytes() for r in rows], pa.binary()),
-                 pa.array([r[2][r[2] > 1].astype(np.uint32).tobytes() for r in rows], pa.binary())], ["p", "ones", "many", "counts"])
+            if own:
+                yield _blocks(np.concatenate(own), parts)
+    return run
+
+
+def _key_blocks(parts: int):
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0).flatten().to_numpy()
+            for at in range(0, len(keys), 1 << 19):
+                yield _blocks(keys[at:at + (1 << 19)].view(C.U64), parts)
     return run
 
 
@@ -114,13 +131,20 @@ def _add_blocks(least: int):
     return run
 
 
+def _more_than(blocks: DataFrame, least: int) -> DataFrame:
+    """(token, n) of the hashes that occur more than ``least`` times; a token
+    is the leading bits of a hash: those of the part and 32 more."""
+    return blocks.groupBy("p").applyInArrow(_add_blocks(least), "token bigint, n bigint")
+
+
+def parts_for(total: int) -> int:
+    return 1 << max(4, (total // COUNT_PART).bit_length())
+
+
 def frequent_tokens(src: DataFrame, total: int, k: int, scratch: C.Scratch):
-    """(parts, tokens, counts): the frequent class, as the leading bits of the
-    token hashes (32 and those of the part) in ascending order."""
-    parts = 1 << max(4, (total // COUNT_PART).bit_length())
-    counts = scratch.stage(
-        src.mapInArrow(_count_blocks(k, parts), "p int, ones binary, many binary, counts binary")
-        .groupBy("p").applyInArrow(_add_blocks(FREQUENT), "token bigint, n bigint"), "counts")
+    """(parts, tokens, counts): the frequent class, tokens ascending."""
+    parts = parts_for(total)
+    counts = scratch.stage(_more_than(src.mapInArrow(_token_blocks(k, parts), BLOCK_SCHEMA), FREQUENT), "counts")
     level = F.floor(F.log2("n") * 8).cast("int")
     steps = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
     held, floor = 0, None
@@ -140,11 +164,13 @@ def _subclasses(band: int) -> int:
 
 def prefix_keys(rare: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
     """Keys of one document: ``rare`` and ``frequent`` are its tokens in the
-    global order, ``n`` their number."""
+    global order, ``n`` their number. Keys of single tokens are odd, those of
+    combinations even."""
     need = n // 5 + 1
+    one = C.mix(rare[:need]) | C.U64(1)
     if len(rare) >= need:
-        return C.mix(rare[:need])
-    keys = [C.mix(rare)]
+        return one
+    keys = [one]
     band = n.bit_length() - 1
     bands = [band] + [band - 1] * (band > 0 and -(-4 * n // 5) < 1 << band)
     for b in bands:
@@ -162,35 +188,40 @@ def prefix_keys(rare: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
         for c in np.unique(cls):
             own = np.sort(chosen[cls == c])
             i, j = np.triu_indices(len(own), 1)
-            keys.append(C.mix(own[i] * C.U64(0x9E3779B97F4A7C15) + C.mix(own[j]) + C.U64(b)))
+            keys.append(C.mix(own[i] * C.U64(0x9E3779B97F4A7C15) + C.mix(own[j]) + C.U64(b)) & ~C.U64(1))
     return np.unique(np.concatenate(keys))
 
 
-def _entries(k: int, shared):
+def _prefixes(k: int, shared):
     def run(batches):
         parts, tokens, counts = shared.value
         bits = C.U64(64 - 32 - (parts.bit_length() - 1))
         for batch in C.chunks(batches):
             t, n = shingle_sets(batch.column(1), k)
-            at = np.searchsorted(tokens, (t >> bits).view(np.int64)) if len(tokens) else np.zeros(len(t), np.int64)
-            at[at == len(tokens)] = 0
-            count = np.where(tokens[at] == (t >> bits).view(np.int64), counts[at], 0) if len(tokens) else np.zeros(len(t), np.int64)
+            count = np.zeros(len(t), np.int64)
+            if len(tokens):
+                own = (t >> bits).view(np.int64)
+                at = np.searchsorted(tokens, own)
+                at[at == len(tokens)] = 0
+                count = np.where(tokens[at] == own, counts[at], 0)
             ptr = np.concatenate([[0], np.cumsum(n)])
-            rows, keys = [], []
-            for i, own in _first_of_each(t, n):
-                f = count[ptr[i]:ptr[i + 1]]
-                often = f > 0
+            some = np.flatnonzero(n)
+            keys, singles = [], np.zeros(len(some), np.int64)
+            for i, (a, b) in enumerate(zip(ptr[some].tolist(), ptr[some + 1].tolist())):
+                own, often = t[a:b], count[a:b] > 0
                 if often.any():
                     # ascending by count; within a count by hash, as the stable sort keeps it
-                    order = np.argsort(f[often], kind="stable")
-                    keys.append(prefix_keys(own[~often], own[often][order], len(own)))
+                    order = np.argsort(count[a:b][often], kind="stable")
+                    rare = own[~often]
+                    keys.append(prefix_keys(rare, own[often][order], b - a))
+                    singles[i] = min(len(rare), (b - a) // 5 + 1)
                 else:
-                    keys.append(C.mix(own[:len(own) // 5 + 1]))
-                rows.append(i)
-            sizes = [len(x) for x in keys]
-            row = np.repeat(np.array(rows, np.int64), sizes)
+                    keys.append(C.mix(own[:(b - a) // 5 + 1]) | C.U64(1))
+                    singles[i] = len(keys[-1])
             flat = np.concatenate(keys) if keys else np.zeros(0, C.U64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(n[row])], ["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(some)), pa.array(n[some]), pa.array(singles),
+                 C.lists(flat.view(np.int64), [len(x) for x in keys], pa.int64())], ["node", "n", "singles", "keys"])
     return run
 
 
@@ -218,17 +249,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts, tokens, counts = frequent_tokens(src, int(own.agg(F.sum("n")).first()[0] or 0), k, scratch)
     shared = spark.sparkContext.broadcast((parts, tokens, counts))
-    entries = scratch.stage(src.filter("node is not null").mapInArrow(_entries(k, shared), f"key bigint, node {kind}, n bigint"), "entries")
-    close = scratch.stage(pairs.shared_members(entries), "close")
-    scratch.drop("entries", "counts")
-    members = scratch.stage(
-        close.join(of.select("node", "rep", "n"), ["node", "n"]).select("key", F.col("rep").alias("node"), "n").distinct(), "members")
-    scratch.drop("close")
-
+    reps = of.select(F.col("rep").alias("node"), "n").distinct()
+    prefixes = scratch.stage(
+        src.filter("node is not null").mapInArrow(_prefixes(k, shared), f"node {kind}, n bigint, singles bigint, keys array<bigint>")
+        .join(reps, ["node", "n"], "left_semi").distinct(), "prefixes")
+    key_parts = parts_for(int(prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0))
+    cut = 32 - (key_parts.bit_length() - 1)
+    met = scratch.stage(_more_than(prefixes.select("keys").mapInArrow(_key_blocks(key_parts), BLOCK_SCHEMA), 1).select("token"), "met")
+    close = scratch.stage(prefixes.select("node", F.explode("keys").alias("key"))
+                          .join(met, F.shiftrightunsigned("key", cut) == F.col("token")).select("key", "node"), "close")
+    found = close.filter(F.col("key").bitwiseAND(F.lit(1)) == 1).groupBy("node").agg(F.count(F.lit(1)).alias("found"))
+    info = prefixes.select("node", "n", "singles").join(found, "node", "left").select(
+        "node", "n", (F.col("n") - F.col("singles") + F.coalesce("found", F.lit(0))).alias("room"))
+    members = scratch.stage(close.join(info, "node"), "members")
+    scratch.drop("prefixes", "close", "met", "counts")
     comps = pairs.resolve(members, lambda nodes: src.join(nodes, "node", "left_semi"), sets, scratch)
     # an id with several texts ties their classes together
-    ids = of.select("node", F.col("rep").alias("a"))
-    ties = ids.filter("node <> a").select(F.col("a"), F.col("node").alias("b"))
+    ties = of.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     whole = C.components(comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(ties), scratch)
     out = own.select(F.col("node").alias("_n"), F.col("n").alias("n_shingles")).join(
         whole.select(F.col("node").alias("_m"), "component"), F.col("_n") == F.col("_m"), "left")

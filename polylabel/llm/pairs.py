@@ -1,19 +1,22 @@
 """Links and components among the members of signature buckets.
 
-``members`` (key, node, n) says which nodes share which signature keys, ``n``
-being a node's set size; every pair of similar nodes shares a key. Buckets may
-be large, since a signature of a big group of near copies is shared by all of
-them, so pairs are never listed per bucket. Instead:
-
-1. every member is compared with its bucket's smallest node, and in the
-   buckets that this left in several components also with the largest: as
-   many pairs as there are members;
+``members`` (key, node, n, room) says which nodes share which signature keys,
+``n`` being a node's set size and ``room`` the most tokens that it can share
+with any other node (``n`` where nothing more is known); every pair of similar
+nodes shares a key. Two nodes can only be linked if the smaller room is at
+least the intersection that their sizes ask for. Buckets may be large, since a
+signature of a big group of near copies is shared by all of them, so pairs are
+never listed per bucket. Instead:
+
+1. every member is compared with the bucket's node that misses the fewest
+   tokens, and in the buckets that this left in several components also with
+   the one of largest id: as many pairs as there are members;
 2. a bucket whose members are then all in one component needs nothing more,
    as any further link inside it changes no component;
 3. in the other buckets, members of different components are compared,
    leaving out pairs that the set sizes rule out, and pairs that the triangle
    inequality of the Jaccard distance rules out, given both members' distance
-   from the bucket's smallest node.
+   from the bucket's first node.
 
 So every pair that could join two components is compared exactly. Joins on
 hot keys are plain equi-joins, which the planner may split.
@@ -34,18 +37,25 @@ PERCENT = 80  # two sets are linked at 100 * intersection >= PERCENT * union
 
 
 def shared_members(entries: DataFrame) -> DataFrame:
-    """The (key, node, n) entries whose key occurs with two nodes or more."""
+    """The (key, node, n) entries whose key occurs with two nodes or more,
+    with ``room``."""
     keys = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    return entries.join(keys, "key").select("key", "node", "n")
+    return entries.join(keys, "key").select("key", "node", "n", F.col("n").alias("room"))
 
 
-def _sizes_fit(x, y):
-    return (x * 100 >= y * PERCENT) & (y * 100 >= x * PERCENT)
+def _can_link(n1, n2, room1, room2):
+    """Whether sizes and rooms allow 100 * common >= PERCENT * total."""
+    fits = (n1 * 100 >= n2 * PERCENT) & (n2 * 100 >= n1 * PERCENT)
+    return fits & (F.least(room1, room2) * (100 + PERCENT) >= (n1 + n2) * PERCENT)
 
 
-def _star(members: DataFrame, best) -> DataFrame:
-    pivot = members.groupBy("key").agg(best(F.struct("node", "n")).alias("p"))
-    near = members.join(pivot, "key").filter((F.col("node") != F.col("p.node")) & _sizes_fit(F.col("n"), F.col("p.n")))
+def _first(members: DataFrame):
+    return members.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("room")).alias("lacks"), "node", "n", "room")).alias("p"))
+
+
+def _star(members: DataFrame, pivot: DataFrame) -> DataFrame:
+    near = members.join(pivot, "key").filter(
+        (F.col("node") != F.col("p.node")) & _can_link(F.col("n"), F.col("p.n"), F.col("room"), F.col("p.room")))
     return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
@@ -97,22 +107,25 @@ def resolve(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets
     """(node, component) for every node that is linked to another one.
     ``texts_of(nodes)`` gives (node, text) of a table of nodes."""
     texts = scratch.stage(texts_of(members.select("node").distinct()), "texts")
-    first = scratch.stage(_star(members, F.min), "pairs1")
+    first = scratch.stage(_star(members, _first(members)), "pairs1")
     seen = scratch.stage(compare(first, texts, sets), "seen1")
     comps = C.components(linked(seen), scratch)
     open_ = scratch.stage(_unresolved(members, comps), "open1")
-    second = scratch.stage(_star(open_, F.max).join(seen, ["a", "b"], "left_anti"), "pairs2")
+    last = open_.groupBy("key").agg(F.max(F.struct("node", "n", "room")).alias("p"))
+    second = scratch.stage(_star(open_, last).join(seen, ["a", "b"], "left_anti"), "pairs2")
     seen = seen.unionByName(scratch.stage(compare(second, texts, sets), "seen2"))
     comps = C.components(linked(seen), scratch)
     open_ = scratch.stage(_unresolved(open_.drop("component"), comps), "open2")
-    pivot = open_.groupBy("key").agg(F.min("node").alias("p"))
+    pivot = _first(open_).select("key", F.col("p.node").alias("p"))
     far = seen.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
-    of = (open_.join(pivot, "key").withColumn("a", F.least("node", "p")).withColumn("b", F.greatest("node", "p"))
+    # buckets with one first node are one block: a pair meets there once, not once per shared key
+    of = open_.join(pivot, "key").select("p", "node", "n", "room", "component").distinct()
+    of = (of.withColumn("a", F.least("node", "p")).withColumn("b", F.greatest("node", "p"))
           .join(far, ["a", "b"], "left").withColumn("d", F.when(F.col("node") == F.col("p"), F.lit(0.0)).otherwise(F.col("d"))))
-    x = of.select("key", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "component", "d")))
-    y = of.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "d")))
+    x = of.select("p", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "room", "component", "d")))
+    y = of.select("p", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "room", "component", "d")))
     possible = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-    third = (x.join(y, "key").filter((F.col("component1") < F.col("component2")) & _sizes_fit(F.col("n1"), F.col("n2")) & possible)
+    third = (x.join(y, "p").filter((F.col("component1") < F.col("component2")) & _can_link(*map(F.col, ("n1", "n2", "room1", "room2"))) & possible)
              .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
              .join(seen, ["a", "b"], "left_anti"))
     third = scratch.stage(third, "pairs3")
