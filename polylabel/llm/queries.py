@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polylabel.llm import bpe, common, decontam, line_dedup, maxscore, ngram_join, secrets, token_counts, toxicity, warc
+from polylabel.llm import bpe, common, decontam, line_dedup, maxscore, ngram_join, quality, secrets, token_counts, toxicity, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -102,3 +102,9 @@ def op7_toxicity_kneser_ney(spark, sf_dir):
     out = toxicity.standard(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", (toxicity.fold("doc_id", 4) == 2).alias("held_out"), "score",
                       (F.col("score") >= 0.3).cast("int").alias("predicted"), "size", "llr_per_char")
+
+
+@query
+def op3_quality_pu(spark, sf_dir):
+    out = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), toxicity.fold("_label_id", 5) != 0)
+    return out.select("doc_id", (toxicity.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
