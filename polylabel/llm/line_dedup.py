@@ -5,9 +5,11 @@ Lines are compared as sets of character shingles (``CHARS`` code points; a
 shorter line is one shingle), surrounding ASCII white space left aside; two
 lines are alike at a Jaccard similarity of 0.8 or more. Equal lines are one
 node, named by a 64-bit hash. Each distinct line gets ``BANDS * ROWS`` MinHash
-values, computed per chunk of rows; ``BANDS`` keys of ``ROWS`` values each
-lead alike lines to a common bucket (with 12 bands of 4, a pair at 0.8 is
-missed with probability 0.002, at 0.85 with 0.0002). Candidates are verified
+values: by as many permutations, or, for lines of ``LONG`` shingles or more,
+by one permutation in as many bins (lines a little shorter get both, so that
+any two alike lines have one kind in common). ``BANDS`` keys of ``ROWS``
+values lead alike lines to a common bucket (with 12 bands of 4, a pair at 0.8
+is missed with probability 0.002, at 0.85 with 0.0002). Candidates are verified
 exactly and joined by distributed union-find (``pairs``). A component's first
 line, by document id and then position, stays; its other lines go.
 
@@ -26,6 +28,7 @@ from polylabel.llm import common as C
 from polylabel.llm import pairs
 
 CHARS, BANDS, ROWS = 8, 12, 4
+LONG = 192
 _SEEDS = C.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[::2], _SEEDS[1::2] | C.U64(1)
 _SPACE = ~C.NON_SPACE
@@ -106,28 +109,75 @@ def _distinct(a, b, h):
     return a[keep], b[keep], h[keep]
 
 
+def _min_hashes(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``BANDS * ROWS`` minima of independent permutations, line by line."""
+    at = np.cumsum(n) - n
+    return np.stack([np.minimum.reduceat((s ^ _XOR[r]) * _MUL[r], at) for r in range(BANDS * ROWS)], axis=1)
+
+
+def _bin_minima(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One-permutation signatures: the least hash in each of ``BANDS * ROWS``
+    bins; an empty bin takes the next filled one's, with the distance mixed
+    in."""
+    bins = BANDS * ROWS
+    line = np.repeat(np.arange(len(n)), n)
+    which = ((s >> C.U64(32)) * C.U64(bins)) >> C.U64(32)
+    low = s & C.U64((1 << 32) - 1)
+    cell = line * bins + which.astype(np.int64)
+    key = np.sort((cell.astype(C.U64) << C.U64(32)) | low)
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] >> C.U64(32)) != (key[:-1] >> C.U64(32))
+    out = np.zeros((len(n), 2 * bins), C.U64)
+    filled = np.zeros((len(n), 2 * bins), bool)
+    where = (key[first] >> C.U64(32)).astype(np.int64)
+    for turn in (0, bins):  # twice, so that the last bins look on at the first
+        out[where // bins, where % bins + turn] = key[first] & C.U64((1 << 32) - 1)
+        filled[where // bins, where % bins + turn] = True
+    step = np.where(filled, np.arange(2 * bins), 4 * bins)
+    step = np.minimum.accumulate(step[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    far = step - np.arange(bins)
+    return C.mix(np.take_along_axis(out, step % (2 * bins), axis=1) + far.astype(C.U64) * C.U64(0xD6E8FEB86659FD93))
+
+
+def _band_keys(signature: np.ndarray, kind: int) -> np.ndarray:
+    keys = np.zeros((len(signature), BANDS), C.U64)
+    for k in range(BANDS):
+        key = np.full(len(signature), k + kind * BANDS, C.U64)
+        for r in range(k * ROWS, (k + 1) * ROWS):
+            key = C.mix(key * C.U64(0x9E3779B97F4A7C15) + signature[:, r])
+        keys[:, k] = key
+    return keys
+
+
+def _sizes(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Distinct shingles per line (told apart by 40 bits and the line)."""
+    key = np.sort((np.repeat(np.arange(len(n)), n).astype(C.U64) << C.U64(40)) | (s >> C.U64(24)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.bincount((key[new] >> C.U64(40)).astype(np.int64), minlength=len(n))
+
+
 def _bands(batches):
-    for batch in C.chunks(batches, "text", C.CHUNK_BYTES // 2):
+    for batch in C.chunks(batches):
         buf, c, a, b, _, _, h = _hashed(batch, 0)
         a, b, h = _distinct(a, b, h)
         if not len(a):
             continue
         s, n = _shingles(buf, c, a, b)
-        at = np.concatenate([[0], np.cumsum(n)[:-1]])
-        keys = np.zeros((BANDS, len(a)), C.U64)
-        for k in range(BANDS):
-            key = np.full(len(a), k, C.U64)
-            for r in range(k * ROWS, (k + 1) * ROWS):
-                key = C.mix(key * C.U64(0x9E3779B97F4A7C15) + np.minimum.reduceat((s ^ _XOR[r]) * _MUL[r], at))
-            keys[k] = key
-        # distinct shingles per line, for the size bound
-        line = np.repeat(np.arange(len(a)), n)
-        order = np.lexsort((s, line))
-        new = np.ones(len(s), bool)
-        new[1:] = (s[order][1:] != s[order][:-1]) | (line[order][1:] != line[order][:-1])
-        size = np.bincount(line[order][new], minlength=len(a))
+        size = _sizes(s, n)
+        at = np.cumsum(n) - n
+        row, keys = [], []
+        # a pair whose larger line is long has both in the second kind, else both in the first
+        for kind, own, sign in ((0, size < LONG, _min_hashes), (1, size * 100 >= LONG * pairs.PERCENT, _bin_minima)):
+            own = np.flatnonzero(own)
+            if len(own):
+                row.append(np.repeat(own, BANDS))
+                keys.append(_band_keys(sign(s[C.ranges(at[own], n[own])], n[own]), kind).reshape(-1))
+        row, keys = np.concatenate(row), np.concatenate(keys)
+        order = np.argsort(row, kind="stable")
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(h.view(np.int64), BANDS)), pa.array(np.tile(size, BANDS))], ["key", "node", "n"])
+            [pa.array(h.view(np.int64)), pa.array(size), C.lists(keys[order].view(np.int64), np.bincount(row, minlength=len(a)), pa.int64())],
+            ["node", "n", "keys"])
 
 
 def _texts(batches):
@@ -150,9 +200,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = src.schema["id"].dataType.simpleString()
     only = src.select("text")
 
-    entries = scratch.stage(only.mapInArrow(_bands, "key bigint, node bigint, n bigint"), "entries")
-    members = scratch.stage(pairs.shared_members(entries.distinct()), "members")
-    scratch.drop("entries")
+    bands = scratch.stage(only.mapInArrow(_bands, "node bigint, n bigint, keys array<bigint>").dropDuplicates(["node"]), "bands")
+    close = pairs.meeting_keys(bands, scratch)
+    members = scratch.stage(close.join(bands.select("node", "n", F.col("n").alias("room")), "node"), "members")
+    scratch.drop("bands", "close")
     texts = only.mapInArrow(_texts, "node bigint, text string")
 
     def texts_of(nodes):

@@ -37,7 +37,6 @@ from polylabel.llm import pairs
 
 FREQUENT = 32
 MAX_FREQUENT = 1 << 20
-COUNT_PART = 1 << 21  # tokens that one counting task adds up, about
 
 
 def shingle_sets(column, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -84,67 +83,19 @@ def _first_of_each(t: np.ndarray, n: np.ndarray):
             yield i, own
 
 
-def _blocks(t: np.ndarray, parts: int):
-    """Sorted distinct hashes of a chunk and how often each occurs, dealt by
-    their leading bits; of the rest 32 bits are kept."""
-    bits = C.U64(parts.bit_length() - 1)
-    t, n = np.unique(t, return_counts=True)
-    low = ((t << bits) >> C.U64(32)).astype(np.uint32)
-    cut = np.searchsorted(t >> (C.U64(64) - bits), np.arange(parts + 1, dtype=C.U64))
-    rows = [(i, low[a:b], n[a:b]) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1][r[2] == 1].tobytes() for r in rows], pa.binary()),
-         pa.array([r[1][r[2] > 1].tobytes() for r in rows], pa.binary()),
-         pa.array([r[2][r[2] > 1].astype(np.uint32).tobytes() for r in rows], pa.binary())], ["p", "ones", "many", "counts"])
-
-
-BLOCK_SCHEMA = "p int, ones binary, many binary, counts binary"
-
-
 def _token_blocks(k: int, parts: int):
     def run(batches):
         for batch in C.chunks(batches):
             own = [x for _, x in _first_of_each(*shingle_sets(batch.column(1), k))]
             if own:
-                yield _blocks(np.concatenate(own), parts)
-    return run
-
-
-def _key_blocks(parts: int):
-    def run(batches):
-        for batch in batches:
-            keys = batch.column(0).flatten().to_numpy()
-            for at in range(0, len(keys), 1 << 19):
-                yield _blocks(keys[at:at + (1 << 19)].view(C.U64), parts)
+                yield pairs.blocks(np.concatenate(own), parts)
     return run
 
 
-def _add_blocks(least: int):
-    def run(table: pa.Table) -> pa.Table:
-        read = lambda c: [np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()]
-        ones, many, counts = np.concatenate(read("ones")), np.concatenate(read("many")), np.concatenate(read("counts"))
-        keys, at = np.unique(np.concatenate([ones, many]), return_inverse=True)
-        n = np.bincount(at[:len(ones)], minlength=len(keys)) + np.bincount(at[len(ones):], counts, len(keys)).astype(np.int64)
-        some = n > least
-        p = table.column("p")[0].as_py()
-        return pa.table({"token": (keys[some].astype(np.int64) | (p << 32)), "n": n[some]})
-    return run
-
-
-def _more_than(blocks: DataFrame, least: int) -> DataFrame:
-    """(token, n) of the hashes that occur more than ``least`` times; a token
-    is the leading bits of a hash: those of the part and 32 more."""
-    return blocks.groupBy("p").applyInArrow(_add_blocks(least), "token bigint, n bigint")
-
-
-def parts_for(total: int) -> int:
-    return 1 << max(4, (total // COUNT_PART).bit_length())
-
-
 def frequent_tokens(src: DataFrame, total: int, k: int, scratch: C.Scratch):
     """(parts, tokens, counts): the frequent class, tokens ascending."""
-    parts = parts_for(total)
-    counts = scratch.stage(_more_than(src.mapInArrow(_token_blocks(k, parts), BLOCK_SCHEMA), FREQUENT), "counts")
+    parts = pairs.parts_for(total)
+    counts = scratch.stage(pairs.more_than(src.mapInArrow(_token_blocks(k, parts), pairs.BLOCK_SCHEMA), FREQUENT), "counts")
     level = F.floor(F.log2("n") * 8).cast("int")
     steps = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
     held, floor = 0, None
@@ -253,16 +204,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefixes = scratch.stage(
         src.filter("node is not null").mapInArrow(_prefixes(k, shared), f"node {kind}, n bigint, singles bigint, keys array<bigint>")
         .join(reps, ["node", "n"], "left_semi").distinct(), "prefixes")
-    key_parts = parts_for(int(prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0))
-    cut = 32 - (key_parts.bit_length() - 1)
-    met = scratch.stage(_more_than(prefixes.select("keys").mapInArrow(_key_blocks(key_parts), BLOCK_SCHEMA), 1).select("token"), "met")
-    close = scratch.stage(prefixes.select("node", F.explode("keys").alias("key"))
-                          .join(met, F.shiftrightunsigned("key", cut) == F.col("token")).select("key", "node"), "close")
+    close = pairs.meeting_keys(prefixes, scratch)
     found = close.filter(F.col("key").bitwiseAND(F.lit(1)) == 1).groupBy("node").agg(F.count(F.lit(1)).alias("found"))
     info = prefixes.select("node", "n", "singles").join(found, "node", "left").select(
         "node", "n", (F.col("n") - F.col("singles") + F.coalesce("found", F.lit(0))).alias("room"))
     members = scratch.stage(close.join(info, "node"), "members")
-    scratch.drop("prefixes", "close", "met", "counts")
+    scratch.drop("prefixes", "close", "counts")
     comps = pairs.resolve(members, lambda nodes: src.join(nodes, "node", "left_semi"), sets, scratch)
     # an id with several texts ties their classes together
     ties = of.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))

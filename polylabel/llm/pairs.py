@@ -33,14 +33,70 @@ from pyspark.sql import functions as F
 
 from polylabel.llm import common as C
 
+COUNT_PART = 1 << 21  # hashes that one counting task adds up, about
 PERCENT = 80  # two sets are linked at 100 * intersection >= PERCENT * union
 
 
-def shared_members(entries: DataFrame) -> DataFrame:
-    """The (key, node, n) entries whose key occurs with two nodes or more,
-    with ``room``."""
-    keys = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    return entries.join(keys, "key").select("key", "node", "n", F.col("n").alias("room"))
+def blocks(t: np.ndarray, parts: int):
+    """Sorted distinct hashes of a chunk and how often each occurs, dealt by
+    their leading bits; of the rest 32 bits are kept."""
+    bits = C.U64(parts.bit_length() - 1)
+    t, n = np.unique(t, return_counts=True)
+    low = ((t << bits) >> C.U64(32)).astype(np.uint32)
+    cut = np.searchsorted(t >> (C.U64(64) - bits), np.arange(parts + 1, dtype=C.U64))
+    rows = [(i, low[a:b], n[a:b]) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1][r[2] == 1].tobytes() for r in rows], pa.binary()),
+         pa.array([r[1][r[2] > 1].tobytes() for r in rows], pa.binary()),
+         pa.array([r[2][r[2] > 1].astype(np.uint32).tobytes() for r in rows], pa.binary())], ["p", "ones", "many", "counts"])
+
+
+BLOCK_SCHEMA = "p int, ones binary, many binary, counts binary"
+
+
+def _key_blocks(parts: int):
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0).flatten().to_numpy()
+            for at in range(0, len(keys), 1 << 19):
+                yield blocks(keys[at:at + (1 << 19)].view(C.U64), parts)
+    return run
+
+
+def _add_blocks(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        read = lambda c: [np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()]
+        ones, many, counts = np.concatenate(read("ones")), np.concatenate(read("many")), np.concatenate(read("counts"))
+        keys, at = np.unique(np.concatenate([ones, many]), return_inverse=True)
+        n = np.bincount(at[:len(ones)], minlength=len(keys)) + np.bincount(at[len(ones):], counts, len(keys)).astype(np.int64)
+        some = n > least
+        p = table.column("p")[0].as_py()
+        return pa.table({"token": (keys[some].astype(np.int64) | (p << 32)), "n": n[some]})
+    return run
+
+
+def more_than(blocks: DataFrame, least: int) -> DataFrame:
+    """(token, n) of the hashes that occur more than ``least`` times; a token
+    is the leading bits of a hash: those of the part and 32 more."""
+    return blocks.groupBy("p").applyInArrow(_add_blocks(least), "token bigint, n bigint")
+
+
+def parts_for(total: int) -> int:
+    return 1 << max(4, (total // COUNT_PART).bit_length())
+
+
+def meeting_keys(prefixes: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """The (key, node) pairs of ``prefixes`` (node, keys; one row per node)
+    whose key another node has too. Which keys meet is found from blocks of
+    hashed keys, combined per block of rows, so a key that very many nodes
+    share counts little; a chance meeting of hashes only leaves a key in."""
+    parts = parts_for(int(prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0))
+    cut = 32 - (parts.bit_length() - 1)
+    met = scratch.stage(more_than(prefixes.select("keys").mapInArrow(_key_blocks(parts), BLOCK_SCHEMA), 1).select("token"), "met")
+    close = scratch.stage(prefixes.select("node", F.explode("keys").alias("key"))
+                          .join(met, F.shiftrightunsigned("key", cut) == F.col("token")).select("key", "node"), "close")
+    scratch.drop("met")
+    return close
 
 
 def _can_link(n1, n2, room1, room2):
