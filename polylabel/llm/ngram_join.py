@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
     """``docs`` without the rows whose id is not the smallest of its
-    component, columns unchanged. Of rows that share id and text one stays."""
+    component, columns unchanged. Rows that share the kept id all stay, as do
+    rows with a null id."""
     drop = near_duplicates(docs, id_col, text_col, k).filter(F.col("component_id") != F.col(id_col)).select(
         F.col(id_col).alias("_gone")).distinct()
     left = docs.join(drop, docs[id_col] == drop["_gone"], "left_anti")
