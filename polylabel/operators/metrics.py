@@ -188,16 +188,17 @@ def confusion_matrix(scored: DataFrame, labels: LabelSet = DEFAULT_LABELS) -> Da
 
 
 def bce_loss(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, from_probs: bool = True,
-             clip: float = 0.01, group_cols=()) -> DataFrame:
+             group_cols=()) -> DataFrame:
     """Mean binary cross-entropy with logits over n*L cells.
 
-    ``from_probs``: logits are ``ln(p/(1-p))`` of probabilities clipped to
-    [clip, 1-clip]; otherwise ``logit_<label>`` columns are read."""
+    ``from_probs``: logits are ``ln(p/(1-p))``; otherwise ``logit_<label>``
+    columns are read. Nothing is clipped but probabilities of exactly 0 and 1,
+    which have no finite logit: they count as 1e-15 away from it."""
     terms = []
     for name in labels.names:
         y = F.col(labels.true(name)).cast("double")
         if from_probs:
-            p = F.least(F.greatest(F.col(labels.prob(name)), F.lit(clip)), F.lit(1.0 - clip))
+            p = F.least(F.greatest(F.col(labels.prob(name)), F.lit(1e-15)), F.lit(1.0 - 1e-15))
             z = F.log(p / (F.lit(1.0) - p))
         else:
             z = F.col(f"logit_{name}")
@@ -250,11 +251,13 @@ def render_report(metric_rows, labels: LabelSet = DEFAULT_LABELS) -> str:
     return "\n".join(lines)
 
 
-def unlabelled_check(df: DataFrame, label_cols) -> DataFrame:
+def unlabelled_check(df: DataFrame, label_cols, other_cols=()) -> DataFrame:
     """A2 + D23: one row telling whether every label column is null in every
-    row (an unlabelled set), and per-column null/NaN counts."""
+    row (an unlabelled set), and null/NaN counts of these and ``other_cols``
+    (scores, which say nothing about labels)."""
+    all_cols = [*label_cols, *other_cols]
     aggs = [F.count(F.lit(1)).alias("n")]
-    for c in label_cols:
+    for c in all_cols:
         bad = F.col(c).isNull()
         if dict(df.dtypes)[c] in ("double", "float"):
             bad = bad | F.isnan(c)
@@ -264,4 +267,4 @@ def unlabelled_check(df: DataFrame, label_cols) -> DataFrame:
     any_label = F.greatest(*[F.coalesce(F.col(f"_any_{c}"), F.lit(0)) for c in label_cols]) \
         if len(label_cols) > 1 else F.coalesce(F.col(f"_any_{label_cols[0]}"), F.lit(0))
     return s.select("n", (any_label == 0).alias("is_unlabelled"),
-                    *[F.col(f"invalid_{c}").cast("long").alias(f"invalid_{c}") for c in label_cols])
+                    *[F.col(f"invalid_{c}").cast("long").alias(f"invalid_{c}") for c in all_cols])

@@ -249,8 +249,10 @@ def split_allocation(df: DataFrame, labels: LabelSet = DEFAULT_LABELS,
     s = strata.withColumn("n", F.sum("n_s").over(allw))
     s = s.withColumn("n_val_total", F.ceil(F.col("n") * F.lit(float(test_size))).cast("long"))
     s = s.withColumn("n_train_total", F.col("n") - F.col("n_val_total"))
-    exact = F.col("n_train_total") * F.col("n_s") / F.col("n")
-    s = s.withColumn("_floor", F.floor(exact).cast("long")).withColumn("_rem", exact - F.floor(exact))
+    # quotient and remainder in decimals: the product passes 2^63 from about 6e9 rows a stratum
+    wide = F.col("n_train_total").cast("decimal(19,0)") * F.col("n_s").cast("decimal(19,0)")
+    s = s.withColumn("_wide", wide.cast("decimal(38,0)")).withColumn("_floor", F.expr("_wide div n"))
+    s = s.withColumn("_rem", F.col("_wide") - F.col("_floor").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))
     s = s.withColumn("_short", F.col("n_train_total") - F.sum("_floor").over(allw))
     rank_w = Window.partitionBy(F.lit(0)).orderBy(F.col("_rem").desc(), F.col("n_s").desc(), F.col("stratum"))
     s = s.withColumn("_rank", F.row_number().over(rank_w))
@@ -332,19 +334,33 @@ def training_shards(df: DataFrame, n_shards: int, batch_size: int = 32, seed: in
                     id_col: str = "row_id", drop_last: bool = True) -> DataFrame:
     """F7 re-aimed: shuffled training batches written as shards. Rows go to
     shard ``pmod(draw, n_shards)``, are ordered by their seeded key inside the
-    shard, and get ``batch_in_shard = pos // batch_size``. With ``drop_last``
-    the short final batch of each shard is dropped. Numbering is per shard
-    (a window partitioned by shard), never one global rank."""
+    shard, and get ``batch_in_shard = position // batch_size``. What is left
+    over in the shards beyond their full batches is batched together as one
+    more shard, numbered ``n_shards``. With ``drop_last`` the last short batch
+    of that shard goes: fewer than ``batch_size`` rows of an epoch.
+
+    Positions come from the (shard, key bucket) histogram plus a rank inside
+    the bucket, so no window holds a whole shard; the rows left over are fewer
+    than ``n_shards * batch_size``, so ranking them is bounded."""
     keyed = (df.withColumn("shard", F.pmod(TF.draw(seed, F.col(id_col), "shard"), F.lit(int(n_shards))))
              .withColumn("_key", selection_key(id_col, seed)))
-    w = Window.partitionBy("shard").orderBy("_key", id_col)
-    out = (keyed.withColumn("position", F.row_number().over(w) - 1)
-           .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("shard")))
-           .withColumn("batch_in_shard", F.floor(F.col("position") / batch_size).cast("long")))
+    hist = bucket_histogram(keyed, ["shard"], "_key")
+    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (hist.withColumn("_start", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+              .withColumn("_n", F.sum("_cnt").over(Window.partitionBy("shard"))).drop("_cnt"))
+    inside = Window.partitionBy("shard", "_bucket").orderBy("_key", id_col)
+    out = (keyed.withColumn("_bucket", F.substring("_key", 1, 3)).join(starts, ["shard", "_bucket"])
+           .withColumn("position", F.col("_start") + F.row_number().over(inside) - 1)
+           .withColumn("_full", F.col("_n") - F.pmod(F.col("_n"), F.lit(batch_size))))
+    whole = out.filter("position < _full")
+    rest = out.filter("position >= _full")
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("shard", "position")) - 1
+    rest = rest.withColumn("position", rank.cast("long")).withColumn("shard", F.lit(int(n_shards)).cast("long"))
     if drop_last:
-        full_rows = F.floor(F.col("_n") / batch_size) * batch_size
-        out = out.filter(F.col("position") < full_rows)
-    return out.drop("_key", "_n")
+        rest = (rest.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+                .filter(F.col("position") < F.col("_n") - F.pmod(F.col("_n"), F.lit(batch_size))))
+    both = whole.unionByName(rest).withColumn("batch_in_shard", F.floor(F.col("position") / batch_size).cast("long"))
+    return both.drop("_key", "_n", "_bucket", "_start", "_full")
 
 
 # ------------------------------------------------------- train-time views

@@ -77,7 +77,7 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unlabelled_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 + D23 on the scored table's truth and probability columns."""
-    return M.unlabelled_check(FX.scored(spark, sf_dir), L.true_cols + L.prob_cols)
+    return M.unlabelled_check(FX.scored(spark, sf_dir), L.true_cols, L.prob_cols)
 
 
 # ------------------------------------------------------ sources and text
@@ -180,7 +180,7 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """4 shards of shuffled 32-row batches, short last batch dropped."""
+    """4 shards of shuffled 32-row batches; fewer than 32 rows are dropped."""
     df = S.training_shards(FX.labelled(spark, sf_dir), n_shards=4)
     return df.select("row_id", "shard", "position", "batch_in_shard")
 
@@ -342,7 +342,7 @@ def run_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     split, _ = _split_and_model(spark, sf_dir)
     train = split.filter(F.col("split") == "train")
     val = split.filter(F.col("split") == "val")
-    hist = MD.epoch_history(train, val, L, epochs=(1, 2, 3, 4, 6))
+    hist = MD.epoch_history(train, val, L, epochs=tuple(range(1, 11)))
     hist = hist.persist()
     kept = MD.top_epochs(hist, "val_f1", 3).select("run", "epoch", F.lit(True).alias("kept"))
     stop = MD.early_stop(hist, "val_f1", patience=3, min_delta=0.001)
@@ -386,7 +386,7 @@ def example_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _doc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = FX.table(spark, sf_dir, "documents").schema
-    return SM.read_parquet_stream(spark, sf_dir, schema, glob="documents.parquet", files_per_trigger=1)
+    return SM.read_parquet_stream(spark, f"{sf_dir}/documents.parquet", schema)
 
 
 def streaming_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,7 +403,7 @@ def streaming_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dirty.withColumn("clean", TF.clean_text("text")).select(
         "row_id", F.md5("clean").alias("text_md5"), F.length("clean").alias("n_chars"),
         (F.col("clean") == "").alias("is_empty"))
-    return SM.run_to_table(out, "clean_stream", "append")
+    return SM.run_appending(out, "clean_stream")
 
 
 # ------------------------------------------------------ composite entries

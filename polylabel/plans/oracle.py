@@ -7,6 +7,7 @@ literals are written as ``0.5e0`` (a plain ``0.5`` is a decimal in DuckDB).
 
 from __future__ import annotations
 
+from ..functions.text import EMOJI_PATTERN
 from ..schema import DEFAULT_LABELS as L
 from ..sources.fixtures import TRUTH_RULES
 
@@ -164,7 +165,7 @@ UNION ALL SELECT label, label_index, 1, 1, tp FROM lab"""
 def _bce_terms() -> str:
     terms = []
     for n in N:
-        p = f"least(greatest(prob_{n}, 0.01e0), 0.99e0)"
+        p = f"least(greatest(prob_{n}, 1e-15), 1.0e0 - 1e-15)"
         z = f"ln({p} / (1.0e0 - {p}))"
         terms.append(f"(greatest({z}, 0.0e0) - {z} * CAST(true_{n} AS DOUBLE) + ln(1.0e0 + exp(-abs({z}))))")
     return " + ".join(terms)
@@ -214,7 +215,7 @@ FROM lab"""
 
 UNLABELLED = f"""WITH {SCORED_CTE}
 SELECT count(*) AS n,
-  (greatest({", ".join(f"coalesce(max(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END), 0)" for c in L.true_cols + L.prob_cols)}) = 0) AS is_unlabelled,
+  (greatest({", ".join(f"coalesce(max(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END), 0)" for c in L.true_cols)}) = 0) AS is_unlabelled,
   {", ".join(f"CAST(sum(CASE WHEN {c} IS NULL{' OR isnan(' + c + ')' if c.startswith('prob_') else ''} THEN 1 ELSE 0 END) AS BIGINT) AS invalid_{c}" for c in L.true_cols + L.prob_cols)}
 FROM scored"""
 
@@ -234,11 +235,7 @@ ORACLE = {
 
 # ------------------------------------------------------------- corpus build
 
-EMOJI = (r"(?:[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|(?:[\x{1F300}-\x{1FAFF}"
-         r"\x{2600}-\x{27BF}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{203C}"
-         r"\x{2049}\x{2122}\x{2139}\x{00A9}\x{00AE}\x{3030}\x{303D}\x{3297}\x{3299}\x{24C2}"
-         r"\x{25AA}-\x{25FE}\x{1F004}\x{1F0CF}\x{1F170}-\x{1F251}])[\x{FE0F}\x{200D}"
-         r"\x{1F3FB}-\x{1F3FF}]*)+")
+EMOJI = EMOJI_PATTERN
 
 
 def _clean(x: str) -> str:
@@ -465,10 +462,15 @@ SELECT row_id, round(weight, 6) AS weight FROM ek ORDER BY es_key DESC, row_id L
 SHARDS = f"""WITH {LAB_CTE},
 sh AS (SELECT row_id, {_draw("row_id", "'shard'")} % 4 AS shard, {_key()} AS k FROM lab),
 po AS (SELECT row_id, shard, row_number() OVER (PARTITION BY shard ORDER BY k, row_id) - 1 AS position,
-  count(*) OVER (PARTITION BY shard) AS n FROM sh)
-SELECT row_id, CAST(shard AS BIGINT) AS shard, CAST(position AS INTEGER) AS position,
+  count(*) OVER (PARTITION BY shard) AS n FROM sh),
+-- fewer than 32 rows of the epoch go: what the shards leave over is batched together
+rest AS (SELECT row_id, 4 AS shard, row_number() OVER (ORDER BY shard, position) - 1 AS position,
+  count(*) OVER () AS n FROM po WHERE position >= (n // 32) * 32),
+cut AS (SELECT row_id, shard, position FROM po WHERE position < (n // 32) * 32
+  UNION ALL SELECT row_id, shard, position FROM rest WHERE position < (n // 32) * 32)
+SELECT row_id, CAST(shard AS BIGINT) AS shard, CAST(position AS BIGINT) AS position,
   CAST(position // 32 AS BIGINT) AS batch_in_shard
-FROM po WHERE position < (n // 32) * 32"""
+FROM cut"""
 
 ORACLE.update({
     "clean_text": DIRTY,

@@ -73,7 +73,17 @@ def test_threshold_is_strict(spark):
 def test_jaccard_and_loss(spark):
     sc = FX.scored(spark, SF01)
     assert M.macro_sample_metrics(sc, L).first()["jaccard"] == pytest.approx(0.86215, abs=1e-5)
-    assert M.bce_loss(sc, L).first()["bce_loss"] == pytest.approx(0.384308, abs=1e-6)
+    # the fixture's golden is stated for probabilities within 0.01 and 0.99; the loss itself clips nothing
+    inner = sc.withColumns({L.prob(n): F.least(F.greatest(F.col(L.prob(n)), F.lit(0.01)), F.lit(0.99)) for n in L.names})
+    assert M.bce_loss(inner, L).first()["bce_loss"] == pytest.approx(0.384308, abs=1e-6)
+    logits = inner.withColumns({f"logit_{n}": F.log(F.col(L.prob(n)) / (1 - F.col(L.prob(n)))) for n in L.names})
+    assert M.bce_loss(logits, L, from_probs=False).first()["bce_loss"] == pytest.approx(0.384308, abs=1e-6)
+
+
+def test_loss_of_confident_errors_is_exact(spark):
+    from polylabel.schema import LabelSet
+    df = spark.createDataFrame([(1, 0.001)], "true_a int, prob_a double")
+    assert M.bce_loss(df, LabelSet(("a",))).first()["bce_loss"] == pytest.approx(6.907755, abs=1e-6)
 
 
 def test_row_conventions(spark):

@@ -91,3 +91,27 @@ def test_train_and_select_and_explain_corpus(spark):
     out = EV.explain_corpus(model, df.select("row_id", "text"), k=2)
     assert out["top_attribution"].filter("row_id = 1").count() == 2
     assert out["scores"].count() == 40
+
+
+def test_stream_of_one_file_and_of_none(spark):
+    schema = spark.read.parquet(f"{SF001}/documents.parquet").schema
+    stream = SM.read_parquet_stream(spark, f"{SF001}/documents.parquet", schema)
+    got = SM.streaming_per_label_metrics(FX.scored_from_docs(stream, L), L)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, M.per_label_metrics(FX.scored(spark, SF001), L).collect()))
+    empty = tempfile.mkdtemp(prefix="polylabel-none-")
+    with pytest.raises(FileNotFoundError):
+        SM.read_parquet_stream(spark, empty, schema)
+
+
+def test_restarted_sink_writes_each_row_once(spark):
+    tmp = tempfile.mkdtemp(prefix="polylabel-restart-")
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    docs.filter("doc_id % 2 = 0").write.parquet(f"{tmp}/in")
+    run = lambda: SM.write_stream(SM.read_parquet_stream(spark, f"{tmp}/in", docs.schema), f"{tmp}/out", available_now=True).awaitTermination()
+    run()
+    assert spark.read.parquet(f"{tmp}/out").count() == docs.filter("doc_id % 2 = 0").count()
+    docs.filter("doc_id % 2 = 1").write.mode("append").parquet(f"{tmp}/in")
+    run()
+    run()
+    ids = [r.doc_id for r in spark.read.parquet(f"{tmp}/out").select("doc_id").collect()]
+    assert sorted(ids) == sorted(r.doc_id for r in docs.select("doc_id").collect())

@@ -95,6 +95,18 @@ def test_weighted_sample_and_shards(spark, lab):
     sh = S.training_shards(lab, n_shards=4, batch_size=32)
     per = sh.groupBy("shard", "batch_in_shard").count().collect()
     assert all(r["count"] == 32 for r in per)
+    # one short batch of the whole epoch goes, not one per shard
+    assert sh.count() == lab.count() // 32 * 32 == sh.select("row_id").distinct().count()
+    assert S.training_shards(lab, 4, 32, drop_last=False).count() == lab.count()
+
+
+def test_split_allocation_of_billions(spark):
+    strata = spark.createDataFrame([("10000", 6_000_000_001), ("01000", 6_000_000_000), ("00100", 7)], "stratum string, n_s long")
+    got = {r["stratum"]: r for r in S.split_allocation(None, L, 0.1, strata=strata).collect()}
+    total = 12_000_000_008
+    assert sum(r["k"] for r in got.values()) == -(-total // 10)
+    train = total - -(-total // 10)
+    assert all(abs(r["n_train"] - train * r["n_s"] / total) < 1 + 1e-6 for r in got.values())
 
 
 def test_augmentation_rules(spark):

@@ -50,8 +50,11 @@ def test_cached_encoding(spark):
     out = tempfile.mkdtemp(prefix="polylabel-enc-")
     lab = FX.labelled(spark, SF001)
     a = FE.cached_encoding(lab, out, max_length=32, vocab_size=200)
-    b = FE.cached_encoding(lab.limit(0), out, max_length=32, vocab_size=200)  # served from the cache
-    assert a.count() == b.count() == lab.count()
+    before = set(os.listdir(out))
+    b = FE.cached_encoding(lab.orderBy("row_id"), out, max_length=32, vocab_size=200)  # the same rows: from the cache
+    assert a.count() == b.count() == lab.count() and set(os.listdir(out)) == before
+    c = FE.cached_encoding(lab.filter("row_id % 2 = 0"), out, max_length=32, vocab_size=200)  # other rows: anew
+    assert c.count() == lab.filter("row_id % 2 = 0").count()
 
 
 @pytest.mark.parametrize("order", ["balance_then_split", "split_then_balance"])

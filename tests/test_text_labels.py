@@ -84,3 +84,11 @@ def test_missing_columns_error(spark):
     df = spark.createDataFrame([("t",)], "text string")
     with pytest.raises(MissingColumnsError, match="anger"):
         require_columns(df, ["text", "anger", "fear"])
+
+
+def test_signs_that_are_no_emoji_stay(spark):
+    keep = "\u2192 \u2605 \u2713 \u2318 \u25b2 1 # *"
+    drop = "\u2714\ufe0f \u2b50 \U0001f3f4\U000e0067\U000e0062\U000e007f \U0001f1e9\U0001f1ea 1\ufe0f\u20e3 \U0001f44d\U0001f3fd"
+    row = spark.createDataFrame([(keep, drop)], "a string, b string").select(
+        TF.clean_text("a").alias("a"), TF.clean_text("b").alias("b")).first()
+    assert row.a == keep and row.b == ""
