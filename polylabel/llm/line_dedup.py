@@ -28,7 +28,7 @@ from polylabel.llm import common as C
 from polylabel.llm import pairs
 
 CHARS, BANDS, ROWS = 8, 12, 4
-LONG = 192
+LONG = 96
 _SEEDS = C.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[::2], _SEEDS[1::2] | C.U64(1)
 _SPACE = ~C.NON_SPACE

@@ -16,7 +16,10 @@ never listed per bucket. Instead:
 3. in the other buckets, members of different components are compared,
    leaving out pairs that the set sizes rule out, and pairs that the triangle
    inequality of the Jaccard distance rules out, given both members' distance
-   from the bucket's first node.
+   from the bucket's first node, and pairs that parity bitmaps rule out: a
+   set's bitmap has in each of ``BITS`` places the parity of the tokens that
+   hash there, so two bitmaps differ in at most as many places as the sets do
+   in tokens.
 
 So every pair that could join two components is compared exactly. Joins on
 hot keys are plain equi-joins, which the planner may split.
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from polylabel.llm import common as C
 
 COUNT_PART = 1 << 21  # hashes that one counting task adds up, about
+BITS = 512
 PERCENT = 80  # two sets are linked at 100 * intersection >= PERCENT * union
 
 
@@ -149,6 +153,20 @@ def compare(pairs: DataFrame, texts: DataFrame, sets: Callable) -> DataFrame:
     return both.mapInArrow(_compare(sets), f"a {kind}, b {kind}, common bigint, total bigint")
 
 
+def _parities(sets: Callable):
+    def run(batches):
+        for batch in C.chunks(batches):
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                t, n = sets(part.column(1))
+                place = np.repeat(np.arange(len(part)), n) * BITS + (t & C.U64(BITS - 1)).astype(np.int64)
+                odd = np.bincount(place, minlength=len(part) * BITS).astype(np.uint8) & 1
+                words = np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).reshape(-1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), C.lists(words, np.full(len(part), BITS // 64), pa.int64())], ["node", "bits"])
+    return run
+
+
 def linked(df: DataFrame) -> DataFrame:
     return df.filter((F.col("total") > 0) & (F.col("common") * 100 >= F.col("total") * PERCENT))
 
@@ -178,14 +196,19 @@ def resolve(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets
     of = open_.join(pivot, "key").select("p", "node", "n", "room", "component").distinct()
     of = (of.withColumn("a", F.least("node", "p")).withColumn("b", F.greatest("node", "p"))
           .join(far, ["a", "b"], "left").withColumn("d", F.when(F.col("node") == F.col("p"), F.lit(0.0)).otherwise(F.col("d"))))
-    x = of.select("p", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "room", "component", "d")))
-    y = of.select("p", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "room", "component", "d")))
+    kind = members.schema["node"].dataType.simpleString()
+    bits = texts.select("node", "text").mapInArrow(_parities(sets), f"node {kind}, bits array<bigint>").dropDuplicates(["node"])
+    of = scratch.stage(of.join(bits, "node", "left"), "blocks")
+    x = of.select("p", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "room", "component", "d", "bits")))
+    y = of.select("p", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "room", "component", "d", "bits")))
     possible = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
+    differ = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(BITS // 64)), F.lit(0))
+    possible &= differ * (100 + PERCENT) <= (F.col("n1") + F.col("n2")) * (100 - PERCENT)
     third = (x.join(y, "p").filter((F.col("component1") < F.col("component2")) & _can_link(*map(F.col, ("n1", "n2", "room1", "room2"))) & possible)
              .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
              .join(seen, ["a", "b"], "left_anti"))
     third = scratch.stage(third, "pairs3")
     seen = seen.unionByName(scratch.stage(compare(third, texts, sets), "seen3"))
     out = C.components(linked(seen), scratch)
-    scratch.drop("texts", "pairs1", "pairs2", "pairs3", "open1", "open2")
+    scratch.drop("texts", "pairs1", "pairs2", "pairs3", "open1", "open2", "blocks")
     return out
