@@ -21,8 +21,8 @@ of them, the most frequent first; as the result does not depend on the class,
 that bound (which makes the class small enough to send to every task) only
 affects speed. Documents with equal sets are one node, so copies cost no
 pairs. Rare prefix tokens that no other node's prefix holds are missing from
-every partner, which bounds what a node can share (``room``). Candidates that
-pass are verified exactly and joined into components in ``pairs``.
+every partner whose prefix ends no earlier in the order, which bounds what a
+node can share with these (``room``). Candidates that pass are verified exactly and joined into components in ``pairs``.
 """
 
 from __future__ import annotations

@@ -2,8 +2,9 @@
 
 ``members`` (key, node, n, room) says which nodes share which signature keys,
 ``n`` being a node's set size and ``room`` the most tokens that it can share
-with any other node (``n`` where nothing more is known); every pair of similar
-nodes shares a key. Two nodes can only be linked if the smaller room is at
+with any node whose prefix ends no earlier than its own (``n`` where nothing
+more is known); every pair of similar nodes shares a key. Of two nodes one has
+the prefix that ends first, so they can only be linked if the larger room is at
 least the intersection that their sizes ask for. Buckets may be large, since a
 signature of a big group of near copies is shared by all of them, so pairs are
 never listed per bucket. Instead:
@@ -104,9 +105,11 @@ def meeting_keys(prefixes: DataFrame, scratch: C.Scratch) -> DataFrame:
 
 
 def _can_link(n1, n2, room1, room2):
-    """Whether sizes and rooms allow 100 * common >= PERCENT * total."""
+    """Whether sizes and rooms allow 100 * common >= PERCENT * total. The
+    larger room counts: the smaller may be of the node whose prefix ends last,
+    and what that has there may lie past the end of the other's."""
     fits = (n1 * 100 >= n2 * PERCENT) & (n2 * 100 >= n1 * PERCENT)
-    return fits & (F.least(room1, room2) * (100 + PERCENT) >= (n1 + n2) * PERCENT)
+    return fits & (F.greatest(room1, room2) * (100 + PERCENT) >= (n1 + n2) * PERCENT)
 
 
 def _first(members: DataFrame):

@@ -88,6 +88,19 @@ def test_keep_one(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_isolated_texts_with_a_passage_cut(spark, documents):
+    rng, rows = random.Random(11), []
+    for g in range(120):
+        n = rng.randint(40, 160)
+        w = [f"g{g}w{i}" for i in range(n + 4)]
+        least = -(-4 * n // 5)
+        cut = n - rng.randint(least, max(least, n * 86 // 100))
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:len(w) - cut] if g % 2 else w[cut:]))]
+    got = run(ngram_join.near_duplicates(documents(rows)))
+    assert got == brute(rows)
+    assert all(c == i - i % 2 for i, _, c in got)
+
+
 def test_prefixes_of_linked_sets_always_meet():
     rng = np.random.default_rng(7)
     for _ in range(3000):
