@@ -10,9 +10,10 @@ in one pass:
 * J4 occlusion: the change in probability when every occurrence of a token
   is removed, p - sigmoid(z - beta_j * x_j), exact for a linear model.
 
-Work is one explode of each whole text into (doc, token) counts, a
-broadcast join with the coefficient table (one row per vocabulary entry),
-and windows over one document's distinct tokens; all of it clustered on the
+Work is one explode of each whole text into (doc, token) counts, a left
+broadcast join with the coefficient table (one row per vocabulary entry; a
+token outside the vocabulary keeps its row, with a contribution of 0), and
+windows over one document's distinct tokens; all of it clustered on the
 document key, so one shuffle in total.
 """
 
@@ -47,7 +48,7 @@ def background_mean(model: MultiLabelModel, df: DataFrame, text_col: str = "text
     tree-aggregation (no shuffle) returning a vocabulary-sized vector."""
     from pyspark.ml.stat import Summarizer
 
-    feats = model.features.transform(df.select(text_col))
+    feats = model.features.transform(df.select(F.coalesce(text_col, F.lit("")).alias(text_col)))
     return feats.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
 
 
@@ -57,6 +58,11 @@ def token_contributions(model: MultiLabelModel, df: DataFrame, id_col: str = "ro
     delta (J4), the doc's probability, and the signed weight scaled by the
     largest absolute attribution of that doc and label (B26).
 
+    Every token of every text has its rows: one outside the model's vocabulary
+    has an ``x``, attribution and occlusion of 0. A null text, and a text
+    without tokens (or with dropped ones only), has one row per label with a
+    null token and a ``tf`` of 0.
+
     Plan: documents are hash-partitioned by their key once; every later
     step (token counts per (doc, token), the per-document margins, the
     per-(doc, label) scaling and ranking) is clustered on the document key,
@@ -67,11 +73,14 @@ def token_contributions(model: MultiLabelModel, df: DataFrame, id_col: str = "ro
         mean_x = background_mean(model, df, text_col)
     coef = F.broadcast(coefficient_table(model, mean_x))
     docs = df.select(id_col, text_col).repartition(id_col)
-    tf = (docs.select(id_col, F.explode(tokens(text_col)).alias("token"))
-          .groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf")))
+    words = tokens(text_col)
     if drop_tokens:  # B25
-        tf = tf.filter(~F.col("token").isin(list(drop_tokens)))
-    j = tf.join(coef, "token").withColumn("x", F.col("tf") * F.col("idf"))
+        words = F.filter(words, lambda t: ~t.isin(list(drop_tokens)))
+    tf = (docs.select(id_col, F.explode_outer(words).alias("token"))
+          .groupBy(id_col, "token").agg(F.count("token").alias("tf")))
+    j = tf.join(coef, "token", "left")
+    j = j.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in coef.columns if c != "token"})
+    j = j.withColumn("x", F.col("tf") * F.col("idf"))
     per_doc = Window.partitionBy(id_col)
     j = j.withColumns({f"_z_{n}": F.sum(F.col(f"b_{n}") * F.col("x")).over(per_doc)
                        + F.lit(float(model.per_label[n].intercept)) for n in labels.names})
@@ -100,9 +109,9 @@ def top_tokens(contrib: DataFrame, by: str = "attribution", k: int = 5, id_col:
 
 def example_attributions(examples: DataFrame, contrib: DataFrame, k: int = 5) -> DataFrame:
     """Attributions of the G3 disagreement examples for the label they
-    disagree on (a semi-join on the few example texts)."""
+    disagree on (a semi-join on the few example texts). Every example stays."""
     ex = examples.select("annotator_id", "label", "kind", "example_no",
                          F.col("text_id").alias("row_id"))
     sel = contrib.join(ex.select("row_id", "label").distinct(), ["row_id", "label"], "left_semi")
     top = top_tokens(sel, "attribution", k)
-    return ex.join(top, ["row_id", "label"])
+    return ex.join(top, ["row_id", "label"], "left")

@@ -45,6 +45,24 @@ def test_train_score_explain(spark):
     assert contrib.filter("row_id = 1").first()["prob"] == pytest.approx(p_ml, rel=1e-6)
 
 
+def test_every_token_and_text_is_explained(spark):
+    ls = LabelSet(("pos",))
+    rows = [(i, "good the" if i % 2 else "bad the", i % 2) for i in range(20)]
+    model = MD.train(spark.createDataFrame(rows, "row_id long, text string, pos int"), ls, num_features=3)
+    docs = spark.createDataFrame([(1, "good unseen unseen"), (2, "unseen"), (3, "..."), (4, None), (5, "the")],
+                                 "row_id long, text string")
+    contrib = X.token_contributions(model, docs, drop_tokens=("the",))
+    got = {(r["row_id"], r["token"]): r for r in contrib.collect()}
+    assert {k: r["tf"] for k, r in got.items()} == {
+        (1, "good"): 1, (1, "unseen"): 2, (2, "unseen"): 1, (3, None): 0, (4, None): 0, (5, None): 0}
+    assert all((r["attribution"] == r["occlusion"] == r["weight"] == 0) == (t != "good") for (_, t), r in got.items())
+    assert {r["prob"] for (i, _), r in got.items() if i > 1} == {got[2, "unseen"]["prob"]}
+    examples = spark.createDataFrame([(7, "pos", "FP", 1, 2), (7, "pos", "FN", 1, 4)],
+                                     "annotator_id long, label string, kind string, example_no int, text_id long")
+    out = X.example_attributions(examples, contrib).collect()
+    assert sorted((r["row_id"], r["token"]) for r in out) == [(2, "unseen"), (4, None)]
+
+
 def test_encode_shapes(spark):
     lab = FX.labelled(spark, SF001)
     enc = FE.encode(lab, FE.build_vocabulary(lab, vocab_size=300), max_length=16).collect()
