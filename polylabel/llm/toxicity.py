@@ -6,9 +6,9 @@ n-gram ``g = h x`` with history ``h`` and suffix ``g'`` has the probability
 
     P_c(x | h) = (max(a_c(g) - D, 0) + D N_c(h .) P_c(g')) / a_c(h .)
 
-where ``a_c`` counts documents at the highest order (a text's repetitions, and
-copies within a chunk of rows, count once) and different left neighbours below
-it, and ``N_c(h .)`` different continuations. Below the
+where ``a_c`` counts documents at the highest order (an n-gram's repetitions in
+a text count once, copies of a text each count with their own label) and
+different left neighbours below it, and ``N_c(h .)`` different continuations. Below the
 shortest n-grams both classes back off to the same distribution, of their
 counts together. Likewise an n-gram whose class counts do not depart from what
 its suffix lets expect (G-test under ``G_LEAST``; how n-gram models are pruned
@@ -79,9 +79,8 @@ def _count(batches):
         chars, cp, ptr = stream(batch.column(0))
         at, h = grams(cp, ptr, ORDER)
         doc = np.searchsorted(ptr, at, "right") - 1
-        # each n-gram once per text, each text once
-        same = batch.column(0).dictionary_encode().indices.to_numpy()
-        _, once = np.unique(C.mix(h + C.mix(same[doc].astype(C.U64))), return_index=True)
+        # each n-gram once per text; rows are never cut, so the layout tells nothing
+        _, once = np.unique(C.mix(h + C.mix(doc.astype(C.U64))), return_index=True)
         at, h, label = at[once], h[once], batch.column(1).to_numpy()[doc[once]]
         _, first, of = np.unique(h, return_index=True, return_inverse=True)
         n = np.bincount(of, minlength=len(first))

@@ -112,6 +112,13 @@ def test_terms_and_scores(spark, monkeypatch, block):
         assert r.size == len(s) and abs(r.llr - total) < 1e-6
 
 
+def test_copies_count_alike_in_every_layout(spark):
+    df = spark.createDataFrame([("Zug, zug!", 1)] * 6 + [("Zug, zug!", 0)] * 2, "text string, label int")
+    for layout in (df.coalesce(1), df.repartition(5)):
+        got = {(r.g, r.a0, r.a1) for r in toxicity.count_grams(layout).collect()}
+        assert got == {(g, 2, 6) for g in (" zug ", "zug z", "ug zu", "g zug")}
+
+
 def auc(scores, labels):
     order = np.argsort(scores)
     rank = np.empty(len(scores))
