@@ -102,15 +102,15 @@ def word_tokens(text, min_len: int = 3) -> Column:
 
 # ----------------------------------------------------------- seeded draws
 
-def draw(seed: int, *parts) -> Column:
-    """A uniform 32-bit draw from md5(seed:part:part...). Deterministic under
+def draw(seed: int, *parts, digits: int = 8) -> Column:
+    """A uniform draw of ``4 * digits`` bits (32, at most 60) from md5(seed:part:part...). Deterministic under
     retries and repartitioning (unlike ``rand()``), and DuckDB can rebuild
-    it: its leading 8 hex digits read as an unsigned integer."""
+    it: its leading ``digits`` hex digits read as an unsigned integer."""
     pieces = [F.lit(str(seed))]
     for p in parts:
         piece = p.cast("string") if isinstance(p, Column) else F.lit(str(p))
         pieces += [F.lit(":"), piece]
-    return F.conv(F.substring(F.md5(F.concat(*pieces)), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(*pieces)), 1, digits), 16, 10).cast("long")
 
 
 def swap_delete_positions(words_col, d1, d2, d3) -> dict[str, Column]:

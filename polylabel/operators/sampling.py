@@ -172,12 +172,18 @@ def oversample(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEF
     return originals.unionByName(synth) if include_original else synth
 
 
+def rank_draw(seed: int, n, *parts) -> Column:
+    """A rank below ``n``: a 32-bit draw modulo ``n``, and where that cannot
+    reach every rank (``n`` above 2^32) a 60-bit one."""
+    return F.pmod(F.when(n > 1 << 32, TF.draw(seed, *parts, digits=15)).otherwise(TF.draw(seed, *parts)), n)
+
+
 def oversample_bootstrap(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEFAULT_SEED,
                          id_col: str = "row_id", augment: bool = True, plan_rows=None,
                          include_original: bool = True) -> DataFrame:
     """each of the q_l synthetic rows of label l copies a row drawn
     uniformly with replacement from the n_l rows having l (draw j picks the
-    row of rank pmod(md5(seed:label:j), n_l)).
+    row of rank pmod(md5(seed:label:j), n_l), see ``rank_draw``).
 
     Ranks inside a label come from the bucket histogram: rank = rows in lower
     buckets + position inside the bucket, so no window spans a whole label.
@@ -220,7 +226,7 @@ def oversample_bootstrap(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed:
         start_of = F.when(cond, F.lit(start)) if start_of is None else start_of.when(cond, F.lit(start))
         n_of = F.when(cond, F.lit(cnt)) if n_of is None else n_of.when(cond, F.lit(cnt))
     draws = (spark.range(total).select(label_of.alias("copy_label"), (j - start_of).alias("_j"), n_of.alias("_n"))
-             .withColumn("_rank", F.pmod(TF.draw(seed, F.col("copy_label"), F.col("_j"), "boot"), F.col("_n")))
+             .withColumn("_rank", rank_draw(seed, F.col("_n"), F.col("copy_label"), F.col("_j"), "boot"))
              .withColumn("copy_no", F.col("_j") + 1))
     synth = draws.join(ranked, ["copy_label", "_rank"])
     synth, text = _copy_text(synth, seed, id_col, augment)

@@ -137,3 +137,14 @@ def test_weighted_sample_large_k_path_is_exact(spark, lab):
     small = {r["row_id"] for r in S.weighted_sample(w, "weight", 300).collect()}
     large = {r["row_id"] for r in S.weighted_sample(w, "weight", 300, top_k_limit=10, accuracy=1000).collect()}
     assert small == large and len(large) == 300
+
+
+def test_rank_draws_reach_every_rank(spark):
+    from polylabel.functions import text as TF
+    n = 1 << 40
+    df = spark.range(200).select(S.rank_draw(1, F.lit(n), F.col("id"), "boot").alias("wide"),
+                                 S.rank_draw(1, F.lit(1 << 32), F.col("id"), "boot").alias("narrow"),
+                                 TF.draw(1, F.col("id"), "boot").alias("draw"))
+    rows = df.collect()
+    assert all(0 <= r["wide"] < n and r["narrow"] == r["draw"] for r in rows)
+    assert max(r["wide"] for r in rows) > n * 0.9 and min(r["wide"] for r in rows) < n * 0.1
