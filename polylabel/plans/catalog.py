@@ -314,7 +314,7 @@ def _split_and_model(spark: SparkSession, sf_dir: str):
     if key not in _MODELS:
         split = S.stratified_split(FX.labelled(spark, sf_dir), L).persist()
         train = split.filter(F.col("split") == "train")
-        model = MD.train(train, L, max_iter=10)
+        model = MD.train(train, L)
         _MODELS[key] = (split, model)
     return _MODELS[key]
 

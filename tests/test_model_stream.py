@@ -133,3 +133,12 @@ def test_restarted_sink_writes_each_row_once(spark):
     run()
     ids = [r.doc_id for r in spark.read.parquet(f"{tmp}/out").select("doc_id").collect()]
     assert sorted(ids) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def test_shared_model_trains_with_the_library_default(spark, monkeypatch):
+    from polylabel.plans import catalog as K
+    seen = []
+    monkeypatch.setattr(K.MD, "train", lambda *a, **kw: seen.append(kw))
+    monkeypatch.setattr(K, "_MODELS", {})
+    K._split_and_model(spark, SF001)
+    assert seen and all("max_iter" not in kw for kw in seen)
