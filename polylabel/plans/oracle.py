@@ -445,8 +445,7 @@ ls AS (SELECT row_id, {_STRATUM} AS stratum FROM lab),
 st AS (SELECT stratum, count(*) AS n_s FROM ls GROUP BY stratum),
 s1 AS (SELECT *, sum(n_s) OVER () AS n FROM st),
 s2 AS (SELECT *, n - CAST(ceil(n * 0.1e0) AS BIGINT) AS n_train_total FROM s1),
-s3 AS (SELECT *, CAST(n_train_total * n_s AS DOUBLE) / n AS ex FROM s2),
-s4 AS (SELECT *, CAST(floor(ex) AS BIGINT) AS fl, ex - floor(ex) AS rem FROM s3),
+s4 AS (SELECT *, CAST(n_train_total * n_s // n AS BIGINT) AS fl, n_train_total * n_s % n AS rem FROM s2),
 s5 AS (SELECT *, n_train_total - sum(fl) OVER () AS short,
          row_number() OVER (ORDER BY rem DESC, n_s DESC, stratum) AS rk FROM s4),
 alloc AS (SELECT stratum, n_s - (fl + CASE WHEN rk <= short THEN 1 ELSE 0 END) AS k FROM s5),
@@ -701,8 +700,7 @@ def _split_cte(src: str, key: str, p: str) -> str:
 {p}st AS (SELECT stratum, count(*) AS n_s FROM {p}ls GROUP BY stratum),
 {p}s1 AS (SELECT *, sum(n_s) OVER () AS n FROM {p}st),
 {p}s2 AS (SELECT *, n - CAST(ceil(n * 0.1e0) AS BIGINT) AS n_train_total FROM {p}s1),
-{p}s3 AS (SELECT *, CAST(n_train_total * n_s AS DOUBLE) / n AS ex FROM {p}s2),
-{p}s4 AS (SELECT *, CAST(floor(ex) AS BIGINT) AS fl, ex - floor(ex) AS rem FROM {p}s3),
+{p}s4 AS (SELECT *, CAST(n_train_total * n_s // n AS BIGINT) AS fl, n_train_total * n_s % n AS rem FROM {p}s2),
 {p}s5 AS (SELECT *, n_train_total - sum(fl) OVER () AS short,
          row_number() OVER (ORDER BY rem DESC, n_s DESC, stratum) AS rk FROM {p}s4),
 {p}alloc AS (SELECT stratum, n_s - (fl + CASE WHEN rk <= short THEN 1 ELSE 0 END) AS k FROM {p}s5),

@@ -5,12 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-# Labelled CSV fixture (116 rows, see FIXTURES.md 2.3); tests using it are
-# skipped unless the variable points at the file.
-CSV = os.environ.get("POLYLABEL_DEV_CSV", "")
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from inputs import SF01
 from polylabel.operators import agreement as AG
 from polylabel.operators import discrepancy as D
 from polylabel.schema import DEFAULT_LABELS as L

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import CSV
+from inputs import CSV
 from polylabel.functions import text as TF
 from polylabel.operators import metrics as M
 from polylabel.operators import sampling as S

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from inputs import SF001
 
 TABLES = "documents labels".split()
 

@@ -4,7 +4,7 @@ and the sf0.01 scored fixture (FIXTURES 3.2)."""
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from inputs import SF01
 from polylabel.operators import metrics as M
 from polylabel.schema import DEFAULT_LABELS as L
 from polylabel.sources import fixtures as FX

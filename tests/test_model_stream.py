@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from inputs import SF001
 from polylabel.operators import explain as X
 from polylabel.operators import features as FE
 from polylabel.operators import metrics as M

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conftest import SF01
+from inputs import SF01
 from polylabel.operators import sampling as S
 from polylabel.operators import stats as ST
 from polylabel.schema import DEFAULT_LABELS as L

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from inputs import SF001
 from polylabel.operators import features as FE
 from polylabel.plans import corpus as K
 from polylabel.plans import evaluation as EV
