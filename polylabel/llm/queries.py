@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polylabel.llm import bpe, common, decontam, line_dedup, maxscore, ngram_join, quality, secrets, token_counts, toxicity, warc
+from polylabel.llm import bpe, common, decontam, line_dedup, maxscore, ngram_join, quality, secrets, token_counts, toxicity, warc, whitening
 
 QUERIES = {}
 ORACLE = {}
@@ -108,3 +108,12 @@ def op7_toxicity_kneser_ney(spark, sf_dir):
 def op3_quality_pu(spark, sf_dir):
     out = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), toxicity.fold("_label_id", 5) != 0)
     return out.select("doc_id", (toxicity.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op13_embedding_whitening(spark, sf_dir):
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    out = out.select("vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "explained", "identity_error",
+                     F.posexplode("whitened").alias("at", "value"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"),
+                      F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error")
