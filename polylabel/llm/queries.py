@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polylabel.llm import bpe, common, decontam, line_dedup, maxscore, ngram_join, quality, secrets, token_counts, toxicity, warc, whitening
+from polylabel.llm import bpe, common, decontam, fingerprints, line_dedup, maxscore, ngram_join, quality, secrets, token_counts, toxicity, warc, whitening
 
 QUERIES = {}
 ORACLE = {}
@@ -117,3 +117,8 @@ def op13_embedding_whitening(spark, sf_dir):
                      F.posexplode("whitened").alias("at", "value"))
     return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"),
                       F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error")
+
+
+@query
+def op12_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
