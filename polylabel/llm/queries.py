@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from polylabel.llm import bpe, common, decontam, fingerprints, line_dedup, maxscore, ngram_join, quality, secrets, token_counts, toxicity, warc, whitening
+from polylabel.llm import bpe, common, conversations, decontam, fingerprints, line_dedup, maxscore, ngram_join, quality, secrets, token_counts, toxicity, warc, whitening
 
 QUERIES = {}
 ORACLE = {}
@@ -119,6 +119,12 @@ def op13_embedding_whitening(spark, sf_dir):
                       F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error")
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    report, _ = conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+    return report.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256", "rows")
+
+
 @query
 def op12_document_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
