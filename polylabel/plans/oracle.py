@@ -573,11 +573,12 @@ _ERR_ROWS = " UNION ALL ".join(
     f"CASE WHEN pred_{n} > true_{n} THEN 'fp' ELSE 'fn' END AS kind FROM jn WHERE pred_{n} <> true_{n}"
     for i, n in enumerate(N))
 
-EXAMPLES = f"""WITH {ANN_CTE},
+EXAMPLES_CTE = f"""{ANN_CTE},
 jn AS (SELECT j.*, {_TRUE_NAMES} AS human_labels, {_PRED_NAMES} AS model_labels FROM j),
 e AS ({_ERR_ROWS}),
 t AS (SELECT annotator_id, label, kind, count(*) AS n_total FROM e GROUP BY ALL),
-x AS (SELECT e.*, row_number() OVER (PARTITION BY annotator_id, label, kind ORDER BY text_id) AS example_no FROM e)
+x AS (SELECT e.*, row_number() OVER (PARTITION BY annotator_id, label, kind ORDER BY text_id) AS example_no FROM e)"""
+EXAMPLES = f"""WITH {EXAMPLES_CTE}
 SELECT x.annotator_id, x.label, x.label_index, x.kind, t.n_total, CAST(x.example_no AS INTEGER) AS example_no,
   x.text_id, md5(x.text) AS text_md5,
   CASE WHEN x.kind = 'fp' THEN x.human_labels ELSE x.model_labels END AS other_labels

@@ -152,3 +152,38 @@ def quality_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").alias("true_quality"), F.col("toxic").alias("true_toxic"),
         F.col("n_chars").between(200, 6000).cast("int").alias("pred_quality"),
         (F.col("n_chars") % 7 == 0).cast("int").alias("pred_toxic"))
+
+
+# ------------------------------------------------------------ a black box
+
+def token_code(token: str) -> int:
+    """The leading 32 bits of md5(token)."""
+    import hashlib
+
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+
+
+def load_neighbour_model():
+    """A stand-in for a model of another library: a function from texts to one
+    probability per label. It sees nothing but the text, and is not linear in
+    its tokens: a label's evidence is its distinct tokens (by code modulo 5),
+    times its tokens that stand before one of code 0 modulo 3."""
+    codes: dict[str, int] = {}
+
+    def model(texts):
+        out = []
+        for text in texts:
+            b = []
+            for w in text.split():
+                if w not in codes:
+                    codes[w] = token_code(w)
+                b.append(codes[w])
+            kinds, before = [0] * 5, [0] * 5
+            for x in set(b):
+                kinds[x % 5] += 1
+            for x, y in zip(b, b[1:]):
+                if y % 3 == 0:
+                    before[x % 5] += 1
+            out.append([(1 + k * (1 + n)) / (3 + len(b) + k * (1 + n)) for k, n in zip(kinds, before)])
+        return out
+    return model
