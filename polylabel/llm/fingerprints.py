@@ -20,7 +20,6 @@ for any length. Bytes that are no UTF-8 are read as replacement characters.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import struct
 
@@ -190,7 +189,8 @@ def likeness(f: bytes, g: bytes) -> float:
 
 # ---------------------------------------------------------------- operator
 
-RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+# Digests and fingerprints are staged as bytes, and written out at the end.
+RESULT = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def spliced(text: str, following: str) -> str:
@@ -203,8 +203,7 @@ def spliced(text: str, following: str) -> str:
 def _compare(text: str, f: bytes, following: str, g: bytes) -> tuple:
     edited = spliced(text, following)
     e = f if edited == text else fingerprint(edited)
-    show = lambda b: base64.b64encode(b).decode()
-    return (len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), show(f), show(e), likeness(f, e), likeness(f, g))
+    return len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest(), f, e, likeness(f, e), likeness(f, g)
 
 
 def _texts(column: pa.Array):
@@ -217,7 +216,7 @@ def _chain(kind: pa.DataType):
     next one here: it leaves with its text, and so does the first, which is
     the next one of the partition before."""
     names = ["id", "part", "first", "last", "text", *(c.split()[0] for c in RESULT.split(", "))]
-    types = [kind, pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [kind, pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -248,7 +247,7 @@ def _pairs(kind: pa.DataType):
                 rows.append((i.as_py(), *_compare(text, fingerprint(text), following, fingerprint(following))))
             cols = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], kind), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[2:5]),
+                [pa.array(cols[0], kind), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:5]),
                  *(pa.array(c, pa.float64()) for c in cols[5:])], ["id", *(c.split()[0] for c in RESULT.split(", "))])
     return run
 
@@ -282,8 +281,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     after = heads.select("part", F.coalesce(F.lead("part").over(every), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("next"))
     ends = (done.filter("last").select("id", "part", "text").join(after, "part")
             .join(heads.withColumnRenamed("part", "next"), "next").select("id", "text", "head"))
-    return (done.filter("not last").drop("part", "first", "last", "text")
-            .unionByName(ends.mapInArrow(_pairs(arrow), f"id {kind}, {RESULT}")).withColumnRenamed("id", id_col))
+    both = done.filter("not last").drop("part", "first", "last", "text").unionByName(ends.mapInArrow(_pairs(arrow), f"id {kind}, {RESULT}"))
+    line = lambda c: F.translate(F.base64(c), "\r\n", "").alias(c)
+    return both.select(F.col("id").alias(id_col), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), line("fingerprint"),
+                       line("edited_fingerprint"), "near_edited", "near_next")
 
 
 def extensions(pairs: DataFrame, left: str, right: str) -> DataFrame:
