@@ -29,6 +29,7 @@ from polylabel.llm import pairs
 
 CHARS, BANDS, ROWS = 8, 12, 4
 LONG = 96
+WHITE = " \t\n\x0b\x0c\r"
 _SEEDS = C.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[::2], _SEEDS[1::2] | C.U64(1)
 _SPACE = ~C.NON_SPACE
@@ -221,6 +222,22 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return scratch.stage(gone.groupBy("id", "text_key").agg(F.sort_array(F.collect_list("pos")).alias("removed")), "removed")
 
 
+def _applied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, text, n, gone): each input row as one struct, so that no column
+    name can clash, with its new text, its number of lines and the positions
+    of those that went."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), text.alias("text"),
+                       F.xxhash64(text).alias("text_key"))
+    gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), "removed")
+    both = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
+    lines = F.split("text", "\n", -1)
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    left = F.filter(lines, lambda _, i: ~F.array_contains(removed, i))
+    return both.select("row", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+                       F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n"), removed.alias("gone"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every row, its text without the removed lines, and the
     columns ``n_lines`` and ``removed_lines`` (positions from 0) added.
@@ -231,14 +248,22 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each keeps the same lines. One id with two texts is two documents. A null
     id ranks before all others. Other columns, whatever their names, pass
     through (``n_lines`` and ``removed_lines`` are replaced)."""
-    gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed").alias("_removed"))
-    text = F.col(text_col).cast("string")
-    both = docs.withColumn("_text_key", F.xxhash64(text)).join(
-        gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    lines = F.split(text, "\n", -1)
-    removed = F.coalesce("_removed", F.array().cast("array<int>"))
-    left = F.filter(lines, lambda _, i: ~F.array_contains(removed, i))
-    new = F.when(F.col("_removed").isNull(), text).otherwise(F.array_join(left, "\n"))
-    both = both.withColumn("_new", new).withColumn("_n", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("_gone", removed)
-    cols = [F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    return both.select(*cols, F.col("_n").alias("n_lines"), F.col("_gone").alias("removed_lines"))
+    cols = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+            for c in docs.columns if c not in ("n_lines", "removed_lines")]
+    return _applied(docs, id_col, text_col).select(*cols, F.col("n").alias("n_lines"), F.col("gone").alias("removed_lines"))
+
+
+def shortened(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with its own columns only, texts as in ``deduplicate``. A
+    document whose lines all went, or have only white space left, goes with
+    them; one that lost no line stays as it is. A column ``length_col``, where
+    there is one, follows a changed text. What stays of a copy of another
+    document are the lines that differ from it."""
+    changed = F.size("gone") > 0
+    left = _applied(docs, id_col, text_col).filter(~changed | (F.rtrim(F.col("text"), F.lit(WHITE)) != ""))
+    cols = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        k = docs.columns.index(length_col)
+        cols[k] = F.when(changed, F.length("text").cast(kind)).otherwise(cols[k]).alias(length_col)
+    return left.select(*cols)

@@ -113,3 +113,31 @@ def test_query_keeps_clean_documents(spark):
     for i, t in rows:
         exact = sum(bool(x.strip(SPACE)) and min(lines[x.strip(SPACE)]) < i for x in (t or "").split("\n"))
         assert got[i].n_removed >= exact
+
+
+def test_columns_of_any_name(spark):
+    """Every internal name, and the operator's own, as input columns."""
+    names = ["_id", "_key", "_removed", "_n", "_new", "_gone", "_text_key", "id", "row", "gone", "removed", "text_key", "gone_id", "gone_key",
+             "n", "lines", "n_lines", "removed_lines", "node", "a.b"]
+    line = "a line that is long enough to be compared with others"
+    rows = [(i, t, *(100 * i + k for k in range(len(names)))) for i, t in ((1, f"{line}\nsome other text that only the first one has"), (2, f"x\n{line}"), (3, line))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{c}` int" for c in names))
+    want = {1: rows[0][1], 2: "x", 3: ""}
+    got = line_dedup.deduplicate(df)
+    assert got.columns == [c for c in df.columns if c not in ("n_lines", "removed_lines")] + ["n_lines", "removed_lines"]
+    for r in got.collect():
+        assert r["text"] == want[r["doc_id"]] and all(r[c] == 100 * r["doc_id"] + k for k, c in enumerate(names) if c in got.columns[:-2])
+    short = line_dedup.shortened(df)
+    assert short.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["removed_lines"]) for r in short.collect()) == [(1, want[1], 116, 117), (2, "x", 216, 217)]
+
+
+def test_length_follows(spark):
+    line = "a line that is long enough to be compared with others"
+    df = spark.createDataFrame([(1, line, 999), (2, f"x\n{line}", 999), (3, None, 5), (4, " \n", 7)], "doc_id bigint, text string, n_chars int")
+    assert sorted(tuple(r) for r in line_dedup.shortened(df).collect()) == [(1, line, 999), (2, "x", 1), (3, None, 5), (4, " \n", 7)]
+
+
+def test_null_text_and_missing_length(spark):
+    df = spark.createDataFrame([(1, "some line of text here"), (2, None)], "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in line_dedup.shortened(df).collect()), key=str) == [(1, "some line of text here"), (2, None)]
