@@ -9,18 +9,22 @@ least the intersection that their sizes ask for. Buckets may be large, since a
 signature of a big group of near copies is shared by all of them, so pairs are
 never listed per bucket. Instead:
 
-1. every member is compared with the bucket's node that misses the fewest
+1. every member is paired with the bucket's node that misses the fewest
    tokens, and in the buckets that this left in several components also with
-   the one of largest id: as many pairs as there are members;
+   the one of largest id: as many pairs as there are members. Those that parity
+   bitmaps do not rule out are compared: a set's bitmap has in each place the
+   parity of the tokens that hash there, so two bitmaps differ in at most as
+   many places as the sets do in tokens. A bitmap has two to four places per
+   token, at most 1024 (of two bitmaps the longer is folded), so of sets of up
+   to some 500 tokens what is left is alike at little less than the limit;
 2. a bucket whose members are then all in one component needs nothing more,
    as any further link inside it changes no component;
-3. in the other buckets, members of different components are compared,
-   leaving out pairs that the set sizes rule out, and pairs that the triangle
-   inequality of the Jaccard distance rules out, given both members' distance
-   from the bucket's first node, and pairs that parity bitmaps rule out: a
-   set's bitmap has in each of ``BITS`` places the parity of the tokens that
-   hash there, so two bitmaps differ in at most as many places as the sets do
-   in tokens.
+3. the other buckets form blocks, one per first node, and members of different
+   components are candidates, leaving out pairs that the set sizes rule out,
+   that the triangle inequality of the Jaccard distance rules out, given both
+   members' distance from the block's first node, or that their bitmaps do;
+4. of the candidates between two components the ``BEST`` most alike are compared
+   first; then those that are still between different components.
 
 So every pair that could join two components is compared exactly. Joins on
 hot keys are plain equi-joins, which the planner may split.
@@ -34,11 +38,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from polylabel.llm import common as C
 
 COUNT_PART = 1 << 21  # hashes that one counting task adds up, about
-BITS = 512
+LONGEST = 2  # bitmaps of at most 4 << LONGEST longs: 1024 places
+BEST = 3  # candidates between two components that are compared before the others
 PERCENT = 80  # two sets are linked at 100 * intersection >= PERCENT * union
 
 
@@ -119,7 +125,15 @@ def _first(members: DataFrame):
 def _star(members: DataFrame, pivot: DataFrame) -> DataFrame:
     near = members.join(pivot, "key").filter(
         (F.col("node") != F.col("p.node")) & _can_link(F.col("n"), F.col("p.n"), F.col("room"), F.col("p.room")))
-    return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    low = F.col("node") < F.col("p.node")
+    return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"),
+                       F.when(low, F.col("n")).otherwise(F.col("p.n")).alias("n1"), F.when(low, F.col("p.n")).otherwise(F.col("n")).alias("n2")).distinct()
+
+
+def _possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, n1, n2) that bitmaps do not rule out."""
+    of_a, of_b = (bits.select(F.col("node").alias(c), F.col("bits").alias(f"bits{k}")) for k, c in ((1, "a"), (2, "b")))
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").filter(_differing() * (100 + PERCENT) <= _MOST).select("a", "b").distinct()
 
 
 def _compare(sets: Callable):
@@ -159,37 +173,81 @@ def compare(pairs: DataFrame, texts: DataFrame, sets: Callable) -> DataFrame:
 def _parities(sets: Callable):
     def run(batches):
         for batch in C.chunks(batches):
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                t, n = sets(part.column(1))
-                place = np.repeat(np.arange(len(part)), n) * BITS + (t & C.U64(BITS - 1)).astype(np.int64)
-                odd = np.bincount(place, minlength=len(part) * BITS).astype(np.uint8) & 1
-                words = np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).reshape(-1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), C.lists(words, np.full(len(part), BITS // 64), pa.int64())], ["node", "bits"])
+            t, n = sets(batch.column(1))
+            at = np.concatenate([[0], np.cumsum(n)])
+            words = np.left_shift(4, np.clip(np.ceil(np.log2(np.maximum(n, 1) / 128)), 0, LONGEST).astype(np.int64))
+            maps = []
+            for i, w in enumerate(words.tolist()):
+                odd = np.bincount((t[at[i]:at[i + 1]] & C.U64(64 * w - 1)).astype(np.int64), minlength=64 * w).astype(np.uint8) & 1
+                maps.append(np.packbits(odd).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), C.lists(np.concatenate(maps) if maps else np.zeros(0, np.int64), words, pa.int64())], ["node", "bits"])
     return run
 
 
+def _differ(x, y):
+    """In how many places two bitmaps differ. Sizes that may be linked have
+    bitmaps of one length, or one of twice the other's."""
+    half = lambda b: F.shiftright(F.size(b), 1)
+    fold = lambda b: F.zip_with(F.slice(b, F.lit(1), half(b)), F.slice(b, half(b) + 1, half(b)), lambda u, v: u.bitwiseXOR(v))
+    a = F.when(F.size(x) > F.size(y), fold(x)).otherwise(x)
+    b = F.when(F.size(y) > F.size(x), fold(y)).otherwise(y)
+    return F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+
+
+_MOST = (100 - PERCENT) * (1 + 1e-9)
+
+
+def _differing():
+    """How much of two sets differs at least, by their bitmaps; 0 without them."""
+    return F.coalesce(_differ(F.col("bits1"), F.col("bits2")) / (F.col("n1") + F.col("n2")), F.lit(0.0))
+
+
+def _between(of: DataFrame) -> DataFrame:
+    """Pairs of different components in one block that nothing rules out:
+    (a, b), their components, and how much of them differs at least."""
+    cols = ("node", "n", "room", "component", "d", "bits")
+    x = of.select("p", *(F.col(c).alias(f"{c}1") for c in cols))
+    y = of.select("p", *(F.col(c).alias(f"{c}2") for c in cols))
+    near = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
+    fits = _can_link(*map(F.col, ("n1", "n2", "room1", "room2"))) & near
+    differ = _differing()
+    possible = differ * (100 + PERCENT) <= _MOST
+    return (x.join(y, "p").filter((F.col("component1") < F.col("component2")) & fits & possible)
+            .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"),
+                    F.col("component1").alias("c1"), F.col("component2").alias("c2"), differ.alias("differ")))
+
+
 def linked(df: DataFrame) -> DataFrame:
     return df.filter((F.col("total") > 0) & (F.col("common") * 100 >= F.col("total") * PERCENT))
 
 
+def _split(of: DataFrame) -> DataFrame:
+    """The rows of keys whose nodes are in several components."""
+    keys = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return of.join(keys, "key")
+
+
 def _unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
-    of = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return of.join(split, "key")
+    return _split(members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
 
 
 def resolve(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable, scratch: C.Scratch) -> DataFrame:
     """(node, component) for every node that is linked to another one.
     ``texts_of(nodes)`` gives (node, text) of a table of nodes."""
+    kind = members.schema["node"].dataType.simpleString()
     texts = scratch.stage(texts_of(members.select("node").distinct()), "texts")
-    first = scratch.stage(_star(members, _first(members)), "pairs1")
+    # a node of several texts (an id that occurs with them) has no one bitmap, and nothing is ruled out by it
+    bits = (texts.select("node", "text").mapInArrow(_parities(sets), f"node {kind}, bits array<bigint>")
+            .withColumn("h", F.xxhash64("bits")).groupBy("node").agg(F.min("bits").alias("bits"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+            .filter("lo = hi").select("node", "bits"))
+    bits = scratch.stage(bits, "bits")
+    first = scratch.stage(_possible(_star(members, _first(members)), bits), "pairs1")
     seen = scratch.stage(compare(first, texts, sets), "seen1")
     comps = C.components(linked(seen), scratch)
     open_ = scratch.stage(_unresolved(members, comps), "open1")
     last = open_.groupBy("key").agg(F.max(F.struct("node", "n", "room")).alias("p"))
-    second = scratch.stage(_star(open_, last).join(seen, ["a", "b"], "left_anti"), "pairs2")
+    second = scratch.stage(_possible(_star(open_, last).join(seen, ["a", "b"], "left_anti"), bits), "pairs2")
     seen = seen.unionByName(scratch.stage(compare(second, texts, sets), "seen2"))
     comps = C.components(linked(seen), scratch)
     open_ = scratch.stage(_unresolved(open_.drop("component"), comps), "open2")
@@ -199,19 +257,19 @@ def resolve(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets
     of = open_.join(pivot, "key").select("p", "node", "n", "room", "component").distinct()
     of = (of.withColumn("a", F.least("node", "p")).withColumn("b", F.greatest("node", "p"))
           .join(far, ["a", "b"], "left").withColumn("d", F.when(F.col("node") == F.col("p"), F.lit(0.0)).otherwise(F.col("d"))))
-    kind = members.schema["node"].dataType.simpleString()
-    bits = texts.select("node", "text").mapInArrow(_parities(sets), f"node {kind}, bits array<bigint>").dropDuplicates(["node"])
     of = scratch.stage(of.join(bits, "node", "left"), "blocks")
-    x = of.select("p", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "room", "component", "d", "bits")))
-    y = of.select("p", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "room", "component", "d", "bits")))
-    possible = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-    differ = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(BITS // 64)), F.lit(0))
-    possible &= differ * (100 + PERCENT) <= (F.col("n1") + F.col("n2")) * (100 - PERCENT)
-    third = (x.join(y, "p").filter((F.col("component1") < F.col("component2")) & _can_link(*map(F.col, ("n1", "n2", "room1", "room2"))) & possible)
-             .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-             .join(seen, ["a", "b"], "left_anti"))
-    third = scratch.stage(third, "pairs3")
-    seen = seen.unionByName(scratch.stage(compare(third, texts, sets), "seen3"))
+    maybe = _between(of).groupBy("a", "b", "c1", "c2").agg(F.min("differ").alias("differ"))
+    maybe = scratch.stage(maybe.join(seen, ["a", "b"], "left_anti"), "maybe")
+    rank = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("differ", "a", "b"))
+    best = scratch.stage(maybe.withColumn("rank", rank).filter(F.col("rank") <= BEST).select("a", "b"), "pairs3")
+    seen = seen.unionByName(scratch.stage(compare(best, texts, sets), "seen3"))
     out = C.components(linked(seen), scratch)
-    scratch.drop("texts", "pairs1", "pairs2", "pairs3", "open1", "open2", "blocks")
+    of_a, of_b = (out.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")) for c in ("a", "b"))
+    apart = ~F.coalesce("now_a", "a").eqNullSafe(F.coalesce("now_b", "b"))
+    rest = maybe.select("a", "b").join(best, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left").filter(apart).select("a", "b")
+    rest = scratch.stage(rest, "pairs4")
+    if not rest.isEmpty():
+        seen = seen.unionByName(scratch.stage(compare(rest, texts, sets), "seen4"))
+        out = C.components(linked(seen), scratch)
+    scratch.drop("texts", "pairs1", "pairs2", "pairs3", "pairs4", "open1", "open2", "blocks", "maybe", "bits")
     return out

@@ -135,3 +135,52 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert run(queries.op1_ngram_jaccard(spark, sf)) == brute(rows)
+
+
+def test_id_with_two_texts(spark):
+    """A link of either text counts, whichever is read first."""
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("left", "right"))
+    near = lambda t: t + " and two"
+    for rows in ([(5, a), (5, b), (1, near(a)), (2, near(b))], [(2, near(b)), (1, near(a)), (5, b), (5, a)], [(5, a), (5, b), (7, near(b)), (8, near(near(b)))]):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        assert {r.component_id for r in ngram_join.near_duplicates(df).collect()} == {min(i for i, _ in rows)}
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """A thousand copies with edits of their own: the pairs compared stay near
+    the number of copies, and the components are those of all pairs."""
+    import random
+    from polylabel.llm import pairs
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1000):
+        words = list(base)
+        for _ in range(r.choice([1, 2, 6])):
+            words[r.randrange(120)] = f"x{r.randrange(60)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(w[k:k + 5]) for k in range(116)} for w in (t.split() for _, t in rows)]
+    parent = list(range(1000))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(1000):
+        for y in range(x):
+            n = len(sets[x] & sets[y])
+            if 100 * n >= 80 * (len(sets[x]) + len(sets[y]) - n):
+                p, q = sorted((find(x), find(y)))
+                parent[q] = p
+    compared = []
+    plain = pairs.compare
+
+    def counted(p, *args):
+        compared.append(p.count())
+        return plain(p, *args)
+
+    monkeypatch.setattr(pairs, "compare", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: find(i) for i in range(1000)}
+    assert sum(compared) < 5000
