@@ -35,6 +35,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 _HEX = C.byte_table(b"0123456789abcdef")
+KEPT = 4096  # bytes of a literal up to which its text is kept for its score
 
 # Sensitivity of the words in a target's name.
 NAME_WEIGHTS = {
@@ -64,25 +65,79 @@ def name_score(name: str) -> float:
     return min(1.0, sum(NAME_WEIGHTS.get(p, 0.0) for p in {*parts, *joined}))
 
 
+def _looks(n: int, counts: Counter) -> float:
+    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+    classes = len({0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in counts})
+    return min(1.0, 0.4 * (1 if n >= 16 else n / 16) + 0.4 * min(1, entropy / 3.5) + 0.1 * (classes - 1))
+
+
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret, from 0 to 1: its length, the
     entropy of its characters and the mix of their classes. Placeholders and
     literals of several words score 0."""
     if len(value) < 6 or PLACEHOLDER.match(value) or re.search(r"\s", value):
         return 0.0
-    n = len(value)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    return min(1.0, 0.4 * min(1, n / 16) + 0.4 * min(1, entropy / 3.5) + 0.1 * (classes - 1))
-
-
-def lex(data: bytes, places=None):
-    """(target name, literal, spans) triples of a text in order of appearance;
-    spans are byte ranges of the literal's parts, through constants if need
-    be. ``places`` may give the positions of ``=`` and ``:`` signs."""
+    return _looks(len(value), Counter(value))
+
+
+class Literal:
+    """What a name stands for: a literal, and where its parts are. Of one of
+    more than ``KEPT`` bytes its ends and how often each character occurs are
+    kept, which is all that its score needs; so constants put together from
+    constants stay small, however long what they stand for."""
+
+    __slots__ = ("text", "counts", "ends", "spans", "parts")
+
+    def __init__(self, pieces: list):
+        """``pieces`` are (bytes, span) pairs and earlier literals."""
+        self.spans = [p[1] for p in pieces if isinstance(p, tuple)]
+        self.parts = [p for p in pieces if isinstance(p, Literal)]
+        texts = [p.text if isinstance(p, Literal) else p[0] for p in pieces]
+        self.text = self.counts = self.ends = None
+        if None not in texts and sum(map(len, texts)) <= KEPT:
+            self.text = b"".join(texts)
+            return
+        self.counts, head, tail = Counter(), "", ""
+        for p in pieces:
+            if isinstance(p, Literal) and p.text is None:
+                own, first, last = p.counts, *p.ends
+            else:
+                own = (p.text if isinstance(p, Literal) else p[0]).decode("utf-8", "replace")
+                own, first, last = Counter(own), own[:64], own[-64:]
+            for c, k in own.items():
+                self.counts[c] += k
+            head, tail = (head + first)[:64] if len(head) < 64 else head, (tail + last)[-64:]
+        self.ends = (head, tail)
+
+    def score(self) -> float:
+        if self.text is not None:
+            return literal_score(self.text.decode("utf-8", "replace"))
+        ends = "".join(self.ends)
+        if any(c.isspace() for c in self.counts) or len({c.lower() for c in self.counts} | {"x"}) == 1 or set(self.counts) in ({"*"}, {"."}):
+            return 0.0
+        if PLACEHOLDER.match(ends) and not re.fullmatch(r"[xX]+|\*+|\.+", ends):
+            return 0.0
+        return _looks(sum(self.counts.values()), self.counts)
+
+    def collect(self, found: set, seen: set) -> None:
+        """Add the spans of this literal and those behind it to ``found``."""
+        todo = [self]
+        while todo:
+            one = todo.pop()
+            if id(one) not in seen:
+                seen.add(id(one))
+                found.update(one.spans)
+                todo += one.parts
+
+
+def lex(data: bytes, places=None) -> list[tuple[str, Literal]]:
+    """(target name, literal) pairs of a text in order of appearance; a
+    literal's spans are byte ranges of its parts, through constants if need
+    be. A name stands for what it was given last. ``places`` may give the
+    positions of ``=`` and ``:`` signs."""
     if places is None:
         places = [m.start() for m in re.finditer(rb"[:=]", data)]
-    constants: dict[bytes, tuple[bytes, tuple]] = {}
+    constants: dict[bytes, Literal] = {}
     out, done = [], 0
     for at in places:
         if at < done:
@@ -91,25 +146,19 @@ def lex(data: bytes, places=None):
         stop = data.find(b"\n", at)
         stop = len(data) if stop < 0 else stop
         for m in PAIR.finditer(data, max(line, done), stop):
-            value, spans = [], []
-            names = []
+            pieces, named = [], False
             for part in PART.finditer(data, m.start("value"), m.end("value")):
                 if part["string"] is not None:
-                    value.append(part["string"][1:-1])
-                    spans.append((part.start() + 1, part.end() - 1))
+                    pieces.append((part["string"][1:-1], (part.start() + 1, part.end() - 1)))
                 elif part["bare"] is not None:
                     known = constants.get(part["bare"])
-                    names.append(part["bare"])
                     if known is not None:
-                        value.append(known[0])
-                        spans.extend(known[1])
-                    elif len(names) == 1 and not spans:
-                        value.append(part["bare"])
-                        spans.append((part.start(), part.end()))
-            found = (b"".join(value), tuple(dict.fromkeys(spans)))
-            if len(found[0]) <= 4096:  # a constant longer than that is not kept for later use
-                constants[m["name"]] = found
-            out.append((m["name"].decode("utf-8", "replace"), found[0].decode("utf-8", "replace"), found[1]))
+                        pieces.append(known)
+                    elif not named and not pieces:
+                        pieces.append((part["bare"], (part.start(), part.end())))
+                    named = True
+            constants[m["name"]] = found = Literal(pieces)
+            out.append((m["name"].decode("utf-8", "replace"), found))
         done = max(done, stop)
     return out
 
@@ -126,7 +175,10 @@ def scan(data: bytes, hex_runs, words, signs, threshold: float) -> list[tuple[in
     if b"AKIA" in data:
         out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(data) if m.end() - m.start() >= LEAST["access"]]
     if signs:
-        found = {s for name, value, spans in lex(data, signs) if (w := name_score(name)) and w * literal_score(value) >= threshold for s in spans}
+        found, seen = set(), set()
+        for name, literal in lex(data, signs):
+            if (w := name_score(name)) and w * literal.score() >= threshold:
+                literal.collect(found, seen)
         out += [(a, "literal", b) for a, b in found if b > a]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 

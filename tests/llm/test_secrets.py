@@ -82,3 +82,39 @@ def test_query(spark):
     got = queries.op4_secret_scan(spark, sf).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == expected(rows)
     assert sum(r.n_assign for r in got) > 0
+
+
+def rand(n):
+    import random
+    return "".join(random.Random(n).choices("abcdefghjkmnpqrstuvwyzABCDEFGH23456789", k=n))
+
+
+@pytest.mark.parametrize("n", [4095, 4096, 4097, 5100, 50_000])
+def test_constants_of_any_length(n):
+    """Long constants lead to their literal, and replace earlier ones."""
+    long, short = rand(n), rand(20)
+    assert literals(f'VALUE = "{long}"\ndb_password = VALUE') == [long]
+    assert literals(f'VALUE = "{short}"\nVALUE = "{long}"\ndb_password = VALUE') == [long]
+    assert literals(f'VALUE = "{long}"\nVALUE = "{short}"\ndb_password = VALUE') == [short]
+    half = n // 2
+    assert literals(f'A = "{long[:half]}"\nB = "{long[half:]}"\nC = A + B\nsecret = C') == [long[:half], long[half:]]
+
+
+def test_long_literals_score_as_short_ones_do():
+    from collections import Counter
+    for text in (rand(6000), "x" * 6000, "*" * 6000, "<" + "a" * 6000 + ">", "your_" + "b" * 6000, "two words " * 700, "xX" * 3000, "x" * 3000 + "y" * 3000, "${" + "v" * 5000 + "}"):
+        data = text.encode()
+        long = secrets.Literal([(data, (0, len(data)))])
+        assert long.text is None and long.score() == pytest.approx(secrets.literal_score(text)), text[:20]
+        assert sum(Counter(text).values()) == sum(long.counts.values())
+
+
+def test_constants_of_constants_stay_small():
+    """What doubles with each line is never written out."""
+    lines = [f'A0 = "{rand(30)}"'] + [f"A{k + 1} = A{k} + A{k}" for k in range(2000)] + [f"secret{k} = A{k}" for k in range(0, 2000, 7)]
+    assert literals("\n".join(lines)) == [rand(30)]
+
+
+def test_many_parts_stay_linear():
+    lines = ['A0 = "qd"'] + [f'A{k + 1} = A{k} + "{rand(3 + k % 5)}"' for k in range(20_000)] + [f"token = A{k}" for k in range(0, 20_000, 10)]
+    assert len(literals("\n".join(lines))) > 19_000
