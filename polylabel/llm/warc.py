@@ -215,7 +215,9 @@ def read(archives: DataFrame, id_type: str = "bigint", payloads: bool = False) -
     (cast to ``id_type``), ``url``, ``record_type``, ``payload_bytes``,
     ``payload_digest`` (base32 SHA-1 of the full payload; checked against the
     payload of every response), ``refers_to`` and, if asked for, ``payload``
-    (null for revisits)."""
+    (null for revisits). The archives are dealt to as many partitions as there
+    are archives, so they are read in parallel whatever the planner makes of
+    the small table of their names."""
     schema = "page_id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string"
     names = [x.split()[0] for x in schema.split(", ")] + ["payload"] * payloads
     kinds = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.binary()] * payloads
@@ -246,5 +248,6 @@ def read(archives: DataFrame, id_type: str = "bigint", payloads: bool = False) -
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    out = archives.select("archive").repartition("archive").mapInArrow(run, schema + ", payload binary" * payloads)
+    # a stated number of partitions is not coalesced
+    out = archives.select("archive").repartition(max(archives.count(), 1), "archive").mapInArrow(run, schema + ", payload binary" * payloads)
     return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})

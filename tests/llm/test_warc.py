@@ -71,3 +71,13 @@ def test_query(spark):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     got = queries.op6_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, got), key=str) == expected(rows)
+
+
+def test_archives_are_read_in_parallel(spark):
+    rows = [(i, f"http://b/{i}", f"<p>page {i}</p>" * 20) for i in range(400)]
+    df = table(spark, rows).repartition(16)
+    archives = warc.write(df, common.Scratch(spark, "t").root)
+    n = archives.count()
+    got = warc.read(archives)
+    parts = got.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert n >= 8 and sum(parts) == 400 and len(parts) == n and sum(map(bool, parts)) > n / 3
