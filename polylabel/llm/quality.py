@@ -13,15 +13,19 @@ which is the share of positives among the labelled rows.
 
 Features are dense statistics of the whole text (character classes, word
 shape and repetition, line repetition), computed in one vectorised pass and
-staged as a narrow table; means and deviations are taken over all rows. The fit
-reads at most ``FIT_ROWS`` positives and as many unlabelled rows, the ones of
-smallest id hash; scoring covers every row.
+staged as a narrow table; means and deviations are taken over all rows. The
+network starts from a fit on about ``FIT_ROWS`` positives and as many unlabelled
+rows, drawn by hash. From there ``PASSES`` steps go down the risk of the whole
+table: every step is one pass, E_P and E_U being over all trusted positives and
+all rows, each task adding up its gradients, and the tasks' sums being added on
+the executors down to at most ``FAN_IN``. Scoring covers every row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,7 @@ from polylabel.llm.toxicity import label_rows
 
 FIT_ROWS = 20_000
 HIDDEN, STEPS, BATCH, RATE = 16, 1500, 1024, 0.01
+PASSES, PASS_RATE, FAN_IN = 30, 0.01, 16
 _SIGNS = b"!?.,;:|#%$&*\"'-_/=()[]{}<>@"
 _CLASSES = {
     "upper": C.byte_table(bytes(range(0x41, 0x5B))), "lower": C.byte_table(bytes(range(0x61, 0x7B))),
@@ -124,6 +129,68 @@ def _gradients(x, weights, slope):
     return [x.T @ back, back.sum(0), hidden.T @ slope, slope.sum()]
 
 
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Adam:
+    """Steps on ``w`` in place, with a little decay of the two matrices."""
+
+    def __init__(self, w: list):
+        self.w, self.step = w, 0
+        self.m, self.v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
+
+    def __call__(self, grads: list, rate: float) -> None:
+        self.step += 1
+        grads = list(grads)
+        grads[0] = grads[0] + 1e-4 * self.w[0]
+        grads[2] = grads[2] + 1e-4 * self.w[2]
+        for i, g in enumerate(grads):
+            self.m[i] = 0.9 * self.m[i] + 0.1 * g
+            self.v[i] = 0.999 * self.v[i] + 0.001 * g * g
+            self.w[i] = self.w[i] - rate * (self.m[i] / (1 - 0.9 ** self.step)) / (np.sqrt(self.v[i] / (1 - 0.999 ** self.step)) + 1e-8)
+
+
+def risk_sums(x: np.ndarray, trusted: np.ndarray, weights: list) -> np.ndarray:
+    """What a stretch of rows adds to the risk and its gradients: rows,
+    trusted rows, sums of l(f, -) over both, then the gradients of the sums of
+    l(f, -) over all rows, of l(f, -) and of f over the trusted rows."""
+    z = np.tanh(x @ weights[0] + weights[1]) @ weights[2] + weights[3]
+    loss = np.logaddexp(0, z)
+    slopes = (_sigmoid(z), _sigmoid(z) * trusted, trusted.astype(float))
+    grads = [g.reshape(-1) for s in slopes for g in map(np.asarray, _gradients(x, weights, s))]
+    return np.concatenate([[len(x), trusted.sum(), loss.sum(), loss[trusted].sum()], *grads])
+
+
+def risk_gradient(sums: np.ndarray, prior: float, weights: list) -> list:
+    """The step's gradients from the sums over the whole table."""
+    n_u, n_p, l_u, l_p = sums[:4]
+    each = sums[4:].reshape(3, -1)
+    if l_u / n_u - prior * l_p / n_p >= 0:
+        flat = each[0] / n_u - prior * each[2] / n_p
+    else:
+        flat = prior * each[1] / n_p - each[0] / n_u
+    cuts = np.cumsum([a.size for a in weights])[:-1]
+    return [g.reshape(a.shape) for g, a in zip(np.split(flat, cuts), weights)]
+
+
+def _whole_table(rows: DataFrame, net: Network) -> np.ndarray:
+    """``risk_sums`` over all rows (x, trusted)."""
+    def run(batches):
+        total = 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(len(batch), len(NAMES))
+            total = total + risk_sums(net.standard(x), batch.column(1).to_numpy(zero_copy_only=False), net.weights)
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FAN_IN], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["g", "m"])
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"g": table.column("g")[:1], "m": pa.array([sum(np.frombuffer(m.as_py()) for m in table.column("m")).tobytes()], pa.binary())})
+
+    parts = rows.select("x", "trusted").mapInArrow(run, "g int, m binary").groupBy("g").applyInArrow(add, "g int, m binary")
+    return sum(np.frombuffer(r.m) for r in parts.orderBy("g").collect())
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray, scale: np.ndarray, seed: int = 0) -> Network:
     """Minimise the non-negative risk by Adam."""
     rng = np.random.default_rng(seed)
@@ -131,9 +198,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.nda
     w = [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN), np.zeros(())]
     net = Network(mean, scale, w)
     p_all, u_all = net.standard(positive), net.standard(unlabelled)
-    m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for step in range(1, STEPS + 1):
+    adam, sigmoid = Adam(w), _sigmoid
+    for _ in range(STEPS):
         p = p_all[rng.integers(0, len(p_all), min(BATCH, 4 * len(p_all)))]
         u = u_all[rng.integers(0, len(u_all), min(BATCH, 4 * len(u_all)))]
         zp, zu = (np.tanh(a @ w[0] + w[1]) @ w[2] + w[3] for a in (p, u))
@@ -144,12 +210,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.nda
         else:
             parts = [(u, -sigmoid(zu) / len(u)), (p, prior * sigmoid(zp) / len(p))]
         grads = [sum(g) for g in zip(*(_gradients(a, w, s) for a, s in parts))]
-        grads[0] = grads[0] + 1e-4 * w[0]
-        grads[2] = grads[2] + 1e-4 * w[2]
-        for i, g in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.999 * v[i] + 0.001 * g * g
-            w[i] = w[i] - RATE * (m[i] / (1 - 0.9 ** step)) / (np.sqrt(v[i] / (1 - 0.999 ** step)) + 1e-8)
+        adam(grads, RATE)
     net.weights = w
     return net
 
@@ -171,20 +232,32 @@ def quality(docs: DataFrame, labels: DataFrame, training: Column, id_col: str =
     known = label_rows(labels, label_col).filter(training)
     share = known.agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n")).first()
     prior = ((share.t or 0) + 0.5) / (share.n + 1)
-    few = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow().column("x")
+    good = known.filter("label = 1").select(F.col("_label_id").alias("good")).distinct()
+    x = scratch.stage(x.join(good, F.col("id") == F.col("good"), "left").select("id", "x", F.col("good").isNotNull().alias("trusted")), "rows")
+    scratch.drop("features")
+    count = x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("trusted").cast("long")).alias("p")).first()
     matrix = lambda c: np.array(c.to_pylist(), np.float64).reshape(len(c), len(NAMES))
-    positive = matrix(few(x.join(known.filter("label = 1"), F.col("id") == F.col("_label_id")).select("id", "x")))
-    unlabelled = matrix(few(x))
+
+    def few(df, n):
+        # by hash, so that each task sends its share of about FIT_ROWS rows only
+        share = min(1.0, FIT_ROWS / max(n or 0, 1))
+        drawn = df.filter(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+        return matrix(drawn.orderBy(F.xxhash64("id"), "id").select("x").toArrow().column("x"))
+
+    positive, unlabelled = few(x.filter("trusted"), count.p), few(x, count.n)
     if not len(positive) or not len(unlabelled):
         return x.select(F.col("id").alias(id_col), F.lit(float(prior)).alias("score"))
     stats = x.agg(*(f(F.col("x")[i]).alias(f"{n}{i}") for i in range(len(NAMES)) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     mean = np.array([stats[f"m{i}"] for i in range(len(NAMES))])
     scale = np.array([max(stats[f"s{i}"], 1e-6) for i in range(len(NAMES))])
     net = fit(positive, unlabelled, prior, mean, scale)
+    adam = Adam(net.weights)
+    for _ in range(PASSES):
+        adam(risk_gradient(_whole_table(x, net), prior, net.weights), PASS_RATE)
 
     def run(batches):
         for batch in batches:
             rows = batch.column(1).flatten().to_numpy().reshape(len(batch), len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(net.logits(rows), -700, 700))))], ["_id", "score"])
 
-    return x.mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+    return x.select("id", "x").mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)

@@ -170,3 +170,52 @@ def test_quality_features_are_per_text():
 def test_toxicity_query(spark):
     got = queries.op7_toxicity_kneser_ney(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def risk(x, trusted, w, prior):
+    """The non-negative risk by its definition, row by row."""
+    f = [float(np.tanh(r @ w[0] + w[1]) @ w[2] + w[3]) for r in x]
+    minus = [np.log1p(np.exp(v)) for v in f]
+    plus = [np.log1p(np.exp(-v)) for v in f]
+    p = [i for i in range(len(x)) if trusted[i]]
+    mean = lambda a, at: sum(a[i] for i in at) / len(at)
+    negative = mean(minus, range(len(x))) - prior * mean(minus, p)
+    return prior * mean(plus, p) + negative if negative >= 0 else -negative
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.99])
+def test_risk_gradient_by_differences(prior):
+    rng = np.random.default_rng(3)
+    x, trusted = rng.normal(size=(60, 7)), rng.random(60) < 0.3
+    w = [rng.normal(size=(7, 5)), rng.normal(size=5), rng.normal(size=5), np.array(0.3)]
+    if prior > 0.9:  # trusted rows score high, the others low: the second part is negative
+        w[3] = np.array(-3.0)
+        x[trusted] = np.sign(w[2]) @ np.sign(w[0]).T / 3
+    parts = [quality.risk_sums(x[a:b], trusted[a:b], w) for a, b in ((0, 1), (1, 40), (40, 60))]
+    got = quality.risk_gradient(sum(parts), prior, w)
+    negative = sum(parts)[2] / 60 - prior * sum(parts)[3] / trusted.sum()
+    assert (negative < 0) == (prior > 0.9)
+    for k, a in enumerate(w):
+        for at in np.ndindex(a.shape):
+            up, down = [b.copy() for b in w], [b.copy() for b in w]
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            want = (risk(x, trusted, up, prior) - risk(x, trusted, down, prior)) / 2e-5
+            assert got[k][at] == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_learns_from_rows_beyond_the_sample(spark, documents, monkeypatch):
+    """The risk covers every row: the scores follow rows that the starting
+    sample leaves out, and do not depend on the layout."""
+    monkeypatch.setattr(quality, "FIT_ROWS", 20)
+    rows = [(i, f"Good text number {i}. It has several sentences. They end well.") for i in range(60)]
+    labels = labelled(spark, [(i, 1, 0) for i in range(30)])
+    noise = [(1000 + i, "BUY NOW $$$ !!! " * 5) for i in range(200)]
+    other = [(1000 + i, f"Plain words of another kind {i}") for i in range(200)]
+    train = toxicity.fold("_label_id", 5) >= 0
+    a = {r.doc_id: r.score for r in quality.quality(documents(rows + noise), labels, train).collect()}
+    b = {r.doc_id: r.score for r in quality.quality(documents(rows + noise).repartition(11), labels, train).collect()}
+    c = {r.doc_id: r.score for r in quality.quality(documents(rows + other), labels, train).collect()}
+    assert all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+    assert np.mean([a[i] for i in range(60)]) > np.mean([a[i] for i in range(1000, 1200)])
+    assert max(abs(a[i] - c[i]) for i in range(60)) > 1e-4
