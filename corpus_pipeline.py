@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from polylabel.llm import bpe, common, decontam, line_dedup, ngram_join, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLANK = r"^[\x{20}\x{09}-\x{0D}]*$"
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -34,10 +33,7 @@ def drop_toxic(spark, docs, sf_dir):
 def dedup_lines(spark, docs, sf_dir):
     """Documents without the lines that stay elsewhere; ``n_chars`` follows
     the text. A document that had lines and has none left goes."""
-    out = line_dedup.deduplicate(docs)
-    out = out.filter(F.coalesce((F.size("removed_lines") == 0) | ~F.col("text").rlike(BLANK), F.lit(True)))
-    changed = F.size("removed_lines") > 0
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return line_dedup.shortened(docs)
 
 
 def dedup_documents(spark, docs, sf_dir):
