@@ -173,9 +173,8 @@ def oversample(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEF
 
 
 def rank_draw(seed: int, n, *parts) -> Column:
-    """A rank below ``n``: a 32-bit draw modulo ``n``, and where that cannot
-    reach every rank (``n`` above 2^32) a 60-bit one."""
-    return F.pmod(F.when(n > 1 << 32, TF.draw(seed, *parts, digits=15)).otherwise(TF.draw(seed, *parts)), n)
+    """A rank below ``n``: a 60-bit draw modulo ``n``."""
+    return F.pmod(TF.draw(seed, *parts, digits=15), n)
 
 
 def oversample_bootstrap(df: DataFrame, labels: LabelSet = DEFAULT_LABELS, seed: int = DEFAULT_SEED,
@@ -317,7 +316,7 @@ def weighted_sample(df: DataFrame, weight_col: str, k: int, seed: int = DEFAULT_
     candidates (rank error <= n/accuracy), and only the few surplus
     candidates (about n/accuracy rows) are found by a small top-k and removed
     with an anti join, so the exact sample stays distributed."""
-    u = (TF.draw(seed, F.col(id_col), "u").cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    u = (TF.draw(seed, F.col(id_col), "u", digits=15).cast("double") + F.lit(0.5)) / F.lit(float(1 << 60))
     keyed = df.withColumn("es_key", F.log(u) / F.col(weight_col))
     if k <= top_k_limit:
         return keyed.orderBy(F.col("es_key").desc(), F.col(id_col)).limit(int(k))

@@ -254,10 +254,10 @@ def _words(x: str) -> str:
             f"ELSE string_split({_ws(x)}, ' ') END")
 
 
-def _draw(*parts: str) -> str:
+def _draw(*parts: str, digits: int = 8) -> str:
     inner = " || ':' || ".join(["'42'"] + [f"CAST({p} AS VARCHAR)" if not p.startswith("'") else p
                                            for p in parts])
-    return f"('0x' || substr(md5({inner}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({inner}), 1, {digits}))::BIGINT"
 
 
 def _key(x: str = "row_id") -> str:
@@ -455,7 +455,7 @@ FROM rk JOIN alloc ON rk.stratum = alloc.stratum"""
 
 WEIGHTED = f"""WITH {SAMPLE_WEIGHTS_CTE},
 ek AS (SELECT row_id, weight,
-  ln((CAST({_draw("row_id", "'u'")} AS DOUBLE) + 0.5e0) / 4294967296.0e0) / weight AS es_key FROM wts)
+  ln((CAST({_draw("row_id", "'u'", digits=15)} AS DOUBLE) + 0.5e0) / 1152921504606846976.0e0) / weight AS es_key FROM wts)
 SELECT row_id, round(weight, 6) AS weight FROM ek ORDER BY es_key DESC, row_id LIMIT 100"""
 
 SHARDS = f"""WITH {LAB_CTE},
@@ -804,7 +804,7 @@ pairs AS ({_PAIRS}),
 ranked AS (
   SELECT x.*, row_number() OVER (PARTITION BY copy_label ORDER BY {_key()}, row_id) - 1 AS rk FROM pairs x),
 dr AS (SELECT label AS copy_label, count AS n, unnest(generate_series(0, quota - 1)) AS j FROM plan WHERE quota > 0),
-drk AS (SELECT copy_label, j, {_draw("copy_label", "j", "'boot'")} % n AS rk FROM dr),
+drk AS (SELECT copy_label, j, {_draw("copy_label", "j", "'boot'", digits=15)} % n AS rk FROM dr),
 syn AS (SELECT r.row_id, r.text, r.source, {", ".join("r." + n for n in N)}, r.copy_label,
           CAST(d.j + 1 AS BIGINT) AS copy_no
         FROM drk d JOIN ranked r ON d.copy_label = r.copy_label AND d.rk = r.rk)"""

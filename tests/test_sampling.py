@@ -143,8 +143,10 @@ def test_rank_draws_reach_every_rank(spark):
     from polylabel.functions import text as TF
     n = 1 << 40
     df = spark.range(200).select(S.rank_draw(1, F.lit(n), F.col("id"), "boot").alias("wide"),
-                                 S.rank_draw(1, F.lit(1 << 32), F.col("id"), "boot").alias("narrow"),
-                                 TF.draw(1, F.col("id"), "boot").alias("draw"))
+                                 S.rank_draw(1, F.lit(1 << 32), F.col("id"), "boot").alias("border"),
+                                 S.rank_draw(1, F.lit(7), F.col("id"), "boot").alias("small"),
+                                 TF.draw(1, F.col("id"), "boot", digits=15).alias("draw"))
     rows = df.collect()
-    assert all(0 <= r["wide"] < n and r["narrow"] == r["draw"] for r in rows)
+    # one rule at every size, on both sides of 2^32
+    assert all((r["wide"], r["border"], r["small"]) == (r["draw"] % n, r["draw"] % (1 << 32), r["draw"] % 7) for r in rows)
     assert max(r["wide"] for r in rows) > n * 0.9 and min(r["wide"] for r in rows) < n * 0.1
