@@ -29,6 +29,7 @@ from polylabel.llm import pairs
 
 CHARS, BANDS, ROWS = 8, 12, 4
 LONG = 96
+SLICE = 256 << 10  # bytes of text worked on at a time, so that the work arrays stay in the processor's cache
 WHITE = " \t\n\x0b\x0c\r"
 _SEEDS = C.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEEDS[::2], _SEEDS[1::2] | C.U64(1)
@@ -49,6 +50,9 @@ def _lines(buf: np.ndarray, offs: np.ndarray):
     ends = ends[np.lexsort((ends, np.concatenate([np.arange(n), text_of_cut])))]
     first = np.searchsorted(text, np.arange(n))
     position = np.arange(len(text)) - first[text] if len(text) else text
+    some = np.flatnonzero(ends > starts)
+    if not (_SPACE[buf[starts[some]]] | _SPACE[buf[ends[some] - 1]]).any():
+        return starts, ends, text, position
     # trim: the first and last non-space byte inside each line
     solid = np.flatnonzero(C.NON_SPACE[buf])
     if not len(solid):
@@ -66,10 +70,13 @@ def _shingles(buf: np.ndarray, c: np.ndarray, starts: np.ndarray, ends: np.ndarr
     head = np.flatnonzero((buf & 0xC0) != 0x80)
     lo, hi = np.searchsorted(head, starts), np.searchsorted(head, ends)
     n = np.maximum(hi - lo - CHARS + 1, 1)
-    at = C.ranges(lo, n)
     bounds = np.append(head, len(buf))
-    stop = np.minimum(at + CHARS, np.repeat(hi, n))
-    return C.span_hash(c, bounds[at], bounds[stop]), n
+    # every window of CHARS code points, lines or not; then each line's own
+    every = C.span_hash(c, bounds[:-CHARS], bounds[CHARS:]) if len(head) >= CHARS else np.zeros(1, C.U64)
+    h = every[np.minimum(C.ranges(lo, n), len(every) - 1)]
+    short = hi - lo < CHARS
+    h[(np.cumsum(n) - n)[short]] = C.span_hash(c, starts[short], ends[short])
+    return h, n
 
 
 def line_sets(column) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +100,7 @@ def _hashed(batch, column: int):
 
 
 def _occurrences(batches):
-    for batch in C.chunks(batches):
+    for batch in C.chunks(batches, max_bytes=SLICE):
         _, _, a, b, text, position, h = _hashed(batch, 1)
         some = b > a
         rows = pa.array(text[some])
@@ -116,23 +123,29 @@ def _min_hashes(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum.reduceat((s ^ _XOR[r]) * _MUL[r], at) for r in range(BANDS * ROWS)], axis=1)
 
 
-def _bin_minima(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _sorted_sets(s: np.ndarray, n: np.ndarray):
+    """(line, hash) of the distinct shingles of each line, by line and then by
+    hash; of a hash the leading 40 bits, which with the line tell it apart."""
+    key = np.sort((np.repeat(np.arange(len(n), dtype=C.U64) << C.U64(40), n)) | (s >> C.U64(24)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return (key >> C.U64(40)).astype(np.int64), key & C.U64((1 << 40) - 1)
+
+
+def _bin_minima(line: np.ndarray, s: np.ndarray, lines: int) -> np.ndarray:
     """One-permutation signatures: the least hash in each of ``BANDS * ROWS``
-    bins; an empty bin takes the next filled one's, with the distance mixed
-    in."""
+    bins of equal width, which is the first one there, as hashes come sorted; an
+    empty bin takes the next filled one's, with the distance mixed in."""
     bins = BANDS * ROWS
-    line = np.repeat(np.arange(len(n)), n)
-    which = ((s >> C.U64(32)) * C.U64(bins)) >> C.U64(32)
-    low = s & C.U64((1 << 32) - 1)
-    cell = line * bins + which.astype(np.int64)
-    key = np.sort((cell.astype(C.U64) << C.U64(32)) | low)
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] >> C.U64(32)) != (key[:-1] >> C.U64(32))
-    out = np.zeros((len(n), 2 * bins), C.U64)
-    filled = np.zeros((len(n), 2 * bins), bool)
-    where = (key[first] >> C.U64(32)).astype(np.int64)
+    cell = line * bins + (((s >> C.U64(8)) * C.U64(bins)) >> C.U64(32)).astype(np.int64)
+    first = np.ones(len(cell), bool)
+    first[1:] = cell[1:] != cell[:-1]
+    where, least = cell[first], s[first]
+    out = np.zeros((lines, 2 * bins), C.U64)
+    filled = np.zeros((lines, 2 * bins), bool)
     for turn in (0, bins):  # twice, so that the last bins look on at the first
-        out[where // bins, where % bins + turn] = key[first] & C.U64((1 << 32) - 1)
+        out[where // bins, where % bins + turn] = least
         filled[where // bins, where % bins + turn] = True
     step = np.where(filled, np.arange(2 * bins), 4 * bins)
     step = np.minimum.accumulate(step[:, ::-1], axis=1)[:, ::-1][:, :bins]
@@ -150,30 +163,24 @@ def _band_keys(signature: np.ndarray, kind: int) -> np.ndarray:
     return keys
 
 
-def _sizes(s: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Distinct shingles per line (told apart by 40 bits and the line)."""
-    key = np.sort((np.repeat(np.arange(len(n)), n).astype(C.U64) << C.U64(40)) | (s >> C.U64(24)))
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    return np.bincount((key[new] >> C.U64(40)).astype(np.int64), minlength=len(n))
-
-
 def _bands(batches):
-    for batch in C.chunks(batches):
+    for batch in C.chunks(batches, max_bytes=SLICE):
         buf, c, a, b, _, _, h = _hashed(batch, 0)
         a, b, h = _distinct(a, b, h)
         if not len(a):
             continue
         s, n = _shingles(buf, c, a, b)
-        size = _sizes(s, n)
+        line, least = _sorted_sets(s, n)
+        size = np.bincount(line, minlength=len(a))
         at = np.cumsum(n) - n
         row, keys = [], []
         # a pair whose larger line is long has both in the second kind, else both in the first
-        for kind, own, sign in ((0, size < LONG, _min_hashes), (1, size * 100 >= LONG * pairs.PERCENT, _bin_minima)):
+        for kind, own in ((0, size < LONG), (1, size * 100 >= LONG * pairs.PERCENT)):
             own = np.flatnonzero(own)
             if len(own):
+                signature = _bin_minima(line, least, len(a))[own] if kind else _min_hashes(s[C.ranges(at[own], n[own])], n[own])
                 row.append(np.repeat(own, BANDS))
-                keys.append(_band_keys(sign(s[C.ranges(at[own], n[own])], n[own]), kind).reshape(-1))
+                keys.append(_band_keys(signature, kind).reshape(-1))
         row, keys = np.concatenate(row), np.concatenate(keys)
         order = np.argsort(row, kind="stable")
         yield pa.RecordBatch.from_arrays(
@@ -182,7 +189,7 @@ def _bands(batches):
 
 
 def _texts(batches):
-    for batch in C.chunks(batches):
+    for batch in C.chunks(batches, max_bytes=SLICE):
         buf, _, a, b, _, _, h = _hashed(batch, 0)
         a, b, h = _distinct(a, b, h)
         data = buf.tobytes()
@@ -212,14 +219,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     comps = pairs.resolve(members, texts_of, line_sets, scratch)
     scratch.drop("members")
-    lines = scratch.stage(src.mapInArrow(_occurrences, f"id {kind}, text_key bigint, pos int, node bigint").distinct(), "lines")
+    lines = scratch.stage(src.mapInArrow(_occurrences, f"id {kind}, text_key bigint, pos int, node bigint"), "lines")
     place = F.struct("id", "text_key", "pos")
-    per_node = lines.groupBy("node").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
-    per_node = per_node.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = per_node.groupBy("component").agg(F.min("first").alias("kept"), F.sum("times").alias("times")).filter("times > 1").drop("times")
-    keepers = scratch.stage(per_node.join(keep, "component").select("node", "kept"), "keepers")
+    # a repeated row repeats its places; a node matters that has several, or is alike to another
+    per_node = lines.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")).join(comps, "node", "left")
+    several = per_node.filter(F.col("component").isNotNull() | ~F.col("first").eqNullSafe(F.col("last")))
+    several = scratch.stage(several.select("node", "first", F.coalesce("component", "node").alias("component")), "several")
+    keepers = several.join(several.groupBy("component").agg(F.min("first").alias("kept")), "component").select("node", "kept")
     gone = lines.join(keepers, "node").filter(~place.eqNullSafe(F.col("kept")))
-    return scratch.stage(gone.groupBy("id", "text_key").agg(F.sort_array(F.collect_list("pos")).alias("removed")), "removed")
+    out = scratch.stage(gone.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed")
+    scratch.drop("lines", "several")
+    return out
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
