@@ -79,16 +79,48 @@ def _shingles(buf: np.ndarray, c: np.ndarray, starts: np.ndarray, ends: np.ndarr
     return h, n
 
 
+def _sorted_sets(s: np.ndarray, n: np.ndarray, bits: int = 40):
+    """(line, hash) of the distinct shingles of each line, by line and then by
+    hash; of a hash the leading bits, which with the line tell it apart."""
+    key = np.sort((np.repeat(np.arange(len(n), dtype=C.U64) << C.U64(bits), n)) | (s >> C.U64(64 - bits)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return (key >> C.U64(bits)).astype(np.int64), key & C.U64((1 << bits) - 1)
+
+
 def line_sets(column) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted unique shingle hashes, shingles per line) of a column of lines."""
+    """(sorted unique shingle hashes, shingles per line) of a column of lines.
+    Lines are sorted together, those that start within ``SLICE`` bytes at a
+    time, so 46 bits of a hash are left beside a line's number."""
     buf, offs = C.utf8(column)
-    some = offs[:-1] < offs[1:]
-    h, n = _shingles(buf, C.prefix_hash(buf, C.EXACT), offs[:-1][some], offs[1:][some])
-    out, sizes, at = [], np.zeros(len(offs) - 1, np.int64), np.concatenate([[0], np.cumsum(n)])
-    for i, k in enumerate(np.flatnonzero(some)):
-        out.append(np.unique(h[at[i]:at[i + 1]]))
-        sizes[k] = len(out[-1])
-    return (np.concatenate(out) if out else np.zeros(0, C.U64)), sizes
+    some = np.flatnonzero(offs[:-1] < offs[1:])
+    sizes, out = np.zeros(len(offs) - 1, np.int64), [np.zeros(0, C.U64)]
+    starts, ends = offs[:-1][some], offs[1:][some]
+    cut = np.append(np.flatnonzero(np.diff(starts // SLICE, prepend=-1)), len(some))
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        part = buf[starts[x]:ends[y - 1]]
+        h, n = _shingles(part, C.prefix_hash(part, C.EXACT), starts[x:y] - starts[x], ends[x:y] - starts[x])
+        line, t = _sorted_sets(h, n, 46)
+        out.append(t)
+        sizes[some[x:y]] = np.bincount(line, minlength=y - x)
+    return np.concatenate(out), sizes
+
+
+class _Recent:
+    """Which hashes a task has not seen lately: a table with one place per
+    low bits, so of lines that recur all the time nearly all go unseen again.
+    It only spares work; equal lines are made one after the shuffle."""
+
+    def __init__(self, bits: int = 18):
+        self.mask = C.U64((1 << bits) - 1)
+        self.seen = ~np.arange(1 << bits, dtype=C.U64)  # no hash of that place
+
+    def new(self, h: np.ndarray) -> np.ndarray:
+        at = (h & self.mask).astype(np.int64)
+        new = self.seen[at] != h
+        self.seen[at] = h
+        return new
 
 
 def _hashed(batch, column: int):
@@ -109,11 +141,13 @@ def _occurrences(batches):
             ["id", "text_key", "pos", "node"])
 
 
-def _distinct(a, b, h):
-    """Spans and hashes of a chunk's distinct non-empty lines."""
+def _distinct(a, b, h, recent: _Recent):
+    """Spans and hashes of a chunk's distinct non-empty lines, less those that
+    the task has seen lately."""
     keep = np.flatnonzero(b > a)
     _, first = np.unique(h[keep], return_index=True)
     keep = keep[first]
+    keep = keep[recent.new(h[keep])]
     return a[keep], b[keep], h[keep]
 
 
@@ -123,16 +157,6 @@ def _min_hashes(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum.reduceat((s ^ _XOR[r]) * _MUL[r], at) for r in range(BANDS * ROWS)], axis=1)
 
 
-def _sorted_sets(s: np.ndarray, n: np.ndarray):
-    """(line, hash) of the distinct shingles of each line, by line and then by
-    hash; of a hash the leading 40 bits, which with the line tell it apart."""
-    key = np.sort((np.repeat(np.arange(len(n), dtype=C.U64) << C.U64(40), n)) | (s >> C.U64(24)))
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    key = key[new]
-    return (key >> C.U64(40)).astype(np.int64), key & C.U64((1 << 40) - 1)
-
-
 def _bin_minima(line: np.ndarray, s: np.ndarray, lines: int) -> np.ndarray:
     """One-permutation signatures: the least hash in each of ``BANDS * ROWS``
     bins of equal width, which is the first one there, as hashes come sorted; an
@@ -164,9 +188,10 @@ def _band_keys(signature: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _bands(batches):
+    recent = _Recent()
     for batch in C.chunks(batches, max_bytes=SLICE):
         buf, c, a, b, _, _, h = _hashed(batch, 0)
-        a, b, h = _distinct(a, b, h)
+        a, b, h = _distinct(a, b, h, recent)
         if not len(a):
             continue
         s, n = _shingles(buf, c, a, b)
@@ -189,12 +214,14 @@ def _bands(batches):
 
 
 def _texts(batches):
+    recent = _Recent()
     for batch in C.chunks(batches, max_bytes=SLICE):
         buf, _, a, b, _, _, h = _hashed(batch, 0)
-        a, b, h = _distinct(a, b, h)
-        data = buf.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array([data[x:y].decode("utf-8", "replace") for x, y in zip(a.tolist(), b.tolist())], pa.string())], ["node", "text"])
+        a, b, h = _distinct(a, b, h, recent)
+        data = buf[C.ranges(a, b - a)]
+        offsets = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
+        text = pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), text], ["node", "text"])
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +235,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = src.schema["id"].dataType.simpleString()
     only = src.select("text")
 
-    bands = scratch.stage(only.mapInArrow(_bands, "node bigint, n bigint, keys array<bigint>").dropDuplicates(["node"]), "bands")
+    # each task has left out what it saw, so rows are sorted once, after the shuffle
+    bands = only.mapInArrow(_bands, "node bigint, n bigint, keys array<bigint>").repartition("node").dropDuplicates(["node"])
+    bands = scratch.stage(bands, "bands")
     close = pairs.meeting_keys(bands, scratch)
     members = scratch.stage(close.join(bands.select("node", "n", F.col("n").alias("room")), "node"), "members")
     scratch.drop("bands", "close")
@@ -220,15 +249,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comps = pairs.resolve(members, texts_of, line_sets, scratch)
     scratch.drop("members")
     lines = scratch.stage(src.mapInArrow(_occurrences, f"id {kind}, text_key bigint, pos int, node bigint"), "lines")
-    place = F.struct("id", "text_key", "pos")
     # a repeated row repeats its places; a node matters that has several, or is alike to another
-    per_node = lines.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")).join(comps, "node", "left")
-    several = per_node.filter(F.col("component").isNotNull() | ~F.col("first").eqNullSafe(F.col("last")))
-    several = scratch.stage(several.select("node", "first", F.coalesce("component", "node").alias("component")), "several")
-    keepers = several.join(several.groupBy("component").agg(F.min("first").alias("kept")), "component").select("node", "kept")
-    gone = lines.join(keepers, "node").filter(~place.eqNullSafe(F.col("kept")))
+    place = F.struct("id", "text_key", "pos")
+    name = F.xxhash64("id", "text_key", "pos")
+    per_node = lines.groupBy("node").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).join(comps, "node", "left")
+    several = scratch.stage(per_node.filter("component is not null or lo <> hi").select("node", F.coalesce("component", "node").alias("component")), "several")
+    alike = scratch.stage(lines.join(several, "node").select("component", "id", "text_key", "pos"), "alike")
+    keepers = alike.groupBy("component").agg(F.min(place).alias("kept"))
+    gone = alike.join(keepers, "component").filter(~place.eqNullSafe(F.col("kept")))
     out = scratch.stage(gone.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed")
-    scratch.drop("lines", "several")
+    scratch.drop("lines", "several", "alike")
     return out
 
 
@@ -242,10 +272,11 @@ def _applied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), "removed")
     both = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
     lines = F.split("text", "\n", -1)
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     left = F.filter(lines, lambda _, i: ~F.array_contains(removed, i))
     return both.select("row", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
-                       F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n"), removed.alias("gone"))
+                       F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n"), removed.alias("gone"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,6 +44,7 @@ from polylabel.llm import common as C
 
 COUNT_PART = 1 << 21  # hashes that one counting task adds up, about
 LONGEST = 2  # bitmaps of at most 4 << LONGEST longs: 1024 places
+PLACES = 1 << 20  # places of bitmaps that are counted at a time
 BEST = 3  # candidates between two components that are compared before the others
 PERCENT = 80  # two sets are linked at 100 * intersection >= PERCENT * union
 
@@ -170,18 +171,27 @@ def compare(pairs: DataFrame, texts: DataFrame, sets: Callable) -> DataFrame:
     return both.mapInArrow(_compare(sets), f"a {kind}, b {kind}, common bigint, total bigint")
 
 
+def _bitmaps(t: np.ndarray, n: np.ndarray):
+    """(longs of all rows' bitmaps, longs per row); rows with bitmaps of one
+    length are worked on together, a bounded number of places at a time."""
+    at = np.cumsum(n) - n
+    words = np.left_shift(4, np.clip(np.ceil(np.log2(np.maximum(n, 1) / 128)), 0, LONGEST).astype(np.int64))
+    to = np.cumsum(words) - words
+    flat = np.zeros(int(words.sum()), np.int64)
+    for w in np.unique(words).tolist():
+        rows = np.flatnonzero(words == w)
+        for own in np.split(rows, range(PLACES // (64 * w), len(rows), PLACES // (64 * w))):
+            base = np.repeat(np.arange(len(own)) * (64 * w), n[own])
+            odd = np.bincount(base + (t[C.ranges(at[own], n[own])] & C.U64(64 * w - 1)).astype(np.int64), minlength=len(own) * 64 * w)
+            flat[to[own][:, None] + np.arange(w)] = np.packbits((odd & 1).astype(np.uint8)).view(np.int64).reshape(-1, w)
+    return flat, words
+
+
 def _parities(sets: Callable):
     def run(batches):
         for batch in C.chunks(batches):
-            t, n = sets(batch.column(1))
-            at = np.concatenate([[0], np.cumsum(n)])
-            words = np.left_shift(4, np.clip(np.ceil(np.log2(np.maximum(n, 1) / 128)), 0, LONGEST).astype(np.int64))
-            maps = []
-            for i, w in enumerate(words.tolist()):
-                odd = np.bincount((t[at[i]:at[i + 1]] & C.U64(64 * w - 1)).astype(np.int64), minlength=64 * w).astype(np.uint8) & 1
-                maps.append(np.packbits(odd).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), C.lists(np.concatenate(maps) if maps else np.zeros(0, np.int64), words, pa.int64())], ["node", "bits"])
+            flat, words = _bitmaps(*sets(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), C.lists(flat, words, pa.int64())], ["node", "bits"])
     return run
 
 
