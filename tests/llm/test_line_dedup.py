@@ -141,3 +141,38 @@ def test_length_follows(spark):
 def test_null_text_and_missing_length(spark):
     df = spark.createDataFrame([(1, "some line of text here"), (2, None)], "doc_id bigint, text string")
     assert sorted((tuple(r) for r in line_dedup.shortened(df).collect()), key=str) == [(1, "some line of text here"), (2, None)]
+
+
+def test_sets_and_bitmaps_of_many_lines():
+    """Sets and bitmaps made for many lines at once against one line at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from polylabel.llm import pairs
+
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("ab é字"), n)) for n in [0, 1, 7, 8, 9, 130, 300, 900, 5000] * 40] + ["x" * (line_dedup.SLICE + 9), ""]
+    tokens, sizes = line_dedup.line_sets(pa.array(lines, pa.string()))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    n_bytes = [len({s[k:k + line_dedup.CHARS] for k in range(max(1, len(s) - line_dedup.CHARS + 1))}) if s else 0 for s in lines]
+    assert sizes.tolist() == n_bytes
+    own = [tokens[a:b] for a, b in zip(at[:-1], at[1:])]
+    assert all((x[1:] > x[:-1]).all() for x in own)
+    for s, x in zip(lines, own):  # a line's set does not depend on its neighbours
+        assert (line_dedup.line_sets(pa.array([s]))[0] == x).all()
+    flat, longs = pairs._bitmaps(tokens, sizes)
+    to = np.concatenate([[0], np.cumsum(longs)])
+    for k, x in enumerate(own):
+        odd = np.zeros(64 * longs[k], np.uint8)
+        for t in x.tolist():
+            odd[t % len(odd)] ^= 1
+        assert (np.packbits(odd).view(np.int64) == flat[to[k]:to[k + 1]]).all()
+
+
+def test_lines_seen_lately_are_left_out():
+    import numpy as np
+
+    recent = line_dedup._Recent(4)
+    h = np.arange(16, dtype=np.uint64)
+    assert recent.new(h).all() and not recent.new(h).any()
+    assert recent.new(h + np.uint64(16)).all() and recent.new(h).all()  # a place holds its last hash
