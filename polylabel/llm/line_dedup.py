@@ -263,11 +263,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, text, n, gone): each input row as one struct, so that no column
-    name can clash, with its new text, its number of lines and the positions
-    of those that went."""
+    """(row, text, n, gone): each input row as one struct without its text, so
+    that no column name can clash, with its new text, its number of lines and
+    the positions of those that went."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), text.alias("text"),
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(id_col).alias("id"), text.alias("text"),
                        F.xxhash64(text).alias("text_key"))
     gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), "removed")
     both = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")

@@ -213,6 +213,14 @@ def _differing():
     return F.coalesce(_differ(F.col("bits1"), F.col("bits2")) / (F.col("n1") + F.col("n2")), F.lit(0.0))
 
 
+def _soon_apart():
+    """Whether the first longs of two bitmaps of one length already rule the
+    pair out; spares most pairs the rest of the comparison."""
+    x, y = F.col("bits1"), F.col("bits2")
+    part = sum((F.coalesce(F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))), F.lit(0)) for i in range(8)), F.lit(0))
+    return F.coalesce((F.size(x) == F.size(y)) & (part * (100 + PERCENT) > (F.col("n1") + F.col("n2")) * _MOST), F.lit(False))
+
+
 def _between(of: DataFrame) -> DataFrame:
     """Pairs of different components in one block that nothing rules out:
     (a, b), their components, and how much of them differs at least."""
@@ -222,7 +230,7 @@ def _between(of: DataFrame) -> DataFrame:
     near = F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
     fits = _can_link(*map(F.col, ("n1", "n2", "room1", "room2"))) & near
     differ = _differing()
-    possible = differ * (100 + PERCENT) <= _MOST
+    possible = ~_soon_apart() & (differ * (100 + PERCENT) <= _MOST)
     return (x.join(y, "p").filter((F.col("component1") < F.col("component2")) & fits & possible)
             .select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"),
                     F.col("component1").alias("c1"), F.col("component2").alias("c2"), differ.alias("differ")))
