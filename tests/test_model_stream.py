@@ -142,3 +142,24 @@ def test_shared_model_trains_with_the_library_default(spark, monkeypatch):
     monkeypatch.setattr(K, "_MODELS", {})
     K._split_and_model(spark, SF001)
     assert seen and all("max_iter" not in kw for kw in seen)
+
+
+def test_vocabulary_and_fits_go_by_size(spark, monkeypatch):
+    """Words of equal count are told apart by their order, whatever the
+    layout; features come in few partitions, large ones are fitted one by one."""
+    df = spark.createDataFrame([(i, f"w{i:03d} w{i % 7}", i % 2) for i in range(60)], "row_id long, text string, pos int")
+    want = sorted((f"w{i}" for i in range(7)), key=lambda w: (-len(range(int(w[1]), 60, 7)), w)) + [f"w{i:03d}" for i in range(13)]
+    for layout in (df, df.repartition(40), df.orderBy(F.desc("row_id"))):
+        assert MD.fit_features(layout, num_features=20).stages[1].vocabulary == want
+    fm = MD.fit_features(df)
+    wide = df.repartition(60)
+    cached, feats, at_once = MD.cached_features(fm, wide, ["pos"])
+    assert feats.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and feats.count() == 60 and at_once > 1
+    cached.unpersist()
+    pools = []
+    monkeypatch.setattr(MD, "FIT_BYTES", 1)
+    real = MD.ThreadPoolExecutor
+    monkeypatch.setattr(MD, "ThreadPoolExecutor", lambda max_workers: pools.append(max_workers) or real(max_workers))
+    MD.train(df, LabelSet(("pos",)), max_iter=1)
+    MD.epoch_history(df, df, LabelSet(("pos",)), epochs=(1, 2)).collect()
+    assert pools and set(pools) == {1}
