@@ -10,37 +10,26 @@ in one pass:
 * J4 occlusion: the change in probability when every occurrence of a token
   is removed, p - sigmoid(z - beta_j * x_j), exact for a linear model.
 
-Work is one explode of each whole text into (doc, token) counts, a left
-broadcast join with the coefficient table (one row per vocabulary entry; a
-token outside the vocabulary keeps its row, with a contribution of 0), and
-windows over one document's distinct tokens; all of it clustered on the
-document key, so one shuffle in total.
+Work is one shuffle of the texts to their document key, and array arithmetic
+over the distinct tokens of a batch of documents, looked up in the model's
+coefficients (a token outside the vocabulary keeps its row, with a
+contribution of 0).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .features import tokens
 from .model import MultiLabelModel
 
-
-def coefficient_table(model: MultiLabelModel, mean_x=None) -> DataFrame:
-    """Wide per-token parameters of the fitted model: token, idf, mean_x
-    (background E[x_j]) and one ``b_<label>`` coefficient column per label.
-    One row per vocabulary entry, so its size is bounded by the vocabulary
-    size; the parameters already live on the driver and are shipped once as
-    an Arrow batch."""
-    import pandas as pd
-
-    pdf = pd.DataFrame({"token": model.features.stages[1].vocabulary,
-                        "idf": model.features.stages[2].idf.toArray()})
-    pdf["mean_x"] = 0.0 if mean_x is None else mean_x
-    for n in model.labels.names:
-        pdf[f"b_{n}"] = model.per_label[n].coefficients.toArray()
-    return SparkSession.getActiveSession().createDataFrame(pdf)
+DOCS_AT_ONCE = 512  # documents whose tokens are held at once
 
 
 def background_mean(model: MultiLabelModel, df: DataFrame, text_col: str = "text"):
@@ -53,7 +42,7 @@ def background_mean(model: MultiLabelModel, df: DataFrame, text_col: str = "text
 
 
 def token_contributions(model: MultiLabelModel, df: DataFrame, id_col: str = "row_id",
-                        text_col: str = "text", drop_tokens=(), mean_x=None) -> DataFrame:
+                        text_col: str = "text", drop_tokens=(), mean_x=None, largest=None) -> DataFrame:
     """Per (doc, label, token): tf, x = tf*idf, attribution (J3), occlusion
     delta (J4), the doc's probability, and the signed weight scaled by the
     largest absolute attribution of that doc and label (B26).
@@ -61,44 +50,75 @@ def token_contributions(model: MultiLabelModel, df: DataFrame, id_col: str = "ro
     Every token of every text has its rows: one outside the model's vocabulary
     has an ``x``, attribution and occlusion of 0. A null text, and a text
     without tokens (or with dropped ones only), has one row per label with a
-    null token and a ``tf`` of 0.
+    null token and a ``tf`` of 0. With ``largest=(column, k)`` only the rows
+    that ``top_tokens`` ranks first of each doc and label come out; they are
+    computed from all of the doc's tokens.
 
-    Plan: documents are hash-partitioned by their key once; every later
-    step (token counts per (doc, token), the per-document margins, the
-    per-(doc, label) scaling and ranking) is clustered on the document key,
-    so the whole computation costs one shuffle. Labels stay wide until the
-    final unpivot."""
+    Plan: texts are gathered by their key, one shuffle of texts; all the rest
+    is local to a document and computed for an Arrow batch of documents at
+    once, so tokens are neither shuffled nor sorted by Spark."""
     labels = model.labels
     if mean_x is None:
         mean_x = background_mean(model, df, text_col)
-    coef = F.broadcast(coefficient_table(model, mean_x))
-    docs = df.select(id_col, text_col).repartition(id_col)
-    words = tokens(text_col)
+    words = F.flatten(F.transform("_texts", tokens))
     if drop_tokens:  # B25
         words = F.filter(words, lambda t: ~t.isin(list(drop_tokens)))
-    tf = (docs.select(id_col, F.explode_outer(words).alias("token"))
-          .groupBy(id_col, "token").agg(F.count("token").alias("tf")))
-    j = tf.join(coef, "token", "left")
-    j = j.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in coef.columns if c != "token"})
-    j = j.withColumn("x", F.col("tf") * F.col("idf"))
-    per_doc = Window.partitionBy(id_col)
-    j = j.withColumns({f"_z_{n}": F.sum(F.col(f"b_{n}") * F.col("x")).over(per_doc)
-                       + F.lit(float(model.per_label[n].intercept)) for n in labels.names})
-    rows = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(i).alias("label_index"),
-                              F.col(f"b_{n}").alias("beta"), F.col(f"_z_{n}").alias("_z"))
-                     for i, n in enumerate(labels.names)])
-    j = j.select(id_col, "token", "tf", "x", "mean_x", F.inline(rows))
-    sig = lambda c: F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
-    j = j.withColumns({
-        "attribution": F.nanvl(F.col("beta") * (F.col("x") - F.col("mean_x")), F.lit(0.0)),  # B24
-        "prob": sig(F.col("_z")),
-        "occlusion": sig(F.col("_z")) - sig(F.col("_z") - F.col("beta") * F.col("x")),
-    })
-    mx = F.max(F.abs("attribution")).over(Window.partitionBy(id_col, "label"))
-    scaled = F.when(mx > 0, F.least(F.abs("attribution") / mx, F.lit(1.0))).otherwise(F.lit(0.0))
-    j = j.withColumn("weight", F.signum("attribution") * scaled)
-    return j.select(id_col, "label", "label_index", "token", "tf", "x", "attribution", "occlusion",
-                    "prob", "weight")
+    docs = df.groupBy(id_col).agg(F.collect_list(text_col).alias("_texts")).select(id_col, words.alias("_words"))
+    schema = T.StructType([docs.schema[id_col]] + [T.StructField(c, k) for c, k in (
+        ("label", T.StringType()), ("label_index", T.IntegerType()), ("token", T.StringType()), ("tf", T.LongType()),
+        *((c, T.DoubleType()) for c in ("x", "attribution", "occlusion", "prob", "weight")))])
+    vocabulary, idf = model.features.stages[1].vocabulary, model.features.stages[2].idf.toArray()
+    mean = np.broadcast_to(np.asarray(mean_x, float), (len(vocabulary),))
+    beta = np.stack([model.per_label[n].coefficients.toArray() for n in labels.names])
+    intercepts = [float(model.per_label[n].intercept) for n in labels.names]
+    return docs.mapInArrow(_contributions(vocabulary, idf, mean, beta, intercepts, labels.names, schema.names, largest), schema)
+
+
+def _contributions(vocabulary, idf, mean, beta, intercepts, names, columns, largest):
+    """``token_contributions`` of batches of (id, words)."""
+    def sig(z):
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-z))
+
+    def run(batches):
+        known = pa.array(vocabulary, pa.string())
+        for whole in batches:
+            for start in range(0, len(whole), DOCS_AT_ONCE):
+                batch = whole.slice(start, DOCS_AT_ONCE)
+                ids, words, n = batch.column(0), batch.column(1), len(batch)
+                coded = words.flatten().dictionary_encode()
+                found = coded.dictionary
+                place = np.empty(len(found) + 1, np.int64)  # of the batch's tokens in their order; none comes last
+                place[pc.sort_indices(found).to_numpy()] = np.arange(len(found))
+                place[-1] = len(found)
+                sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                key = np.repeat(np.arange(n), sizes) * (len(found) + 1) + coded.indices.to_numpy()
+                key, tf = np.unique(np.concatenate([key, np.flatnonzero(sizes == 0) * (len(found) + 1) + len(found)]), return_counts=True)
+                row, code = key // (len(found) + 1), key % (len(found) + 1)
+                tf = np.where(code == len(found), 0, tf)
+                at = np.append(pc.index_in(found, value_set=known).fill_null(-1).to_numpy(), -1)[code]
+                inside = at >= 0
+                x = np.where(inside, tf * idf[at], 0.0)
+                firsts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
+                token = found.take(pa.array(code, mask=code == len(found)))
+                for i, name in enumerate(names):
+                    b = np.where(inside, beta[i][at], 0.0)
+                    z = np.bincount(row, b * x, n)[row] + intercepts[i]
+                    attribution = b * (x - np.where(inside, mean[at], 0.0))
+                    attribution[np.isnan(attribution)] = 0.0  # B24
+                    prob = sig(z)
+                    top = np.maximum.reduceat(np.abs(attribution), firsts)[row] if len(row) else attribution
+                    scaled = np.minimum(np.divide(np.abs(attribution), top, out=np.zeros(len(row)), where=top > 0), 1.0)
+                    out = {"x": x, "attribution": attribution, "occlusion": prob - sig(z - b * x), "prob": prob, "weight": np.sign(attribution) * scaled}
+                    pick = np.arange(len(row))
+                    if largest:
+                        by, k = largest
+                        pick = np.lexsort((place[code], -np.abs(out[by]), row))
+                        pick = pick[np.arange(len(row)) - firsts[row] < k] if len(row) else pick
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(row[pick])), pa.array([name] * len(pick), pa.string()), pa.array(np.full(len(pick), i, np.int32)),
+                         token.take(pa.array(pick)), pa.array(tf[pick].astype(np.int64)), *(pa.array(c[pick]) for c in out.values())], columns)
+    return run
 
 
 def top_tokens(contrib: DataFrame, by: str = "attribution", k: int = 5, id_col: str = "row_id") -> DataFrame:

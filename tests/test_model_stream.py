@@ -163,3 +163,20 @@ def test_vocabulary_and_fits_go_by_size(spark, monkeypatch):
     MD.train(df, LabelSet(("pos",)), max_iter=1)
     MD.epoch_history(df, df, LabelSet(("pos",)), epochs=(1, 2)).collect()
     assert pools and set(pools) == {1}
+
+
+def test_contributions_shuffle_texts_only(spark):
+    """Tokens are neither shuffled nor sorted; the largest ones are those that
+    ``top_tokens`` finds among all, also where ids repeat or are null."""
+    ls = LabelSet(("pos", "odd"))
+    rows = [(i, " ".join(f"w{i * k % 23}" for k in range(1, 2 + i % 11)), i % 2, i % 3 % 2) for i in range(60)]
+    model = MD.train(spark.createDataFrame(rows, "row_id long, text string, pos int, odd int"), ls, num_features=18)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [r[:2] for r in rows[:9]] + [(None, "w1 w2"), (None, "w2 zz"), (99, None), (98, "..")], "row_id long, text string")
+    full = X.token_contributions(model, docs)
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Sort [token" not in plan
+    assert {r.token: r.tf for r in full.filter("row_id is null and label_index = 0").collect()} == {"w1": 1, "w2": 2, "zz": 1}
+    for by in ("attribution", "occlusion"):
+        few = X.token_contributions(model, docs, largest=(by, 3))
+        want, got = (X.top_tokens(c, by, 3).select("row_id", "label", "rank", "token", "tf", "weight").collect() for c in (full, few))
+        assert sorted(map(str, got)) == sorted(map(str, want)) and few.count() == len(got) < full.count()
