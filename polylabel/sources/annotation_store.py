@@ -12,8 +12,9 @@ changes nothing, and the order of appends does not matter. One writer at a time
 is assumed.
 
 An annotator with a third of all rows is no hot group: rows are merged by the
-full key and written in ``files`` parts per annotator. A null and an empty
-annotator id are one annotator, null, as partition folders know no empty name.
+full key and written in parts, more of them for an annotator with more rows. A
+null and an empty annotator id are one annotator, null, as partition folders
+know no empty name.
 A null ``text_id`` is a key like any other. Annotator ids stay strings
 ("007" is not 7). Columns other than those named here are not stored.
 """
@@ -25,9 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import DEFAULT_LABELS, LabelSet, require_columns
-from ..session import cut_lineage
+from ..session import bounded_broadcast, cut_lineage
 from .readers import annotation_worklist
 
+FILE_BYTES = 64 << 20  # of an annotator's rows in a file, about
+ROW_BYTES = 64         # of a row without its text, about
+
 
 def _schema(labels: LabelSet) -> T.StructType:
     return T.StructType([T.StructField("text_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -52,9 +56,10 @@ def latest(annotations: DataFrame, labels: LabelSet = DEFAULT_LABELS) -> DataFra
     return best.select("text_id", "r.text", *(f"r.{n}" for n in labels.names), "r.ingest_seq", "annotator_id")
 
 
-def ingest(annotations: DataFrame, path: str, labels: LabelSet = DEFAULT_LABELS, files: int = 1) -> None:
+def ingest(annotations: DataFrame, path: str, labels: LabelSet = DEFAULT_LABELS, files: int | None = None) -> None:
     """Merge ``annotations`` (annotator_id, text_id, text, ingest_seq,
-    labels) into the table at ``path``. Without rows nothing is written."""
+    labels) into the table at ``path``. Without rows nothing is written.
+    Without ``files`` an annotator has a part per ``FILE_BYTES`` of rows."""
     require_columns(annotations, ["annotator_id", "text_id", "text", "ingest_seq", *labels.names], "annotations")
     spark = annotations.sparkSession
     who = F.col("annotator_id").cast("string")
@@ -63,8 +68,15 @@ def ingest(annotations: DataFrame, path: str, labels: LabelSet = DEFAULT_LABELS,
     touched = arriving.select(F.col("annotator_id").alias("who")).distinct()
     stored = read_store(spark, path, labels).join(touched, F.col("annotator_id").eqNullSafe(F.col("who")), "left_semi")
     merged = cut_lineage(latest(stored.unionByName(arriving), labels), "merged")
-    part = F.pmod(F.xxhash64("text_id"), F.lit(files))
-    (merged.repartition("annotator_id", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if files is None:
+        size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+        parts = merged.groupBy(F.col("annotator_id").alias("who")).agg(F.ceil(F.sum(size) / FILE_BYTES).alias("parts"))
+        merged = merged.join(bounded_broadcast(parts), F.col("annotator_id").eqNullSafe(F.col("who"))).drop("who")
+    else:
+        merged = merged.withColumn("parts", F.lit(files))
+    part = F.pmod(F.xxhash64("text_id"), "parts")
+    merged = merged.withColumn("part", part).repartition("annotator_id", "part").drop("part", "parts")
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("annotator_id").parquet(path))
 
 

@@ -84,3 +84,20 @@ def test_worklist_goes_on_from_the_store(spark, tmp_path):
     assert todo() == [("A1", 1), ("A1", 2), ("A2", 1), ("A2", 2)]
     AS.ingest(table(spark, [("A1", 2, 1, 0), ("A2", 1, 1, 0)]), path)
     assert todo() == [("A1", 1), ("A2", 2)]
+
+
+def test_large_annotators_are_written_in_parts(spark, tmp_path, monkeypatch):
+    """No task writes all rows of an annotator that has many."""
+    monkeypatch.setattr(AS, "FILE_BYTES", 4000)
+    labels = AS.DEFAULT_LABELS
+    rows = [("A" if i % 8 else None, i, f"text {i}" * 5, 1, *([i % 2] * len(labels))) for i in range(400)]
+    df = spark.createDataFrame(rows, "annotator_id string, text_id long, text string, ingest_seq long, " + ", ".join(f"{n} int" for n in labels.names))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        AS.ingest(df, f"{tmp_path}/s", labels)
+        AS.ingest(df, f"{tmp_path}/s", labels)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list(tmp_path.glob("s/annotator_id=A/*.parquet"))) > 3
+    got = AS.read_store(spark, f"{tmp_path}/s", labels).select(*df.columns).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in df.collect())
