@@ -68,3 +68,16 @@ def test_written_once(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert SH.write_shards(rows(spark, 0), f"{tmp_path}/s", 2).collect() == []
+
+
+def test_large_shards_are_written_in_runs(spark, tmp_path, monkeypatch):
+    """No task writes all rows of a large shard; the rows stay as they were."""
+    monkeypatch.setattr(SH, "FILE_ROWS", 32)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        SH.write_shards(rows(spark, 1500), f"{tmp_path}/s", 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert all(len(glob.glob(f"{tmp_path}/s/rows/shard={k}/*.parquet")) > 3 for k in range(2))
+    every = SH.read_batches(spark, f"{tmp_path}/s").drop("batch").select("row_id", "shard", "position", "batch_in_shard")
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, S.training_shards(rows(spark, 1500), 2).select(*every.columns).collect()))
