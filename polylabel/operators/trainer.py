@@ -7,7 +7,8 @@ its batches in their order by AdaGrad with decoupled weight decay, and the
 shards' weights and step sizes, averaged by their rows, start the next epoch
 (iterative parameter mixing). The averages are added up on the executors; the
 driver gets at most ``FAN_IN`` matrices, whose size depends on the vocabulary
-and the labels only. Results follow from the shards, not from the layout.
+and the labels only. Results follow from the shards, not from the layout. Tokens are
+looked up in the vocabulary once, before the first epoch.
 
 After each epoch the validation texts are scored; loss (from logits), macro
 metrics and the training loss make one row of the history, and training ends
@@ -34,6 +35,7 @@ from . import metrics as M
 from .features import tokens
 
 FAN_IN = 8
+PART_BYTES = 64 << 20  # of coded validation texts in a task
 
 
 @dataclass
@@ -54,6 +56,31 @@ class Vocabulary:
         row, ids = key // max(len(self.tokens), 1), key % max(len(self.tokens), 1)
         return row, ids, tf * self.idf[ids]
 
+    def coded(self, df: DataFrame, words: str) -> DataFrame:
+        """``df`` with the known tokens of its list column ``words``, which
+        goes, as ``_ids`` and their counts ``_tf``: looked up once, not by
+        every pass."""
+        known, at = self.tokens, df.columns.index(words)
+        own = [f for f in df.schema.fields if f.name != words]
+
+        def run(batches):
+            plain = Vocabulary(known, np.ones(len(known)))
+            for b in batches:
+                row, ids, tf = plain.rows(b.column(at))
+                ends = pa.array(np.searchsorted(row, np.arange(len(b) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32), pa.int32())) for v in (ids, tf)]
+                yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != at), *lists], [*(f.name for f in own), "_ids", "_tf"])
+
+        kind = T.ArrayType(T.IntegerType())
+        return df.mapInArrow(run, T.StructType([*own, T.StructField("_ids", kind), T.StructField("_tf", kind)]))
+
+
+def _entries(ids: pa.Array, tf: pa.Array, idf: np.ndarray):
+    """``Vocabulary.rows`` from coded columns."""
+    row = np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy(zero_copy_only=False))
+    ids = ids.flatten().to_numpy()
+    return row, ids, tf.flatten().to_numpy() * idf[ids]
+
 
 def learn_vocabulary(df: DataFrame, size: int, text_col: str = "text") -> Vocabulary:
     """The ``size`` most frequent tokens (ties by token), counted over all
@@ -95,7 +122,7 @@ def _batch_step(w, g, row, ids, x, y, weight, rate, decay) -> float:
     return float((_loss(z, y) * weight[:, None]).sum())
 
 
-def _epoch(vocabulary: Vocabulary, labels: LabelSet, start: np.ndarray, steps: np.ndarray, rate: float, decay: float):
+def _epoch(idf: np.ndarray, labels: LabelSet, start: np.ndarray, steps: np.ndarray, rate: float, decay: float):
     names = labels.names
 
     def run(batches):
@@ -120,7 +147,7 @@ def _epoch(vocabulary: Vocabulary, labels: LabelSet, start: np.ndarray, steps: n
                 part = table.slice(a, b - a).combine_chunks()
                 y = np.stack([part.column(c).to_numpy().astype(float) for c in names], axis=1)
                 weight = part.column("weight").to_numpy()
-                loss += _batch_step(w, g, *vocabulary.rows(part.column("words").chunk(0)), y, weight, rate, decay)
+                loss += _batch_step(w, g, *_entries(part.column("_ids").chunk(0), part.column("_tf").chunk(0), idf), y, weight, rate, decay)
                 rows += b - a
             return table.slice(bounds[-1])
 
@@ -167,6 +194,18 @@ class EpochModel:
         schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
         return df.withColumn("_words", tokens(F.coalesce(text_col, F.lit("")))).mapInArrow(run, schema)
 
+    def coded_logits(self, coded: DataFrame) -> DataFrame:
+        """``logits`` of what ``Vocabulary.coded`` gives."""
+        idf, w = self.vocabulary.idf, self.weights
+        names = [*coded.columns[:-2], *(f"logit_{n}" for n in self.labels.names)]
+
+        def run(batches):
+            for b in batches:
+                z = _margins(w, len(b), *_entries(b.column(len(b.columns) - 2), b.column(len(b.columns) - 1), idf))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(c) for c in z.T)], names)
+
+        return coded.mapInArrow(run, T.StructType([*coded.schema.fields[:-2], *(T.StructField(c, T.DoubleType()) for c in names[len(coded.columns) - 2:])]))
+
     def __call__(self, df: DataFrame) -> DataFrame:
         z = self.logits(df)
         return z.withColumns({self.labels.prob(n): LF.sigmoid(F.col(f"logit_{n}")) for n in self.labels.names}).drop(*(f"logit_{n}" for n in self.labels.names))
@@ -185,7 +224,7 @@ class Run:
 
 
 def _validate(model: EpochModel, val: DataFrame, labels: LabelSet) -> dict:
-    z = model.logits(val)
+    z = model.coded_logits(val)
     z = z.withColumns({labels.prob(n): LF.sigmoid(F.col(f"logit_{n}")) for n in labels.names})
     z = z.withColumns({labels.pred(n): LF.threshold(labels.prob(n)) for n in labels.names} | {labels.true(n): F.col(n) for n in labels.names})
     s = M.summary_from_sums(M.metric_sums(z, labels), labels).first()
@@ -207,22 +246,27 @@ def fit_epochs(train: DataFrame, val: DataFrame, path: str, labels: LabelSet = D
     rows = train.select("row_id", tokens(F.coalesce("text", F.lit(""))).alias("words"), weight.alias("weight"),
                         *(F.coalesce(F.col(n), F.lit(0)).cast("double").alias(n) for n in labels.names))
     SH.write_shards(rows, f"{path}/shards", n_shards, batch_size, drop_last=False)
-    data = (spark.read.parquet(f"{path}/shards/rows").withColumn("shard", F.col("shard").cast("long"))
-            .repartition(n_shards + 1, "shard").sortWithinPartitions("shard", "position")
-            .select("shard", "batch_in_shard", "words", "weight", *labels.names).persist(StorageLevel.MEMORY_AND_DISK))
+    stored = spark.read.parquet(f"{path}/shards/rows").withColumn("shard", F.col("shard").cast("long"))
+    data = (vocabulary.coded(stored.select("shard", "position", "batch_in_shard", "words", "weight", *labels.names), "words")
+            .repartitionByRange(n_shards + 1, "shard").sortWithinPartitions("shard", "position")
+            .select("shard", "batch_in_shard", "_ids", "_tf", "weight", *labels.names).persist(StorageLevel.MEMORY_AND_DISK))
+    seen = vocabulary.coded(val.select(*labels.names, tokens(F.coalesce("text", F.lit(""))).alias("words")), "words").persist(StorageLevel.MEMORY_AND_DISK)
+    entries = seen.agg(F.sum(F.size("_ids"))).first()[0] or 0
+    # every task of a pass gets the weights: tasks go by the size of the texts
+    few = seen.coalesce(max(spark.sparkContext.defaultParallelism, -(-8 * entries // PART_BYTES)))
     shape = (len(vocabulary.tokens) + 1, len(labels))
     w, g = np.zeros(shape), np.zeros(shape)
     history, models, best, wait = [], [], float("-inf"), 0
     try:
         for epoch in range(epochs):
-            sums = (data.mapInArrow(_epoch(vocabulary, labels, w, g, rate, weight_decay), _SUMS)
+            sums = (data.mapInArrow(_epoch(vocabulary.idf, labels, w, g, rate, weight_decay), _SUMS)
                     .groupBy("part").applyInArrow(_add, _SUMS).orderBy("part").collect())
             n = sum(r.rows for r in sums)
             if not n:
                 break
             w, g = (sum(np.frombuffer(r.sums) for r in sums) / n).reshape(2, *shape)
             models.append(EpochModel(vocabulary, w, labels))
-            row = {"run": run, "epoch": epoch, "train_loss": sum(r.loss for r in sums) / (n * len(labels)), **_validate(models[-1], val, labels)}
+            row = {"run": run, "epoch": epoch, "train_loss": sum(r.loss for r in sums) / (n * len(labels)), **_validate(models[-1], few, labels)}
             history.append(row)
             # the rule of model.early_stop, applied while training
             improved = row["val_f1"] - min_delta > best
@@ -231,6 +275,7 @@ def fit_epochs(train: DataFrame, val: DataFrame, path: str, labels: LabelSet = D
                 break
     finally:
         data.unpersist()
+        seen.unpersist()
     names = ["run", "epoch", "train_loss", "val_loss", "val_f1", "val_precision", "val_recall", "val_accuracy"]
     schema = "run string, epoch int, " + ", ".join(f"{c} double" for c in names[2:])
     return Run(spark.createDataFrame([tuple(h[c] for c in names) for h in history], schema), models, wait >= patience)

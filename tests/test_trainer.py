@@ -78,3 +78,19 @@ def test_weights_decay_and_tables(spark, tmp_path):
     weighted = df.withColumn("w", F.when(F.col("pos") == 1, 3.0).otherwise(1.0))
     heavy = TR.fit_epochs(weighted, df, f"{tmp_path}/w", LS, epochs=2, n_shards=1, weight_decay=0.0, weight_col="w", patience=9).models[-1]
     assert heavy.weights[-1, 0] > plain.weights[-1, 0]
+
+
+def test_tokens_are_looked_up_once(spark):
+    """Coded columns give what the vocabulary finds in the words, and logits
+    from them are those of the texts."""
+    df = corpus(spark, 50, 7).unionByName(spark.createDataFrame([(50, None, 0, 0), (51, "unseen", 1, 0), (52, "", 0, 1)], "row_id long, text string, pos int, odd int"))
+    v = TR.learn_vocabulary(corpus(spark, 50, 7), 6)
+    coded = v.coded(df.select("row_id", TR.tokens(F.coalesce("text", F.lit(""))).alias("words"), "pos"), "words")
+    assert coded.columns == ["row_id", "pos", "_ids", "_tf"]
+    texts = {r.row_id: r.text or "" for r in df.collect()}
+    for r in coded.collect():
+        words = texts[r.row_id].split()
+        assert dict(zip(r._ids, r._tf)) == {v.tokens.index(w): words.count(w) for w in words if w in v.tokens} and r._ids == sorted(r._ids)
+    model = TR.EpochModel(v, np.random.default_rng(1).normal(size=(7, 2)), LS)
+    key = lambda d: sorted(map(tuple, d.select("row_id", "logit_pos", "logit_odd").collect()))
+    assert key(model.coded_logits(coded)) == key(model.logits(df))
