@@ -92,3 +92,29 @@ def test_signs_that_are_no_emoji_stay(spark):
     row = spark.createDataFrame([(keep, drop)], "a string, b string").select(
         TF.clean_text("a").alias("a"), TF.clean_text("b").alias("b")).first()
     assert row.a == keep and row.b == ""
+
+
+def test_cleaning_scans_give_what_the_long_patterns_gave(spark):
+    """Every kind of white space and emoji, alone and in runs; a single plain
+    space is no match."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from polylabel.functions import text as TF
+    emoji = TF._emoji_class()
+    long = (r"(?:[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|[" + emoji + r"][\x{FE0F}\x{FE0E}\x{200D}"
+            r"\x{1F3FB}-\x{1F3FF}\x{E0020}-\x{E007F}]*)+")
+    space = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    near = [0x200B, 0x180E, 0xFEFF, 0x2010, 0x21, 0x61, 0x41]
+    signs = [0x31, 0x23, 0x2A, 0xFE0F, 0x20E3, 0x1F1E6, 0x1F1FF, 0xA9, 0xAE, 0x203C, 0x2192, 0x2714, 0x3299, 0x329A, 0x1F004, 0x1F600, 0x1F3FB, 0x200D, 0xE0020, 0x1FAF8, 0x1FAFF]
+    signs += [int(x, 16) for r in TF.EMOJI_POINTS.split() for x in r.split("-")]
+    r = random.Random(3)
+    rows = [(chr(c),) for c in space + near + signs] + [("".join(chr(r.choice(r.choice([space, near, signs, [32]]))) for _ in range(r.randint(0, 14))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "t string").select(
+        "t", F.regexp_replace("t", long, "").alias("e0"), TF.strip_emoji("t").alias("e1"),
+        F.trim(F.regexp_replace("t", TF.WHITESPACE_RUN, " ")).alias("s0"), TF.collapse_whitespace("t").alias("s1"), F.regexp_count("t", F.lit(TF.ODD_RUN)).alias("n"))
+    got = df.collect()
+    assert all(r.e0 == r.e1 and r.s0 == r.s1 for r in got)
+    assert {r.n for r in got if re.fullmatch("[a!]?( [a!])* ?", r.t)} == {0}
