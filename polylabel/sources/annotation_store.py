@@ -65,7 +65,7 @@ def ingest(annotations: DataFrame, path: str, labels: LabelSet = DEFAULT_LABELS,
     who = F.col("annotator_id").cast("string")
     typed = {f.name: F.col(f.name).cast(f.dataType) for f in _schema(labels)} | {"annotator_id": F.when(who != "", who)}
     arriving = cut_lineage(annotations.select(*(c.alias(n) for n, c in typed.items())), "arriving")
-    touched = arriving.select(F.col("annotator_id").alias("who")).distinct()
+    touched = bounded_broadcast(arriving.select(F.col("annotator_id").alias("who")).distinct())
     stored = read_store(spark, path, labels).join(touched, F.col("annotator_id").eqNullSafe(F.col("who")), "left_semi")
     merged = cut_lineage(latest(stored.unionByName(arriving), labels), "merged")
     if files is None:
