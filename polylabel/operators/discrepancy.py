@@ -130,15 +130,22 @@ def error_words(joined: DataFrame, labels: LabelSet = DEFAULT_LABELS, group_cols
                 min_len: int = 3) -> DataFrame:
     """D15 + G4: word counts (lowercase, whitespace split, length >= 3) over
     the texts of each (group, label, kind) error set, top ``top`` words per
-    set (ties by word). Words are counted with a partial aggregation; the
-    ranking window only sees distinct words per set and uses Spark's window
-    group limit (top-k kept per task before the shuffle)."""
+    set (ties by word). A text's words are exploded once, whatever its errors,
+    and counted in one row per (group, word) with a counter per label and
+    kind; these become rows after the count. The ranking window uses Spark's
+    window group limit (top-k kept per task before the shuffle)."""
     group_cols = list(group_cols)
-    errs = error_rows(joined, labels).select(*group_cols, "label", "label_index", "kind", "text")
-    words = errs.select(*group_cols, "label", "label_index", "kind",
-                        F.explode(TF.word_tokens("text", min_len)).alias("word"))
-    counts = words.groupBy(*group_cols, "label", "label_index", "kind", "word") \
-        .agg(F.count(F.lit(1)).alias("n"))
+    flags = {}
+    for n in labels.names:
+        p, t = F.col(labels.pred(n)), F.col(labels.true(n))
+        flags |= {f"_fp_{n}": F.when(p > t, 1).otherwise(0), f"_fn_{n}": F.when(p < t, 1).otherwise(0)}
+    errs = joined.select(*group_cols, "text", *(c.alias(k) for k, c in flags.items())).filter(sum((F.col(k) for k in flags), F.lit(0)) > 0)
+    words = errs.select(*group_cols, *flags, F.explode(TF.word_tokens("text", min_len)).alias("word"))
+    wide = words.groupBy(*group_cols, "word").agg(*(F.sum(k).alias(k) for k in flags))
+    sets = F.array(*(F.struct(F.lit(n).alias("label"), F.lit(i).alias("label_index"), F.lit(kind).alias("kind"), F.col(f"_{kind}_{n}").alias("n"))
+                     for i, n in enumerate(labels.names) for kind in ("fp", "fn")))
+    counts = wide.select(*group_cols, "word", F.inline(F.filter(sets, lambda s: s["n"] > 0))) \
+        .select(*group_cols, "label", "label_index", "kind", "word", "n")
     w = Window.partitionBy(*group_cols, "label", "kind").orderBy(F.col("n").desc(), "word")
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

@@ -83,3 +83,18 @@ def test_confusion_pairs_no_explode(spark):
     got = [(r["true_label"], r["pred_label"], r["n"], r["rank"]) for r in
            D.confusion_pairs(df, ls).orderBy("rank").collect()]
     assert got == [("a", "b", 2, 1), ("a", "c", 1, 2), ("b", "a", 1, 3)]
+
+
+def test_error_words_explode_a_text_once(spark):
+    """A text with several errors is exploded once; counts stay by label and kind."""
+    from polylabel.schema import LabelSet
+
+    ls = LabelSet(("x", "y"))
+    rows = [("A", "foo foo bar", 1, 0, 0, 1), ("A", "foo baz", 0, 1, 1, 1), ("B", "bar", 1, 1, 1, 1), (None, "qux qux it", 0, 0, 1, 0), ("B", None, 1, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "annotator_id string, text string, true_x int, true_y int, pred_x int, pred_y int")
+    out = D.error_words(df, ls, group_cols=("annotator_id",), top=2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert out.columns == ["annotator_id", "label", "label_index", "kind", "word", "n", "rank"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([
+        ("A", "x", 0, "fn", "foo", 2, 1), ("A", "x", 0, "fn", "bar", 1, 2), ("A", "y", 1, "fp", "foo", 2, 1), ("A", "y", 1, "fp", "bar", 1, 2),
+        ("A", "x", 0, "fp", "baz", 1, 1), ("A", "x", 0, "fp", "foo", 1, 2), (None, "x", 0, "fp", "qux", 2, 1)], key=str)
