@@ -98,9 +98,12 @@ _powers = {"n": -1}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64): a bijection, so it adds no collisions."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x = x ^ (x >> U64(30))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def _pow(n: int):
@@ -140,6 +143,16 @@ def span_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(h ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
+def window_hash(c: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """``span_hash`` from each of ``bounds`` to the one ``k`` further on."""
+    _, inv = _pow(len(c) - 1)
+    at = c[bounds]
+    h = at[k:] - at[:-k]
+    h *= inv[bounds[:-k]]
+    h ^= (bounds[k:] - bounds[:-k]).astype(U64) * U64(0xD6E8FEB86659FD93)
+    return mix(h)
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each ``k`` consecutive items of ``h`` (length ``len(h)-k+1``,
     none if shorter). Positions that cross a text's end are the caller's to
@@ -239,8 +252,8 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     per node that has an edge, component being the smallest reachable node.
 
     Distributed union-find by alternating large-star and small-star steps:
-    each round is two aggregations and two joins over the edges, staged in
-    the shared folder, and the number of rounds is logarithmic in the longest
+    each round is two aggregations and two joins over the edges (with a hashed
+    side that has each node once), staged in the shared folder, and the number of rounds is logarithmic in the longest
     chain. No edge list, component or neighbourhood is gathered anywhere; a
     node with very many neighbours only enters through a ``min`` (combined
     before the shuffle) and a join that the planner may split.
@@ -256,9 +269,9 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
             break
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = both.filter("b > a").join(low.hint("shuffle_hash"), "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         low2 = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low2, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+        small = large.join(low2.hint("shuffle_hash"), "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         nxt = scratch.stage(small.filter("a <> b").distinct(), f"edges{k}")
         scratch.drop(last)
         e, last = nxt, f"edges{k}"

@@ -72,7 +72,10 @@ def _shingles(buf: np.ndarray, c: np.ndarray, starts: np.ndarray, ends: np.ndarr
     n = np.maximum(hi - lo - CHARS + 1, 1)
     bounds = np.append(head, len(buf))
     # every window of CHARS code points, lines or not; then each line's own
-    every = C.span_hash(c, bounds[:-CHARS], bounds[CHARS:]) if len(head) >= CHARS else np.zeros(1, C.U64)
+    if len(head) < CHARS:
+        every = np.zeros(1, C.U64)
+    else:
+        every = C.window_hash(c, bounds, CHARS)
     h = every[np.minimum(C.ranges(lo, n), len(every) - 1)]
     short = hi - lo < CHARS
     h[(np.cumsum(n) - n)[short]] = C.span_hash(c, starts[short], ends[short])
@@ -166,27 +169,32 @@ def _bin_minima(line: np.ndarray, s: np.ndarray, lines: int) -> np.ndarray:
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]
     where, least = cell[first], s[first]
-    out = np.zeros((lines, 2 * bins), C.U64)
-    filled = np.zeros((lines, 2 * bins), bool)
-    for turn in (0, bins):  # twice, so that the last bins look on at the first
-        out[where // bins, where % bins + turn] = least
-        filled[where // bins, where % bins + turn] = True
-    step = np.where(filled, np.arange(2 * bins), 4 * bins)
-    step = np.minimum.accumulate(step[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    far = step - np.arange(bins)
-    return C.mix(np.take_along_axis(out, step % (2 * bins), axis=1) + far.astype(C.U64) * C.U64(0xD6E8FEB86659FD93))
+    out = np.zeros(lines * bins, C.U64)
+    filled = np.zeros(lines * bins, bool)
+    out[where], filled[where] = least, True
+    empty = np.flatnonzero(~filled)
+    own = empty // bins
+    # the next filled bin of the line, or else its first one, a turn further on
+    begin = np.searchsorted(where, own * bins)
+    after = np.searchsorted(where, empty)
+    around = np.append(where, -1)[after] // bins != own
+    after[around] = begin[around]
+    far = where[after] - empty + np.where(around, bins, 0)
+    out[empty] = least[after] + far.astype(C.U64) * C.U64(0xD6E8FEB86659FD93)
+    return C.mix(out).reshape(lines, bins)
 
 
 def _band_keys(signature: np.ndarray, kind: int) -> np.ndarray:
-    keys = np.zeros((len(signature), BANDS), C.U64)
-    for k in range(BANDS):
-        key = np.full(len(signature), k + kind * BANDS, C.U64)
-        for r in range(k * ROWS, (k + 1) * ROWS):
-            key = C.mix(key * C.U64(0x9E3779B97F4A7C15) + signature[:, r])
-        keys[:, k] = key
+    signature = signature.reshape(-1, BANDS, ROWS)
+    keys = np.arange(kind * BANDS, (kind + 1) * BANDS, dtype=C.U64)
+    for r in range(ROWS):
+        keys = C.mix(keys * C.U64(0x9E3779B97F4A7C15) + signature[:, :, r])
     return keys
 
 
+BAND_COLUMNS = ["node", "kind", "n", *(f"key{k}" for k in range(BANDS))]
+
+
 def _bands(batches):
     recent = _Recent()
     for batch in C.chunks(batches, max_bytes=SLICE):
@@ -198,19 +206,22 @@ def _bands(batches):
         line, least = _sorted_sets(s, n)
         size = np.bincount(line, minlength=len(a))
         at = np.cumsum(n) - n
-        row, keys = [], []
+        row, keys, kinds = [], [], []
         # a pair whose larger line is long has both in the second kind, else both in the first
         for kind, own in ((0, size < LONG), (1, size * 100 >= LONG * pairs.PERCENT)):
             own = np.flatnonzero(own)
             if len(own):
-                signature = _bin_minima(line, least, len(a))[own] if kind else _min_hashes(s[C.ranges(at[own], n[own])], n[own])
-                row.append(np.repeat(own, BANDS))
-                keys.append(_band_keys(signature, kind).reshape(-1))
-        row, keys = np.concatenate(row), np.concatenate(keys)
-        order = np.argsort(row, kind="stable")
+                if kind:
+                    begin = np.cumsum(size) - size
+                    signature = _bin_minima(np.repeat(np.arange(len(own)), size[own]), least[C.ranges(begin[own], size[own])], len(own))
+                else:
+                    signature = _min_hashes(s[C.ranges(at[own], n[own])], n[own])
+                row.append(own)
+                keys.append(_band_keys(signature, kind))
+                kinds.append(np.full(len(own), kind))
+        row, keys = np.concatenate(row), np.concatenate(keys).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(size), C.lists(keys[order].view(np.int64), np.bincount(row, minlength=len(a)), pa.int64())],
-            ["node", "n", "keys"])
+            [pa.array(x) for x in (h[row].view(np.int64), np.concatenate(kinds), size[row], *np.ascontiguousarray(keys.T))], BAND_COLUMNS)
 
 
 def _texts(batches):
@@ -235,16 +246,20 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = src.schema["id"].dataType.simpleString()
     only = src.select("text")
 
-    # each task has left out what it saw, so rows are sorted once, after the shuffle
-    bands = only.mapInArrow(_bands, "node bigint, n bigint, keys array<bigint>").repartition("node").dropDuplicates(["node"])
-    bands = scratch.stage(bands, "bands")
-    close = pairs.meeting_keys(bands, scratch)
-    members = scratch.stage(close.join(bands.select("node", "n", F.col("n").alias("room")), "node"), "members")
+    # each task has left out what it saw, so rows meet once, after the shuffle; their keys
+    # are plain columns, which are equal in all rows of a line and kind, and need no sort
+    bands = only.mapInArrow(_bands, ", ".join(f"{c} bigint" for c in BAND_COLUMNS)).repartition("node")
+    bands = scratch.stage(bands.groupBy("node", "kind").agg(*(F.min(c).alias(c) for c in BAND_COLUMNS[2:])), "bands")
+    close = pairs.meeting_keys(bands.select("node", F.array(*BAND_COLUMNS[3:]).alias("keys")), scratch)
+    # a line with keys of both kinds counts by its first row
+    sizes = bands.filter((F.col("kind") == 0) | (F.col("n") >= LONG)).select("node", "n", F.col("n").alias("room"))
+    members = scratch.stage(close.join(sizes, "node"), "members")
     scratch.drop("bands", "close")
     texts = only.mapInArrow(_texts, "node bigint, text string")
 
     def texts_of(nodes):
-        return texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+        # few lines' texts are asked for: the others are left out before any is sorted
+        return texts.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
     comps = pairs.resolve(members, texts_of, line_sets, scratch)
     scratch.drop("members")
@@ -252,11 +267,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a repeated row repeats its places; a node matters that has several, or is alike to another
     place = F.struct("id", "text_key", "pos")
     name = F.xxhash64("id", "text_key", "pos")
-    per_node = lines.groupBy("node").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).join(comps, "node", "left")
+    per_node = lines.groupBy("node").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).join(comps.hint("shuffle_hash"), "node", "left")
     several = scratch.stage(per_node.filter("component is not null or lo <> hi").select("node", F.coalesce("component", "node").alias("component")), "several")
-    alike = scratch.stage(lines.join(several, "node").select("component", "id", "text_key", "pos"), "alike")
+    alike = scratch.stage(lines.join(several.hint("shuffle_hash"), "node").select("component", "id", "text_key", "pos"), "alike")
     keepers = alike.groupBy("component").agg(F.min(place).alias("kept"))
-    gone = alike.join(keepers, "component").filter(~place.eqNullSafe(F.col("kept")))
+    gone = alike.join(keepers.hint("shuffle_hash"), "component").filter(~place.eqNullSafe(F.col("kept")))
     out = scratch.stage(gone.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed")
     scratch.drop("lines", "several", "alike")
     return out
@@ -270,7 +285,8 @@ def _applied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(id_col).alias("id"), text.alias("text"),
                        F.xxhash64(text).alias("text_key"))
     gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), "removed")
-    both = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
+    # at most one row of positions per text, so the texts need no sort
+    both = rows.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
     lines = F.split("text", "\n", -1)
     breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     removed = F.coalesce("removed", F.array().cast("array<int>"))

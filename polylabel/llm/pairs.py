@@ -27,7 +27,8 @@ never listed per bucket. Instead:
    first; then those that are still between different components.
 
 So every pair that could join two components is compared exactly. Joins on
-hot keys are plain equi-joins, which the planner may split.
+hot keys are plain equi-joins, which the planner may split. Where one side has
+each key once (pivots, bitmaps, components) it is hashed and nothing is sorted.
 """
 
 from __future__ import annotations
@@ -105,8 +106,9 @@ def meeting_keys(prefixes: DataFrame, scratch: C.Scratch) -> DataFrame:
     parts = parts_for(int(prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0))
     cut = 32 - (parts.bit_length() - 1)
     met = scratch.stage(more_than(prefixes.select("keys").mapInArrow(_key_blocks(parts), BLOCK_SCHEMA), 1).select("token"), "met")
+    # met has each token once, so its side can be hashed and the many keys need no sort
     close = scratch.stage(prefixes.select("node", F.explode("keys").alias("key"))
-                          .join(met, F.shiftrightunsigned("key", cut) == F.col("token")).select("key", "node"), "close")
+                          .join(met.hint("shuffle_hash"), F.shiftrightunsigned("key", cut) == F.col("token")).select("key", "node"), "close")
     scratch.drop("met")
     return close
 
@@ -124,7 +126,7 @@ def _first(members: DataFrame):
 
 
 def _star(members: DataFrame, pivot: DataFrame) -> DataFrame:
-    near = members.join(pivot, "key").filter(
+    near = members.join(pivot.hint("shuffle_hash"), "key").filter(
         (F.col("node") != F.col("p.node")) & _can_link(F.col("n"), F.col("p.n"), F.col("room"), F.col("p.room")))
     low = F.col("node") < F.col("p.node")
     return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"),
@@ -133,7 +135,7 @@ def _star(members: DataFrame, pivot: DataFrame) -> DataFrame:
 
 def _possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """(a, b) of the pairs (a, b, n1, n2) that bitmaps do not rule out."""
-    of_a, of_b = (bits.select(F.col("node").alias(c), F.col("bits").alias(f"bits{k}")) for k, c in ((1, "a"), (2, "b")))
+    of_a, of_b = (bits.select(F.col("node").alias(c), F.col("bits").alias(f"bits{k}")).hint("shuffle_hash") for k, c in ((1, "a"), (2, "b")))
     return pairs.join(of_a, "a", "left").join(of_b, "b", "left").filter(_differing() * (100 + PERCENT) <= _MOST).select("a", "b").distinct()
 
 
@@ -243,11 +245,20 @@ def linked(df: DataFrame) -> DataFrame:
 def _split(of: DataFrame) -> DataFrame:
     """The rows of keys whose nodes are in several components."""
     keys = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return of.join(keys, "key")
+    return of.join(keys.hint("shuffle_hash"), "key")
 
 
 def _unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
-    return _split(members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    return _split(members.join(comps.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+
+def _grown(comps: DataFrame, links: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """The components that ``comps`` become by further links; a component
+    counts as the links of its nodes to its least."""
+    if links.isEmpty():
+        return comps
+    known = comps.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return C.components(known.unionByName(links.select("a", "b")), scratch)
 
 
 def resolve(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Callable, scratch: C.Scratch) -> DataFrame:
@@ -266,8 +277,9 @@ def resolve(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets
     open_ = scratch.stage(_unresolved(members, comps), "open1")
     last = open_.groupBy("key").agg(F.max(F.struct("node", "n", "room")).alias("p"))
     second = scratch.stage(_possible(_star(open_, last).join(seen, ["a", "b"], "left_anti"), bits), "pairs2")
-    seen = seen.unionByName(scratch.stage(compare(second, texts, sets), "seen2"))
-    comps = C.components(linked(seen), scratch)
+    seen2 = scratch.stage(compare(second, texts, sets), "seen2")
+    seen = seen.unionByName(seen2)
+    comps = _grown(comps, linked(seen2), scratch)
     open_ = scratch.stage(_unresolved(open_.drop("component"), comps), "open2")
     pivot = _first(open_).select("key", F.col("p.node").alias("p"))
     far = seen.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
@@ -280,14 +292,12 @@ def resolve(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets
     maybe = scratch.stage(maybe.join(seen, ["a", "b"], "left_anti"), "maybe")
     rank = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("differ", "a", "b"))
     best = scratch.stage(maybe.withColumn("rank", rank).filter(F.col("rank") <= BEST).select("a", "b"), "pairs3")
-    seen = seen.unionByName(scratch.stage(compare(best, texts, sets), "seen3"))
-    out = C.components(linked(seen), scratch)
+    out = _grown(comps, linked(scratch.stage(compare(best, texts, sets), "seen3")), scratch)
     of_a, of_b = (out.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")) for c in ("a", "b"))
     apart = ~F.coalesce("now_a", "a").eqNullSafe(F.coalesce("now_b", "b"))
     rest = maybe.select("a", "b").join(best, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left").filter(apart).select("a", "b")
     rest = scratch.stage(rest, "pairs4")
     if not rest.isEmpty():
-        seen = seen.unionByName(scratch.stage(compare(rest, texts, sets), "seen4"))
-        out = C.components(linked(seen), scratch)
+        out = _grown(out, linked(scratch.stage(compare(rest, texts, sets), "seen4")), scratch)
     scratch.drop("texts", "pairs1", "pairs2", "pairs3", "pairs4", "open1", "open2", "blocks", "maybe", "bits")
     return out

@@ -176,3 +176,61 @@ def test_lines_seen_lately_are_left_out():
     h = np.arange(16, dtype=np.uint64)
     assert recent.new(h).all() and not recent.new(h).any()
     assert recent.new(h + np.uint64(16)).all() and recent.new(h).all()  # a place holds its last hash
+
+
+def test_signatures_of_many_lines():
+    """Bins' minima and band keys against one bin and one band at a time."""
+    import numpy as np
+
+    from polylabel.llm import common as C
+
+    rng = np.random.default_rng(4)
+    bins = line_dedup.BANDS * line_dedup.ROWS
+    own = [np.unique(rng.integers(0, 1 << 40, n, dtype=np.uint64)) for n in (1, 2, 5, 60, 400, 1)]
+    line = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    got = line_dedup._bin_minima(line, np.concatenate(own), len(own))
+    for x, row in zip(own, got):
+        first = {}
+        for s in x.tolist():
+            first.setdefault(((s >> 8) * bins) >> 32, s)
+        for b in range(bins):
+            far = next(d for d in range(bins) if (b + d) % bins in first)
+            assert row[b] == C.mix(np.array([first[(b + far) % bins] + far * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
+    for kind in (0, 1):
+        keys = line_dedup._band_keys(got, kind)
+        for k in range(line_dedup.BANDS):
+            key = np.full(len(got), k + kind * line_dedup.BANDS, np.uint64)
+            for r in range(k * line_dedup.ROWS, (k + 1) * line_dedup.ROWS):
+                key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + got[:, r])
+            assert (key == keys[:, k]).all()
+
+
+def test_bands_have_a_row_per_line_and_kind():
+    import pyarrow as pa
+
+    lines = ["short line", "m" * 40 + "".join(map(chr, range(200, 250))), "".join(map(chr, range(1000, 1300)))]
+    lines += ["".join(chr(0x4E00 + 7 * i % 5000) for i in range(line_dedup.LONG))]  # a little shorter than LONG: both kinds
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(lines), lines[0]])], ["text"])
+    rows = [r for b in line_dedup._bands([batch]) for r in b.to_pylist()]
+    assert list(rows[0]) == line_dedup.BAND_COLUMNS
+    assert len({(r["node"], r["kind"]) for r in rows}) == len(rows)
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r["n"], set()).add(r["kind"])
+    assert kinds == {len(shingles(x)): {0} if len(shingles(x)) * 100 < line_dedup.LONG * 80 else {1} if len(shingles(x)) >= line_dedup.LONG else {0, 1} for x in lines}
+    assert any(len(k) == 2 for k in kinds.values())
+
+
+def test_components_grow(spark):
+    """Components with further links are those of all links; without any they stay."""
+    from polylabel.llm import common as C
+    from polylabel.llm import pairs
+
+    rng = random.Random(6)
+    links = [tuple(sorted(rng.sample(range(300), 2))) for _ in range(220)]
+    old, new = (spark.createDataFrame(x, "a bigint, b bigint") for x in (links[:150], links[150:]))
+    scratch = C.Scratch(spark, "grown")
+    comps = C.components(old, scratch)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(pairs._grown(comps, new, scratch)) == rows(C.components(old.unionByName(new), scratch))
+    assert rows(pairs._grown(comps, new.limit(0), scratch)) == rows(comps)
