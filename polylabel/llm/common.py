@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from polylabel.session import ensure_checkpoint_dir
 
 CHUNK_BYTES = 2 << 20
+SET_BYTES = 512 << 10  # of text whose sets of hashes are made at a time, a quarter of the work arrays
 U64 = np.uint64
 
 
@@ -207,6 +208,34 @@ class Lookup:
         return at[hit], k[hit]
 
 
+SIEVE_BITS = 27  # a sieve has 16 MB at most
+
+
+class Sieve:
+    """Which of ``2 ** bits`` equal ranges of 64-bit hashes hold a hash of some
+    set. It only spares work: a hash that it lets through need not be of the
+    set, so an exact join follows."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    def lets(self, h: np.ndarray) -> np.ndarray:
+        cell = h.view(U64) >> U64(64 - self.bits)
+        return (self.words[(cell >> U64(6)).view(np.int64)] >> (cell & U64(63))) & U64(1) != 0
+
+
+def sieve(hashes: DataFrame, column, total: int) -> Sieve:
+    """The sieve of a column of evenly spread hashes, about ``total`` of them.
+    Words of 64 ranges are made by an aggregation, so what comes to the driver
+    has a bound, however many hashes there are."""
+    bits = min(max(16, int(total).bit_length() + 3), SIEVE_BITS)
+    cells = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("cell"))
+    rows = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("ranges")).toArrow()
+    words = np.zeros(1 << (bits - 6), U64)
+    words[rows.column("word").to_numpy()] = rows.column("ranges").to_numpy().view(U64)
+    return Sieve(words, bits)
+
+
 def lists(values: np.ndarray, counts, kind) -> pa.Array:
     """A list column from flat values and per-row counts."""
     offsets = np.zeros(len(counts) + 1, np.int32)

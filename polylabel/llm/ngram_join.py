@@ -62,7 +62,7 @@ def shingle_sets(column, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def _signature(k: int):
     def run(batches):
-        for batch in C.chunks(batches):
+        for batch in C.chunks(batches, max_bytes=C.SET_BYTES):
             t, n = shingle_sets(batch.column(1), k)
             at = np.concatenate([[0], np.cumsum(n)])
             sums = []
@@ -147,7 +147,7 @@ def _prefixes(k: int, shared):
     def run(batches):
         parts, tokens, counts = shared.value
         bits = C.U64(64 - 32 - (parts.bit_length() - 1))
-        for batch in C.chunks(batches):
+        for batch in C.chunks(batches, max_bytes=C.SET_BYTES):
             t, n = shingle_sets(batch.column(1), k)
             count = np.zeros(len(t), np.int64)
             if len(tokens):

@@ -37,6 +37,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,16 +99,31 @@ def parts_for(total: int) -> int:
     return 1 << max(4, (total // COUNT_PART).bit_length())
 
 
+def _let_keys(shared):
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(1)
+            flat = keys.flatten().to_numpy()
+            some = shared.value.lets(flat)
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(keys).to_numpy())[some]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[some]), batch.column(0).take(pa.array(row))], ["key", "node"])
+    return run
+
+
 def meeting_keys(prefixes: DataFrame, scratch: C.Scratch) -> DataFrame:
     """The (key, node) pairs of ``prefixes`` (node, keys; one row per node)
     whose key another node has too. Which keys meet is found from blocks of
     hashed keys, combined per block of rows, so a key that very many nodes
-    share counts little; a chance meeting of hashes only leaves a key in."""
+    share counts little; a chance meeting of hashes only leaves a key in. Most
+    keys meet no other, and a sieve of those that do holds them back before
+    any (key, node) pair is made and shuffled."""
     parts = parts_for(int(prefixes.agg(F.sum(F.size("keys"))).first()[0] or 0))
     cut = 32 - (parts.bit_length() - 1)
     met = scratch.stage(more_than(prefixes.select("keys").mapInArrow(_key_blocks(parts), BLOCK_SCHEMA), 1).select("token"), "met")
-    # met has each token once, so its side can be hashed and the many keys need no sort
-    close = scratch.stage(prefixes.select("node", F.explode("keys").alias("key"))
+    shared = prefixes.sparkSession.sparkContext.broadcast(C.sieve(met, F.shiftleft("token", cut), met.count()))
+    kind = prefixes.schema["node"].dataType.simpleString()
+    # met has each token once, so its side can be hashed and the keys need no sort
+    close = scratch.stage(prefixes.select("node", "keys").mapInArrow(_let_keys(shared), f"key bigint, node {kind}")
                           .join(met.hint("shuffle_hash"), F.shiftrightunsigned("key", cut) == F.col("token")).select("key", "node"), "close")
     scratch.drop("met")
     return close
@@ -143,7 +159,7 @@ def _compare(sets: Callable):
     """Exact set comparison of text pairs; ``sets`` turns a string column into
     (sorted unique hashes, counts per row)."""
     def run(batches):
-        for batch in C.chunks(batches, "tb"):
+        for batch in C.chunks(batches, "tb", C.SET_BYTES):
             left = batch.column(2)
             size = len(batch)
             # neighbouring rows mostly share their left text: hash each once
@@ -164,10 +180,23 @@ def _compare(sets: Callable):
     return run
 
 
+def _asked(shared):
+    def run(batches):
+        for batch in batches:
+            some = pa.array(shared.value.lets(batch.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(some) for k in (0, 1)], ["node", "text"])
+    return run
+
+
 def compare(pairs: DataFrame, texts: DataFrame, sets: Callable) -> DataFrame:
     """(a, b, common, total): sizes of intersection and union of the pairs'
-    sets. ``texts`` is (node, text)."""
+    sets. ``pairs`` is a staged table, ``texts`` (node, text); a sieve of the
+    pairs' nodes holds most other texts back from the joins."""
     kind = pairs.schema["a"].dataType.simpleString()
+    name = F.xxhash64("node")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    asked = pairs.sparkSession.sparkContext.broadcast(C.sieve(nodes, name, 2 * pairs.count()))
+    texts = texts.select("node", "text", name.alias("name")).mapInArrow(_asked(asked), f"node {kind}, text string")
     both = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
     return both.mapInArrow(_compare(sets), f"a {kind}, b {kind}, common bigint, total bigint")
@@ -191,7 +220,7 @@ def _bitmaps(t: np.ndarray, n: np.ndarray):
 
 def _parities(sets: Callable):
     def run(batches):
-        for batch in C.chunks(batches):
+        for batch in C.chunks(batches, max_bytes=C.SET_BYTES):
             flat, words = _bitmaps(*sets(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), C.lists(flat, words, pa.int64())], ["node", "bits"])
     return run

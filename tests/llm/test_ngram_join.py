@@ -1,10 +1,12 @@
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from polylabel.llm import common, ngram_join, queries
+from polylabel.llm import common, ngram_join, pairs, queries
 
 
 def low(t):
@@ -184,3 +186,61 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: find(i) for i in range(1000)}
     assert sum(compared) < 5000
+
+
+def test_sieve_lets_its_hashes_through_and_few_others(spark):
+    rng = np.random.default_rng(5)
+    inside, outside = (rng.integers(-1 << 63, (1 << 63) - 1, 20_000) for _ in range(2))
+    df = spark.createDataFrame([(int(x),) for x in inside] * 2, "h bigint")
+    held = common.sieve(df, df["h"], len(inside))
+    assert held.lets(inside).all() and held.lets(outside).mean() < 0.2
+    nothing = common.sieve(df.limit(0), df["h"], 0)
+    assert not nothing.lets(inside).any() and nothing.lets(inside[:0]).shape == (0,)
+
+
+def test_sieve_stays_bounded_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(common, "SIEVE_BITS", 16)
+    h = np.random.default_rng(6).integers(-1 << 63, (1 << 63) - 1, 30_000)
+    df = spark.createDataFrame([(int(x),) for x in h], "h bigint")
+    held = common.sieve(df, df["h"], 10 ** 9)
+    assert len(held.words) == 1 << 10 and held.lets(h).all()
+
+
+@pytest.mark.parametrize("bits", [27, 6])
+def test_keys_of_one_node_are_held_back(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    rng = np.random.default_rng(7)
+    own = rng.integers(-1 << 63, (1 << 63) - 1, (300, 40))
+    shared = {1: -5, 2: -5, 3: (1 << 63) - 1, 4: (1 << 63) - 1, 5: (1 << 63) - 1}
+    rows = [(f"n{i}", [int(x) for x in own[i]] + ([shared[i]] if i in shared else [])) for i in range(300)] + [("none", [])]
+    prefixes = spark.createDataFrame(rows, "node string, keys array<bigint>")
+    got = pairs.meeting_keys(prefixes, common.Scratch(spark, "t")).collect()
+    assert sorted(map(tuple, got)) == sorted((k, f"n{i}") for i, k in shared.items())
+
+
+def test_keys_that_meet_no_other_are_not_exploded():
+    held = common.Sieve(np.zeros(1 << 10, np.uint64), 16)
+    keys = np.array([[3, 1 << 62, -9], [1 << 62, 5, 6]])
+    held.words[(1 << 62) >> 54] |= np.uint64(1)  # the only range that is held
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"]), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["node", "keys"])
+    out, = pairs._let_keys(SimpleNamespace(value=held))([batch])
+    assert out.to_pydict() == {"key": [1 << 62, 1 << 62], "node": ["a", "b"]}
+
+
+def test_only_texts_of_pairs_are_compared(spark, monkeypatch):
+    sent = spark.sparkContext.accumulator(0)
+    plain = pairs._asked
+
+    def counted(shared):
+        def run(batches):
+            for batch in plain(shared)(batches):
+                sent.add(len(batch))
+                yield batch
+        return run
+
+    monkeypatch.setattr(pairs, "_asked", counted)
+    texts = spark.createDataFrame([(f"n{i}", f"a b c d e f{i // 2} g") for i in range(2000)], "node string, text string")
+    few = spark.createDataFrame([("n0", "n1"), ("n1", "n2")], "a string, b string")
+    got = pairs.compare(few, texts, lambda column: ngram_join.shingle_sets(column, 5)).collect()
+    assert sorted(map(tuple, got)) == [("n0", "n1", 3, 3), ("n1", "n2", 1, 5)]
+    assert 3 <= sent.value < 200
