@@ -224,15 +224,17 @@ def _bands(batches):
             [pa.array(x) for x in (h[row].view(np.int64), np.concatenate(kinds), size[row], *np.ascontiguousarray(keys.T))], BAND_COLUMNS)
 
 
-def _texts(batches):
-    recent = _Recent()
-    for batch in C.chunks(batches, max_bytes=SLICE):
-        buf, _, a, b, _, _, h = _hashed(batch, 0)
-        a, b, h = _distinct(a, b, h, recent)
-        data = buf[C.ranges(a, b - a)]
-        offsets = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
-        text = pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), text], ["node", "text"])
+def _texts(wanted):
+    def run(batches):
+        recent = _Recent()
+        for batch in C.chunks(batches, max_bytes=SLICE):
+            buf, _, a, b, _, _, h = _hashed(batch, 0)
+            a, b, h = _distinct(a, np.where(wanted.value.lets(h), b, a), h, recent)
+            data = buf[C.ranges(a, b - a)]
+            offsets = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
+            text = pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), text], ["node", "text"])
+    return run
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,10 +257,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = bands.filter((F.col("kind") == 0) | (F.col("n") >= LONG)).select("node", "n", F.col("n").alias("room"))
     members = scratch.stage(close.join(sizes, "node"), "members")
     scratch.drop("bands", "close")
-    texts = only.mapInArrow(_texts, "node bigint, text string")
+    # few lines' texts are asked for: a sieve leaves most others out at once, the join the rest
+    wanted = spark.sparkContext.broadcast(C.sieve(members, F.col("node"), members.count()))
+    texts = only.mapInArrow(_texts(wanted), "node bigint, text string")
 
     def texts_of(nodes):
-        # few lines' texts are asked for: the others are left out before any is sorted
         return texts.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
     comps = pairs.resolve(members, texts_of, line_sets, scratch)

@@ -234,3 +234,22 @@ def test_components_grow(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(pairs._grown(comps, new, scratch)) == rows(C.components(old.unionByName(new), scratch))
     assert rows(pairs._grown(comps, new.limit(0), scratch)) == rows(comps)
+
+
+def test_only_texts_that_are_asked_for_leave_a_task():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from polylabel.llm import common
+    lines = [f"line number {i} of the text" for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(lines)])], ["text"])
+    h = line_dedup._hashed(batch, 0)[-1]
+    held = common.Sieve(np.zeros(1 << 14, np.uint64), 20)
+    for x in h[[7, 1500]]:
+        cell = int(x) >> 44
+        held.words[cell >> 6] |= np.uint64(1 << (cell & 63))
+    got = [r for out in line_dedup._texts(SimpleNamespace(value=held))([batch]) for r in out.to_pylist()]
+    assert {lines[7], lines[1500]} <= {r["text"] for r in got} and len(got) < 20
+    assert all(r["node"] == int(h[lines.index(r["text"])].astype(np.int64)) for r in got)
