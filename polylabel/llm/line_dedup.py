@@ -134,16 +134,6 @@ def _hashed(batch, column: int):
     return buf, c, a, b, text, position, h
 
 
-def _occurrences(batches):
-    for batch in C.chunks(batches, max_bytes=SLICE):
-        _, _, a, b, text, position, h = _hashed(batch, 1)
-        some = b > a
-        rows = pa.array(text[some])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(position[some].astype(np.int32)), pa.array(h[some].view(np.int64))],
-            ["id", "text_key", "pos", "node"])
-
-
 def _distinct(a, b, h, recent: _Recent):
     """Spans and hashes of a chunk's distinct non-empty lines, less those that
     the task has seen lately."""
@@ -224,16 +214,29 @@ def _bands(batches):
             [pa.array(x) for x in (h[row].view(np.int64), np.concatenate(kinds), size[row], *np.ascontiguousarray(keys.T))], BAND_COLUMNS)
 
 
-def _texts(wanted):
+def _occurrences(wanted):
+    """Every line's places; the first row of a wanted line that the task has
+    not seen lately has the line's text too."""
     def run(batches):
         recent = _Recent()
         for batch in C.chunks(batches, max_bytes=SLICE):
-            buf, _, a, b, _, _, h = _hashed(batch, 0)
-            a, b, h = _distinct(a, np.where(wanted.value.lets(h), b, a), h, recent)
-            data = buf[C.ranges(a, b - a)]
-            offsets = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int32)
-            text = pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), text], ["node", "text"])
+            buf, _, a, b, text, position, h = _hashed(batch, 1)
+            some = np.flatnonzero(b > a)
+            a, size, h = a[some], (b - a)[some], h[some]
+            asked = np.flatnonzero(wanted.value.lets(h))
+            _, first = np.unique(h[asked], return_index=True)
+            asked = asked[first]
+            asked = asked[recent.new(h[asked])]
+            given = np.zeros(len(some), bool)
+            given[asked] = True
+            size[~given] = 0
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            line = pa.StringArray.from_buffers(len(some), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf[C.ranges(a, size)])),
+                                               pa.py_buffer(np.packbits(given, bitorder="little")))
+            rows = pa.array(text[some])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(position[some].astype(np.int32)), pa.array(h.view(np.int64)), line],
+                ["id", "text_key", "pos", "node", "line"])
     return run
 
 
@@ -259,14 +262,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch.drop("bands", "close")
     # few lines' texts are asked for: a sieve leaves most others out at once, the join the rest
     wanted = spark.sparkContext.broadcast(C.sieve(members, F.col("node"), members.count()))
-    texts = only.mapInArrow(_texts(wanted), "node bigint, text string")
+    lines = scratch.stage(src.mapInArrow(_occurrences(wanted), f"id {kind}, text_key bigint, pos int, node bigint, line string"), "lines")
 
     def texts_of(nodes):
-        return texts.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+        texts = lines.filter("line is not null").select("node", "line")
+        return texts.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.min("line").alias("text"))
 
     comps = pairs.resolve(members, texts_of, line_sets, scratch)
     scratch.drop("members")
-    lines = scratch.stage(src.mapInArrow(_occurrences, f"id {kind}, text_key bigint, pos int, node bigint"), "lines")
     # a repeated row repeats its places; a node matters that has several, or is alike to another
     place = F.struct("id", "text_key", "pos")
     name = F.xxhash64("id", "text_key", "pos")

@@ -243,13 +243,18 @@ def test_only_texts_that_are_asked_for_leave_a_task():
     import pyarrow as pa
 
     from polylabel.llm import common
-    lines = [f"line number {i} of the text" for i in range(2000)]
-    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(lines)])], ["text"])
-    h = line_dedup._hashed(batch, 0)[-1]
+    lines = [f"line number {i} of the text \u00e9" for i in range(2000)]
+    text = "\n".join([*lines, "", lines[7], " " + lines[3]])
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array([text, lines[7]]), pa.array([50, 60])], ["id", "text", "text_key"])
+    h = line_dedup._hashed(batch, 1)[-1]
     held = common.Sieve(np.zeros(1 << 14, np.uint64), 20)
     for x in h[[7, 1500]]:
         cell = int(x) >> 44
         held.words[cell >> 6] |= np.uint64(1 << (cell & 63))
-    got = [r for out in line_dedup._texts(SimpleNamespace(value=held))([batch]) for r in out.to_pylist()]
-    assert {lines[7], lines[1500]} <= {r["text"] for r in got} and len(got) < 20
-    assert all(r["node"] == int(h[lines.index(r["text"])].astype(np.int64)) for r in got)
+    got = [r for out in line_dedup._occurrences(SimpleNamespace(value=held))([batch]) for r in out.to_pylist()]
+    place = [(5, 50, i) for i in range(2000)] + [(5, 50, 2001), (5, 50, 2002), (6, 60, 0)]
+    assert [(r["id"], r["text_key"], r["pos"]) for r in got] == place
+    texts = {r["line"]: r["node"] for r in got if r["line"] is not None}
+    assert {lines[7], lines[1500]} <= set(texts) and len(texts) < 20
+    assert sum(r["line"] == lines[7] for r in got) == 1  # a line's text leaves a task once
+    assert all(node == int(h[lines.index(line)].astype(np.int64)) for line, node in texts.items())
