@@ -101,3 +101,32 @@ def test_large_annotators_are_written_in_parts(spark, tmp_path, monkeypatch):
     assert len(list(tmp_path.glob("s/annotator_id=A/*.parquet"))) > 3
     got = AS.read_store(spark, f"{tmp_path}/s", labels).select(*df.columns).collect()
     assert sorted(map(str, got)) == sorted(str(r) for r in df.collect())
+
+
+def test_appends_leave_nothing_behind(spark, tmp_path, monkeypatch):
+    """What an append makes for itself goes, slices of large annotators are
+    as good as all at once, and a repeated append writes no file."""
+    from polylabel.session import ensure_checkpoint_dir
+    monkeypatch.setattr(AS, "FILE_BYTES", 150)
+    made = lambda: set(glob.glob(f"{ensure_checkpoint_dir(spark)}/tables/*"))
+    before, path = made(), f"{tmp_path}/t"
+    first = table(spark, [("A1", i, 1, 0) for i in range(60)] + [("A2", i, 1, 0) for i in range(9)] + [(None, None, 1, 0)])
+    again = table(spark, [("A1", i, 2, 1) for i in range(0, 60, 2)] + [("A2", 3, 1, 1), (None, None, 1, 1)]).coalesce(1)
+    AS.ingest(first, path)
+    AS.ingest(again, path)
+    want = [("A1", i, 1 + (i + 1) % 2, (i + 1) % 2) for i in range(60)] + [("A2", i, 1, int(i == 3)) for i in range(9)] + [(None, None, 1, 1)]
+    assert stored(spark, path) == sorted(want, key=str)
+    files = sorted(glob.glob(f"{path}/*/*.parquet"))
+    assert len(files) > AS.PARTS_AT_ONCE and len(files) < 60
+    AS.ingest(first, path)
+    assert sorted(glob.glob(f"{path}/*/*.parquet")) == files and stored(spark, path) == sorted(want, key=str)
+    assert made() == before and not glob.glob(f"{path}/.m*")
+
+
+def test_equal_rows_with_other_texts_are_a_change(spark, tmp_path):
+    """Of equal ones the greatest text wins, whichever came first."""
+    row = lambda text: spark.createDataFrame([("A1", 1, text, 1, 0, 0, 0, 0, 0)], "annotator_id string, text_id long, text string, ingest_seq int, " + ", ".join(f"{n} int" for n in N))
+    for k, order in enumerate((["a", "c", None], [None, "c"])):
+        for text in order:
+            AS.ingest(row(text), f"{tmp_path}/{k}")
+        assert [r.text for r in AS.read_store(spark, f"{tmp_path}/{k}").collect()] == ["c"]
