@@ -180,3 +180,42 @@ def test_contributions_shuffle_texts_only(spark):
         few = X.token_contributions(model, docs, largest=(by, 3))
         want, got = (X.top_tokens(c, by, 3).select("row_id", "label", "rank", "token", "tf", "weight").collect() for c in (full, few))
         assert sorted(map(str, got)) == sorted(map(str, want)) and few.count() == len(got) < full.count()
+
+
+def test_epochs_of_one_run_are_those_of_their_own_fits(spark, monkeypatch):
+    """``epoch_history`` fits no model per epoch; its models are MLlib's, and
+    its metrics those of their scores, also where ids repeat or are null."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from polylabel.operators import metrics as M
+    from polylabel.operators import model as MD
+    from polylabel.schema import LabelSet
+
+    rng, ls = random.Random(1), LabelSet(("a", "b", "c"))
+    rows = []
+    for i in range(150):
+        words = [f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randint(0, 25))]
+        rows.append((i % 140 if i else None, " ".join(words), int(rng.random() < 0.3 or "w1" in words), int("w2" in words), 1))
+    df = spark.createDataFrame(rows, "row_id long, text string, a int, b int, c int").repartition(3)
+    fm, epochs = MD.fit_features(df), (1, 4, 7)
+    idf = fm.stages[2].idf.toArray()
+    weights, shifts = MD.training_path(MD._blocks(MD._counts(fm, df, ls.names), 3, len(idf)), idf, 3, max(epochs), 0.01)
+    truth, want = df.select("row_id", *(F.col(n).alias(ls.true(n)) for n in ls.names)), []
+    for e in epochs:
+        fit = MD.train(df, ls, max_iter=e, features_model=fm)
+        for k, n in enumerate(ls.names):
+            assert np.allclose(weights[e, k], fit.per_label[n].coefficients.toArray() * idf, rtol=0, atol=1e-9)
+            assert shifts[e, k] == fit.per_label[n].intercept or abs(shifts[e, k] - fit.per_label[n].intercept) < 1e-9
+        scored = MD.score(fit, df.select("row_id", "text")).join(truth, "row_id")
+        s = M.summary_from_sums(M.metric_sums(scored, ls), ls).first()
+        want.append((s["macro_f1"], s["macro_precision"], s["macro_recall"], s["macro_accuracy"]))
+    monkeypatch.setattr(MD, "train", None)
+    got = MD.epoch_history(df, df, ls, epochs=epochs).orderBy("epoch").collect()
+    assert [tuple(r)[2:] for r in got] == want and [r.epoch for r in got] == [0, 1, 2]
+    assert MD.epoch_history(df, df, ls, epochs=epochs, features_model=fm).orderBy("epoch").collect() == got
+    import pytest
+    with pytest.raises(Exception, match="labels must be 0 or 1"):
+        MD.epoch_history(df.withColumn("a", F.lit(2)), df, ls, epochs=(1,))
